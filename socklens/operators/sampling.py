@@ -128,15 +128,17 @@ def sample_stream(
     n: int,
     key: Sequence[str] | None = None,
     order: Sequence[str] = ORDER,
-    idle_minutes: int = 24 * 60,
+    idle_minutes: int | None = None,
 ) -> DataFrame:
     """Counter sampling of a streaming DataFrame; equals the batch result.
 
-    State is one integer per socket, dropped whenever a row is let through on
-    the last row of a micro-batch and after ``idle_minutes`` without rows. Rows
-    of a micro-batch are ordered inside their socket, so the trigger limit of
-    the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds what
-    one task holds.
+    State is one integer per socket, gone whenever the count stands at zero.
+    Continuous flows over short-lived sockets should set ``idle_minutes``, which
+    also forgets sockets that stopped half way (it needs a processing-time
+    trigger: a timeout keeps an available-now run from ending). Rows of a
+    micro-batch are ordered inside their socket, so the trigger limit of the
+    source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds what one
+    task holds.
     """
     if check_sample(n) == 0:
         return df
@@ -144,7 +146,7 @@ def sample_stream(
     order = list(order)
     step = n + 1
     columns = df.columns
-    timeout_ms = idle_minutes * 60_000
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
 
     def keep(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -157,11 +159,12 @@ def sample_stream(
         seen = (seen + len(ranked)) % step
         if seen:
             state.update((seen,))
-            state.setTimeoutDuration(timeout_ms)
+            if idle_minutes:
+                state.setTimeoutDuration(idle_minutes * 60_000)
         elif state.exists:
             state.remove()
         yield rows.iloc[kept][columns]
 
     return df.groupBy(*key).applyInPandasWithState(
-        keep, df.schema, "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        keep, df.schema, "seen long", "append", timeout
     )

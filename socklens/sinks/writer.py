@@ -37,12 +37,14 @@ def write(df: DataFrame, sink: str, fields: Iterable[str] | None = None, **conf)
     """Write events to a sink chosen by type name.
 
     ``fields`` is the field list of the rows (default: all catalog columns of
-    ``df``). An unknown type falls back to the console. Streams need
+    ``df``); for tables it pairs with ``columns``. An unknown type falls back to the console. Streams need
     ``checkpoint`` and take ``trigger``, e.g. ``{"processingTime": "2 seconds"}``.
     """
     if sink in _NOT_BUILT:
         raise ValueError(f"{sink} is a network server; write to a topic instead")
     if sink in FLOW_SINKS:
+        if fields:
+            conf["fields"] = list(fields)
         return _FLOW_WRITERS[FLOW_SINKS[sink]](df, conf)
     fields = list(fields) if fields else _fields_of(df)
     return _AGENT_WRITERS.get(sink, _console)(df, fields, conf)
