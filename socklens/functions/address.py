@@ -33,13 +33,11 @@ def ipv6_text(data: Column) -> Column:
     """Shortest text of sixteen bytes: lower case, the longest run of zero
     groups (the first on a tie, two groups or more) as ``::``, and IPv4-mapped
     addresses as dotted quads."""
-    digits = F.lower(F.hex(data))
-    groups = [
-        F.regexp_replace(F.substring(digits, 4 * i + 1, 4), "^0{1,3}", "") for i in range(8)
-    ]
-    joined = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
+    # ":" before each group, then its leading zeros off
+    groups = F.regexp_replace(F.lower(F.hex(data)), "(.{4})", ":$1")
+    joined = F.concat(F.regexp_replace(groups, ":0{1,3}", ":"), F.lit(":"))
     plain = F.regexp_replace(_let(joined, _fold_zeros), "^:(?!:)|(?<!:):$", "")
-    mapped = F.hex(F.substring(data, 1, 12)) == _MAPPED
+    mapped = is_mapped(data)
     return F.when(
         F.length(data) == 16,
         F.when(mapped, ipv4_text(F.substring(data, 13, 4))).otherwise(plain),
@@ -59,48 +57,50 @@ def _fold_zeros(joined: Column) -> Column:
 
 def ipv4_key(text: Column) -> Column:
     """BIGINT key of a dotted quad."""
-    parts = F.split(text, r"\.")
-    key = F.when(text.rlike(_IPV4), F.lit(0).cast("bigint"))
-    for i, scale in enumerate((1 << 24, 1 << 16, 1 << 8, 1)):
-        key = key + F.get(parts, F.lit(i)).try_cast("int").cast("bigint") * scale
-    return key
+    # NULL unless valid, so that the parts below are shared and never fail
+    valid = F.when(text.rlike(_IPV4), text)
+    parts = F.split(valid, r"\.").cast("array<int>")
+    return sum(F.get(parts, F.lit(i)).cast("bigint") * (1 << 24 - 8 * i) for i in range(4))
 
 
 def ipv6_key(text: Column) -> Column:
     """BINARY(16) key of IPv6 text; compares byte by byte, unsigned."""
-    return F.when(F.contains(text, F.lit(":")), _let(_hex_groups_only(text), _groups_key))
+    return _groups_key(_spread_zeros(_zero_edges(_hex_groups_only(text))))
 
 
 def _hex_groups_only(text: Column) -> Column:
-    """Write a dotted tail (``::ffff:10.0.0.1``) as the two groups it stands for."""
+    """IPv6 text with a dotted tail (``::ffff:10.0.0.1``) written as groups."""
     tail = F.substring_index(text, ":", -1)
-    digits = F.lower(F.lpad(F.hex(ipv4_key(tail)), 8, "0"))
+    digits = F.lpad(F.hex(ipv4_key(tail)), 8, "0")
     head = F.substr(text, F.lit(1), F.length(text) - F.length(tail))
-    spelled = F.concat(head, F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))
-    return F.when(F.contains(tail, F.lit(".")), spelled).otherwise(text)
+    spelled = F.concat(head, F.regexp_replace(digits, "^(.{4})", "$1:"))
+    return F.when(F.contains(text, F.lit(":")), F.when(F.contains(text, F.lit(".")), spelled).otherwise(text))
 
 
-def _groups_key(text: Column) -> Column:
-    halves = F.split(text, "::", -1)
-    shortened = F.size(halves) == 2
-    nothing = F.array().cast("array<string>")
+def _zero_edges(text: Column) -> Column:
+    """Write the zero group of a ``::`` at either end."""
+    front = F.when(F.startswith(text, F.lit("::")), F.concat(F.lit("0"), text)).otherwise(text)
+    return F.when(F.endswith(text, F.lit("::")), F.concat(front, F.lit("0"))).otherwise(front)
+
 
-    def groups_of(part: Column) -> Column:
-        return F.when(F.length(part) > 0, F.split(part, ":", -1)).otherwise(nothing)
+def _spread_zeros(text: Column) -> Column:
+    """Replace ``::`` by the zero groups it stands for: one at least, which may
+    be the one written at an edge."""
+    missing = 8 - (F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit(""))))
+    spread = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing)))
+    at_edge = F.startswith(text, F.lit("0::")) | F.endswith(text, F.lit("::0"))
+    return F.when(F.contains(text, F.lit("::")), F.when((missing > 0) | at_edge, spread)).otherwise(text)
 
-    head = groups_of(F.get(halves, F.lit(0)))
-    rest = F.when(shortened, groups_of(F.get(halves, F.lit(1)))).otherwise(nothing)
-    missing = 8 - F.size(head) - F.size(rest)
-    # ``::`` stands for one group at least
-    fits = F.when(shortened, missing >= 1).otherwise((F.size(halves) == 1) & (missing == 0))
-    groups = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)
-    digits = F.concat_ws("", F.transform(groups, lambda g: F.when(g.rlike("^[0-9A-Fa-f]{1,4}$"), F.lpad(g, 4, "0"))))
-    return F.when(fits & (F.length(digits) == 32), F.unhex(digits))
+
+def _groups_key(text: Column) -> Column:
+    valid = F.when(text.rlike("^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"), text)
+    groups = F.split(valid, ":")
+    return F.unhex(F.concat(*[F.lpad(F.get(groups, F.lit(i)), 4, "0") for i in range(8)]))
 
 
 def is_mapped(key: Column) -> Column:
     """True for the sixteen-byte form of an IPv4 address."""
-    return F.hex(F.substring(key, 1, 12)) == _MAPPED
+    return F.substring(key, 1, 12) == F.lit(bytearray.fromhex(_MAPPED))
 
 
 def add_lookup_keys(df: DataFrame, address: str, name4: str, name6: str) -> DataFrame:
@@ -111,8 +111,12 @@ def add_lookup_keys(df: DataFrame, address: str, name4: str, name6: str) -> Data
     wide, text = F.col("_wide"), F.col(address)
     mapped = F.coalesce(is_mapped(wide), F.lit(False))
     low = F.conv(F.hex(F.substring(wide, 13, 4)), 16, 10).cast("bigint")
+    # step by step, so that each text is worked out once
     return (
-        df.withColumn("_wide", ipv6_key(text))
+        df.withColumn("_groups", _hex_groups_only(text))
+        .withColumn("_groups", _zero_edges(F.col("_groups")))
+        .withColumn("_groups", _spread_zeros(F.col("_groups")))
+        .withColumn("_wide", _groups_key(F.col("_groups")))
         .withColumns({name4: F.coalesce(ipv4_key(text), F.when(mapped, low)), name6: F.when(~mapped, wide)})
-        .drop("_wide")
+        .drop("_groups", "_wide")
     )

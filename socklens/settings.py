@@ -7,12 +7,14 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Zone-free event times are UTC; adaptive execution sizes partitions and
-# splits skewed joins at run time.
+# splits skewed joins at run time; generated methods beyond 8000 bytes are
+# never compiled to machine code, so longer stages run operator by operator.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -23,6 +25,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def apply(spark: SparkSession) -> SparkSession:
+    """Set the defaults on a session that already runs."""
+    for name, value in DEFAULTS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder.
 
