@@ -55,6 +55,7 @@ from socklens import (
     union_families,
     write,
 )
+from socklens import settings
 from socklens.catalog import FIELDS, STATE_TRACEPOINT, TRACEPOINTS, TYPED_COLUMNS, typed_type
 from socklens.functions import bits
 from socklens.functions.address import add_lookup_keys, ipv4_text, ipv6_text
@@ -409,7 +410,7 @@ def bit_reads(spark, sf_dir):
     "strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment FROM events",
 )
 def stamped_events(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    settings.apply(spark)
     rows = stamp_host(stamp_time(views.table(spark, sf_dir, "events"), "ts"), "collector-1")
     moment = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("moment")
     return event_time(rows).select("event_id", "Timestamp", "Hostname", moment)

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from socklens import settings
+
 _EPOCH = {"spark": "unix_timestamp(CAST(ts AS TIMESTAMP))", "duckdb": "CAST(FLOOR(epoch(ts)) AS BIGINT)"}
 
 TCP_EVENTS = """
@@ -119,7 +121,7 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, **more) -> DataFrame:
 
 
 def tcp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    settings.apply(spark)
     return _sql(spark, sf_dir, TCP_EVENTS.replace("{epoch}", _EPOCH["spark"]))
 
 
