@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from workload.registry import QUERIES
@@ -54,6 +55,7 @@ def main() -> None:
             took = time.perf_counter() - begun
             best = took if best is None else min(best, took)
         seconds[name] = round(best, 3)
+        print(f"{name}: {best:.3f}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

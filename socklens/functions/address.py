@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from socklens.functions.bits import raw_word
+
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 _MAPPED = "00000000000000000000FFFF"
@@ -19,40 +21,46 @@ def _let(value: Column, body) -> Column:
 
 def ipv4_text(data: Column) -> Column:
     """Dotted quad of four bytes in network order."""
-    word = F.conv(F.hex(F.substring(data, 1, 4)), 16, 10).cast("bigint")
-    return F.when(F.length(data) >= 4, ipv4_from_key(word))
+    return F.when(F.length(data) >= 4, ipv4_from_key(raw_word(data, 0, 4)))
 
 
 def ipv4_from_key(key: Column) -> Column:
     """Dotted quad of an integer key."""
     byte = F.lit(255).cast("bigint")
-    return F.concat_ws(".", *[F.shiftright(key, s).bitwiseAND(byte).cast("string") for s in (24, 16, 8, 0)])
+    a, b, c, d = (F.shiftright(key, s).bitwiseAND(byte).cast("string") for s in (24, 16, 8, 0))
+    dot = F.lit(".")
+    return F.concat(a, dot, b, dot, c, dot, d)
 
 
 def ipv6_text(data: Column) -> Column:
     """Shortest text of sixteen bytes: lower case, the longest run of zero
     groups (the first on a tie, two groups or more) as ``::``, and IPv4-mapped
     addresses as dotted quads."""
-    # ":" before each group, then its leading zeros off
-    groups = F.regexp_replace(F.lower(F.hex(data)), "(.{4})", ":$1")
-    joined = F.concat(F.regexp_replace(groups, ":0{1,3}", ":"), F.lit(":"))
-    plain = F.regexp_replace(_let(joined, _fold_zeros), "^:(?!:)|(?<!:):$", "")
-    mapped = is_mapped(data)
-    return F.when(
-        F.length(data) == 16,
-        F.when(mapped, ipv4_text(F.substring(data, 13, 4))).otherwise(plain),
-    )
+    return F.when(F.length(data) == 16, ipv6_from_words(raw_word(data, 0, 8), raw_word(data, 8, 8)))
+
+
+def ipv6_from_words(high: Column, low: Column) -> Column:
+    """As :func:`ipv6_text`, from the two big-endian halves of an address."""
+    group = F.lit(0xFFFF).cast("bigint")
+    groups = [F.hex(F.shiftright(w, s).bitwiseAND(group)) for w in (high, low) for s in (48, 32, 16, 0)]
+    colon = F.lit(":")
+    joined = F.lower(F.concat(*[part for g in groups for part in (colon, g)], colon))
+    mapped = (high == 0) & (F.shiftrightunsigned(low, 32) == 0xFFFF)
+    return F.when(mapped, ipv4_from_key(low)).otherwise(_let(joined, _fold_zeros))
 
 
 def _fold_zeros(joined: Column) -> Column:
-    """Replace the longest run of zero groups in ``:a:b:...:`` by ``::``."""
-    folded = joined
+    """``:a:b:...:`` without its outer colons, its longest run of zero groups
+    replaced by ``::``."""
+    colon = F.lit(":")
+    folded = F.trim(joined, colon)
     for run in range(2, 9):  # wrapped last, tried first: the longest run
         zeros = ":" + "0:" * run
         at = F.instr(joined, zeros)
-        without = F.concat(F.substr(joined, F.lit(1), at - 1), F.lit("::"), F.substr(joined, at + len(zeros)))
-        folded = F.when(at > 0, without).otherwise(folded)
-    return folded
+        before = F.ltrim(F.substr(joined, F.lit(1), at - 1), colon)
+        after = F.rtrim(F.substr(joined, at + len(zeros)), colon)
+        folded = F.when(at > 0, F.concat(before, F.lit("::"), after)).otherwise(folded)
+    return F.when(F.contains(joined, F.lit(":0:0:")), folded).otherwise(F.trim(joined, colon))
 
 
 def ipv4_key(text: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from socklens.catalog import Field, event_schema, field
-from socklens.functions.address import add_lookup_keys, ipv4_key, ipv4_text, ipv6_text
+from socklens.functions.address import add_lookup_keys, ipv4_from_key, ipv4_key, ipv6_from_words
 from socklens.functions.bits import cstr, cstr_bytes, raw_word, swap_bytes, uint_bytes, unsigned64
 
 CORRUPT = "_corrupt_record"
@@ -51,28 +51,33 @@ def decode_records(
     needed = max((at + entry.width(inet) for entry, at in members), default=0)
     whole = F.col(data).isNotNull() & (F.length(data) >= needed)
 
-    # integers are cut out of eight-byte words, each read once
+    # integers and addresses are cut out of eight-byte words, each read once
     words: dict[int, int] = {}
     for entry, at in members:
-        if not entry.is_text:
-            words[at // 8] = max(words.get(at // 8, 0), at % 8 + entry.width(inet))
+        if entry.ctype == "char":
+            continue
+        for start in range(at, at + entry.width(inet), 8):
+            words[start // 8] = max(words.get(start // 8, 0), start % 8 + min(entry.width(inet), 8))
     read = {f"_word{w}": raw_word(F.col(data), 8 * w, size) for w, size in words.items()}
     df = df.withColumns(read) if read else df
 
+    def stored(at: int, width: int) -> Column:
+        bits = F.shiftrightunsigned(F.col(f"_word{at // 8}"), 8 * (words[at // 8] - at % 8 - width))
+        return bits if width == 8 else bits.bitwiseAND(F.lit((1 << 8 * width) - 1).cast("bigint"))
+
     def number(entry: Field, at: int) -> Column:
-        word, size, width = F.col(f"_word{at // 8}"), words[at // 8], entry.width(inet)
-        bits = F.shiftrightunsigned(word, 8 * (size - at % 8 - width))
-        if width < 8:
-            bits = bits.bitwiseAND(F.lit((1 << 8 * width) - 1).cast("bigint"))
+        width = entry.width(inet)
+        bits = stored(at, width)
         big_endian = entry.big_endian and not (fix_lport and entry.name == "LPort")
         value = bits if big_endian else swap_bytes(bits, width)
         return unsigned64(value) if width == 8 and wide else value.cast(entry.spark_type)
 
     def text(entry: Field, at: int) -> Column:
-        part = F.substring(data, at + 1, entry.width(inet))
         if entry.ctype == "char":
-            return cstr(part)
-        return ipv6_text(part) if inet == 6 else ipv4_text(part)
+            return cstr(F.substring(data, at + 1, entry.width(inet)))
+        if inet == 6:
+            return ipv6_from_words(stored(at, 8), stored(at + 8, 8))
+        return ipv4_from_key(stored(at, 4))
 
     columns = [
         F.when(whole, text(e, at) if e.is_text else number(e, at)).alias(e.name) for e, at in members
@@ -122,14 +127,12 @@ def decode_json(
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     text = F.col(value).cast("string")
-    parsed = F.from_json(text, schema, options).alias("_row")
+    # unpacked by a generator, so that a later filter on the marker cannot pull
+    # a second parse below itself
+    parsed = df.select(F.inline(F.array(F.from_json(text, schema, options))), text.alias("_text"), *keep)
     # an empty payload is no JSON object either
-    return (
-        df.select(parsed, text.alias("_text"), *keep)
-        .select("_row.*", "_text", *keep)
-        .withColumn(CORRUPT, F.coalesce(CORRUPT, F.when(F.trim("_text") == "", F.col("_text")), F.when(F.col("_text").isNull(), F.lit(""))))
-        .drop("_text")
-    )
+    blank = F.when(F.coalesce(F.trim("_text"), F.lit("")) == "", F.coalesce("_text", F.lit("")))
+    return parsed.withColumn(CORRUPT, F.coalesce(CORRUPT, blank)).drop("_text")
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
