@@ -41,15 +41,19 @@ def ipv6_text(data: Column) -> Column:
 
 def ipv6_from_words(high: Column, low: Column) -> Column:
     """As :func:`ipv6_text`, from the two big-endian halves of an address."""
+    mapped = (high == 0) & (F.shiftrightunsigned(low, 32) == 0xFFFF)
+    return F.when(mapped, ipv4_from_key(low)).otherwise(_let(ipv6_groups(high, low), fold_zeros))
+
+
+def ipv6_groups(high: Column, low: Column) -> Column:
+    """All eight groups of an address, as ``:a:b:...:``."""
     group = F.lit(0xFFFF).cast("bigint")
     groups = [F.hex(F.shiftright(w, s).bitwiseAND(group)) for w in (high, low) for s in (48, 32, 16, 0)]
     colon = F.lit(":")
-    joined = F.lower(F.concat(*[part for g in groups for part in (colon, g)], colon))
-    mapped = (high == 0) & (F.shiftrightunsigned(low, 32) == 0xFFFF)
-    return F.when(mapped, ipv4_from_key(low)).otherwise(_let(joined, _fold_zeros))
+    return F.lower(F.concat(*[part for g in groups for part in (colon, g)], colon))
 
 
-def _fold_zeros(joined: Column) -> Column:
+def fold_zeros(joined: Column) -> Column:
     """``:a:b:...:`` without its outer colons, its longest run of zero groups
     replaced by ``::``."""
     colon = F.lit(":")

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from socklens.catalog import Field, event_schema, field
-from socklens.functions.address import add_lookup_keys, ipv4_from_key, ipv4_key, ipv6_from_words
+from socklens.functions.address import add_lookup_keys, fold_zeros, ipv4_from_key, ipv4_key, ipv6_groups
 from socklens.functions.bits import cstr, cstr_bytes, raw_word, swap_bytes, uint_bytes, unsigned64
 
 CORRUPT = "_corrupt_record"
@@ -65,6 +65,11 @@ def decode_records(
         bits = F.shiftrightunsigned(F.col(f"_word{at // 8}"), 8 * (words[at // 8] - at % 8 - width))
         return bits if width == 8 else bits.bitwiseAND(F.lit((1 << 8 * width) - 1).cast("bigint"))
 
+    if inet == 6:
+        for entry, at in members:
+            if entry.is_ip:
+                df = df.withColumn(f"_groups_{entry.name}", ipv6_groups(stored(at, 8), stored(at + 8, 8)))
+
     def number(entry: Field, at: int) -> Column:
         width = entry.width(inet)
         bits = stored(at, width)
@@ -75,9 +80,11 @@ def decode_records(
     def text(entry: Field, at: int) -> Column:
         if entry.ctype == "char":
             return cstr(F.substring(data, at + 1, entry.width(inet)))
-        if inet == 6:
-            return ipv6_from_words(stored(at, 8), stored(at + 8, 8))
-        return ipv4_from_key(stored(at, 4))
+        if inet == 4:
+            return ipv4_from_key(stored(at, 4))
+        high, low = stored(at, 8), stored(at + 8, 8)
+        mapped = (high == 0) & (F.shiftrightunsigned(low, 32) == 0xFFFF)
+        return F.when(mapped, ipv4_from_key(low)).otherwise(fold_zeros(F.col(f"_groups_{entry.name}")))
 
     columns = [
         F.when(whole, text(e, at) if e.is_text else number(e, at)).alias(e.name) for e, at in members

@@ -1,5 +1,6 @@
 import ipaddress
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,8 +66,6 @@ class CInt:
         self.bits, self.signed = bits, signed
 
     def _with(self, other, op, shift=False):
-        if not isinstance(other, CInt):
-            other = CInt(other, 32 if other < 2**31 else 64, True)
         bits, signed = self.bits, self.signed
         if not shift:
             bits = max(self.bits, other.bits)
@@ -86,6 +85,12 @@ class CInt:
     def __mod__(self, o): return self._with(o, lambda a, b: abs(a) % abs(b) * (1 if a >= 0 else -1))
 
 
+def literal(digits):
+    value = int(digits, 0)
+    unsigned = digits.startswith("0x") and 2**31 <= value < 2**32
+    return CInt(value, 32 if value < 2**31 or unsigned else 64, not unsigned)
+
+
 def test_field_math_means_what_c_means(spark):
     """Each suffix over edge values and random ones."""
     rng = random.Random(3)
@@ -97,7 +102,8 @@ def test_field_math_means_what_c_means(spark):
         column = F.col("v") if bits == 64 else F.col("v").cast("bigint")
         for row in df.select("t", cmath.math(column, bits, suffix).cast("string").alias("r")).collect():
             x = CInt(int(row.t), max(bits, 32), bits < 32)
-            want = eval(f"x {suffix}", {"x": x}).value % top
+            typed = re.sub(r"0x[0-9a-f]+|\d+", r"literal('\g<0>')", suffix)
+            want = eval(f"x {typed}", {"x": x, "literal": literal}).value % top
             if row.r != str(want):
                 wrong.append((suffix, bits, row.t, row.r, want))
     assert wrong == []
