@@ -113,7 +113,7 @@ def test_equals_nested_loop(spark, family, limit):
 def test_small_tables_need_no_shuffle_and_no_nested_loop(spark, city, asn):
     df = spark.range(100).selectExpr("concat('10.0.0.', id) AS SAddr")
     plan = plan_of(enrich_geo(df, "city-loc-asn", city=city, asn=asn))
-    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "EvalPython" not in plan
     assert "hashpartitioning" not in plan
     shuffled = plan_of(enrich_geo(df, "city-loc-asn", city=city, asn=asn, max_broadcast_bytes=0))
     assert "NestedLoop" not in shuffled and "Cartesian" not in shuffled
