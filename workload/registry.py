@@ -190,7 +190,7 @@ def decode_ipv6_records(spark, sf_dir):
     return decode_records(_records(spark, sf_dir, 6), RECORD_FIELDS, 6, keep=["event_id"])
 
 
-def _record_files(spark, sf_dir) -> tuple[str, object]:
+def record_files(spark, sf_dir) -> tuple[str, object]:
     path = scratch(spark, "records")
     records = _records(spark, sf_dir, 4).unionByName(_records(spark, sf_dir, 6))
     records.write.parquet(path)
@@ -204,14 +204,14 @@ def _decode_families(records: DataFrame, fields, keep) -> DataFrame:
 
 @query("records_source", f"SELECT {_PLAIN}, Timestamp FROM tcp_events")
 def records_source(spark, sf_dir):
-    path, schema = _record_files(spark, sf_dir)
+    path, schema = record_files(spark, sf_dir)
     records = stamp_time(read_records(spark, path, schema=schema), "received")
     return _decode_families(records, RECORD_FIELDS, ["event_id", "Timestamp"])
 
 
 @query("records_stream", f"SELECT {_PLAIN}, Timestamp FROM tcp_events")
 def records_stream(spark, sf_dir):
-    path, schema = _record_files(spark, sf_dir)
+    path, schema = record_files(spark, sf_dir)
     records = stamp_time(read_records(spark, path, streaming=True, schema=schema), "received")
     return _drain(spark, _decode_families(records, RECORD_FIELDS, ["event_id", "Timestamp"]))
 
