@@ -2,7 +2,6 @@ import ipaddress
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from socklens import GeoLookup, enrich_geo
 from tests.conftest import plan_of

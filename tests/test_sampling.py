@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from socklens import Spec, run_spec, sample_per_socket, sample_stream
 

@@ -6,8 +6,6 @@ SQL counterpart start from the same rows.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,7 +147,4 @@ def topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder that every executor can reach."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        root = os.path.join(tempfile.gettempdir(), "socklens-scratch")
-    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{settings.shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
