@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from socklens.llm import exact_dedup, pii, secret_scan
-from socklens.llm.shared import prepare, whole_text
+from socklens.llm import byte_bpe, exact_dedup, pii, secret_scan, token_files
+from socklens.llm.shared import new_folder, prepare, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,27 @@ def op5_exact_dedup(spark, sf_dir):
 def op10_pii(spark, sf_dir):
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pii.digest_columns(found)
+
+
+@query("op4_token_files")
+def op4_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder = new_folder(spark, "token-files")
+    token_files.write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.with_crc32(token_files.read_token_files(spark, folder))
+
+
+@query("op9_byte_bpe")
+def op9_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(byte_bpe.decode(byte_bpe.encode(docs, path).drop("text"), path))
+
+
+def bpe_digests(decoded: DataFrame) -> DataFrame:
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

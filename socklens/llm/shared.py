@@ -8,15 +8,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Rows of one Arrow batch. Python code works on pieces of a few megabytes of
-# text inside a batch, so this only bounds what is in transit.
+# Rows and bytes of one Arrow batch: what is in transit to a Python worker.
 ARROW_ROWS = 2000
+ARROW_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session options the plans rely on; all can be set at run time."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 
