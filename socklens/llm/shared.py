@@ -14,7 +14,15 @@ ARROW_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session options the plans rely on; all can be set at run time."""
+    """Session options the plans rely on; all can be set at run time.
+
+    Python workers started from now on also look for this package where the
+    driver found it, which counts where they share its disk.
+    """
+    root, environment = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
