@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from socklens.llm import byte_bpe, exact_dedup, language, pii, secret_scan, token_count, token_files
+from socklens.llm import byte_bpe, decontaminate, exact_dedup, language, pii, secret_scan, token_count, token_files
 from socklens.llm.shared import new_folder, prepare, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,15 @@ def op7_language_id(spark, sf_dir):
 def held_out():
     """One document in three, by the checksum of its id; a null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct("hits.item_id")).alias("item_ids"),
+        F.array_max("hits.lcs").alias("best_lcs"),
+    )
