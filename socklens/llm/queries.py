@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from socklens.llm import byte_bpe, decontaminate, exact_dedup, language, pii, secret_scan, token_count, token_files
+from socklens.llm import byte_bpe, decontaminate, exact_dedup, language, near_dedup, pii, secret_scan, token_count, token_files
 from socklens.llm.shared import new_folder, prepare, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op8_decontamination(spark, sf_dir):
         F.array_sort(F.array_distinct("hits.item_id")).alias("item_ids"),
         F.array_max("hits.lcs").alias("best_lcs"),
     )
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
