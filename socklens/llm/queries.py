@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from socklens.llm import byte_bpe, decontaminate, exact_dedup, language, near_dedup, pii, secret_scan, token_count, token_files
+from socklens.llm import byte_bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, secret_scan, token_count, token_files
 from socklens.llm.shared import new_folder, prepare, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,10 @@ def op8_decontamination(spark, sf_dir):
 @query("op1_near_dedup")
 def op1_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs.select("doc_id", "text", "source", "lang"), model).drop("text", "source", "lang")
