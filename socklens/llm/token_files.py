@@ -43,9 +43,10 @@ class LibraryEncoder:
     Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, packed_as: str = "<u4"):
         from tokenizers import Tokenizer
 
+        self.packed_as = packed_as
         self.model = Tokenizer.from_file(path).model
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
@@ -54,26 +55,35 @@ class LibraryEncoder:
 
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return np.array([t.id for t in self.model.tokenize(letters)], self.packed_as).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
+        """The packed ids of a text."""
         return b"".join(map(self.cache.__getitem__, split(text)))
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def _encoder(path: str, packed_as: str) -> LibraryEncoder:
+    return LibraryEncoder(path, packed_as)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of every whole text and ``end_id``, packed as unsigned 32-bit little-endian integers.
+def packing(path: str, end_id: int) -> str:
+    """Two bytes an id where the whole vocabulary fits, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def tokenize(
+    docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text", packed_as: str = "<u4"
+) -> DataFrame:
+    """(doc_id, ids): the ids of every whole text and ``end_id``, packed as unsigned little-endian integers.
 
     A null or empty text has the end id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(path, packed_as), np.array([end_id], packed_as).tobytes()
         for batch in batches:
             packed = [encoder.encode(text) + end for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
@@ -81,14 +91,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, TOKENS)
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, packed_as: str) -> DataFrame:
     """(id, n): how often every id occurs in all documents; each task sends its counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(ids, "<u4"))
+                own = np.bincount(np.frombuffer(ids, packed_as))
                 if len(own) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(own) - len(counts), np.int64)])
                 counts[: len(own)] += own
@@ -108,8 +118,10 @@ def write_token_files(
     most one row per id of the vocabulary. No rows give a folder without blocks.
     """
     spark = docs.sparkSession
-    tokens = stash(tokenize(docs, tokenizer, end_id, id_col, text), "tokens")
-    counted = count_ids(tokens).toPandas()
+    packed_as = packing(tokenizer, end_id)
+    width = np.dtype(packed_as).itemsize
+    tokens = stash(tokenize(docs, tokenizer, end_id, id_col, text, packed_as), "tokens")
+    counted = count_ids(tokens, packed_as).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"]] = counted["n"]
     limit = max(LIMIT, int(np.count_nonzero(counts)).bit_length())
@@ -123,8 +135,8 @@ def write_token_files(
         block, before, doc_ids, held, size = 0, 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
-            sizes = [len(h) // 4 for h in held]
-            bits, offsets = book.pack(np.frombuffer(b"".join(held), "<u4"))
+            sizes = [len(h) // width for h in held]
+            bits, offsets = book.pack(np.frombuffer(b"".join(held), packed_as))
             columns = [
                 pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
                 pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
@@ -136,7 +148,7 @@ def write_token_files(
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids.append(doc_id)
                 held.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // width
                 if size >= BLOCK_IDS:
                     yield closed()
                     block, before, doc_ids, held, size = block + 1, before + size, [], [], 0
