@@ -11,16 +11,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from socklens.catalog import SOCKET_KEY
-from socklens.settings import checkpoint
 
-ORDER = ("Timestamp", "event_id")
-SPLIT_ROWS = 5_000_000
-BROADCAST_ROWS = 1_000_000
-_DAY = 86_400
+ORDER = ("Timestamp",)
+PIECE_SECONDS = 600
+_PIECES = 144  # pieces summed up in one first-level window
+_NO_TIME = -(1 << 62)  # piece of rows without a time; they come first
 
 
 def check_sample(n: int) -> int:
@@ -30,7 +29,19 @@ def check_sample(n: int) -> int:
 
 
 def present_key(df: DataFrame, key: Sequence[str] | None) -> list[str]:
-    return list(key) if key else [c for c in SOCKET_KEY if c in df.columns]
+    """Key columns: those asked for, all of which must exist, or the socket columns that do."""
+    found = list(key) if key else [c for c in SOCKET_KEY if c in df.columns]
+    missing = [c for c in found if c not in df.columns]
+    if missing or not found:
+        raise ValueError(f"sampling needs key columns the input does not have: {missing or list(SOCKET_KEY)}")
+    return found
+
+
+def check_order(df: DataFrame, order: Sequence[str]) -> list[str]:
+    missing = [c for c in order if c not in df.columns]
+    if missing or not list(order):
+        raise ValueError(f"sampling needs order columns the input does not have: {missing}")
+    return list(order)
 
 
 def sample_per_socket(
@@ -38,89 +49,66 @@ def sample_per_socket(
     n: int,
     key: Sequence[str] | None = None,
     order: Sequence[str] = ORDER,
-    split_rows: int = SPLIT_ROWS,
+    piece_seconds: int | None = PIECE_SECONDS,
 ) -> DataFrame:
-    """Every ``n + 1``-th row of each socket, in ``order``.
-
-    ``order`` is (second, sequence): unix seconds, then an integer that is
-    unique within a socket. Sockets of up to ``split_rows`` rows are numbered
-    by one window over the key: a single shuffle. A larger socket never meets
-    in one task: its rows are numbered inside pieces of at most ``split_rows``
-    and each piece starts at the running count of the pieces before it.
+    """Every ``n + 1``-th row of each socket, in ``order`` (any columns, NULL first).
+
+    Rows are numbered inside pieces of a socket, spans of ``piece_seconds`` of
+    the first order column, and each piece starts at the count of the pieces
+    before it, so a socket with very many rows is spread over many tasks. The
+    rows are shuffled once; the pieces are counted from the key and time columns
+    alone, combined before their shuffle, in the same job. With
+    ``piece_seconds=None``, or where the first order column is no time, one
+    window numbers a socket. Either way the rows are the same. Rows that tie in
+    all order columns are told apart arbitrarily.
     """
     if check_sample(n) == 0:
         return df
-    key = present_key(df, key)
-    hot = _hot_sockets(df, key, split_rows)
-    if hot is None:
+    key, order = present_key(df, key), check_order(df, order)
+    piece = _piece(df, order[0], piece_seconds) if piece_seconds else None
+    if piece is None:
         position = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
         numbered = df.withColumn("_position", position)
     else:
-        numbered = _number_in_pieces(df, hot, key, order, split_rows)
+        numbered = _number_in_pieces(df, piece, key, order)
     return numbered.where(F.col("_position") % (n + 1) == 0).drop("_position")
 
 
-def _hot_sockets(df: DataFrame, key, split_rows: int) -> DataFrame | None:
-    """Sockets with more than ``split_rows`` rows; None if there are none.
-
-    Map-side counts keep the shuffle to one row per socket and task. The result
-    has at most ``rows / split_rows`` rows, and is cut from its lineage so that
-    the count is not run again.
-    """
-    counts = df.groupBy(F.struct(*key).alias("_socket")).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = checkpoint(counts.where(F.col("_rows") > split_rows).select("_socket"))
-    return None if hot.isEmpty() else hot
+def _piece(df: DataFrame, name: str, seconds: int) -> Column | None:
+    """Number of the span a row falls into, never NULL; None if the column holds no time."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value = F.unix_timestamp(F.col(name).cast("timestamp"))
+    elif isinstance(kind, T.NumericType):
+        value = F.col(name)
+    else:
+        return None
+    return F.coalesce(F.floor(value / seconds).cast("bigint"), F.lit(_NO_TIME))
 
 
-def _number_in_pieces(df, hot, key, order, split_rows) -> DataFrame:
-    second, sequence = order
+def _number_in_pieces(df: DataFrame, piece: Column, key: list[str], order: list[str]) -> DataFrame:
     columns = df.columns
-    marks = hot.withColumn("_hot", F.lit(True))
-    if hot.count() <= BROADCAST_ROWS:
-        marks = F.broadcast(marks)
-    # a piece: one second of one hot socket, cut by sequence number where even
-    # that is large; sequence numbers are unique, so a piece is bounded. The
-    # struct makes sockets with NULL key columns comparable.
-    piece = ["_second", "_slice"]
-    tagged = (
-        df.withColumn("_socket", F.struct(*key))
-        .join(marks, "_socket", "left")
-        .withColumn("_second", F.when(F.col("_hot"), F.col(second)))
-        .withColumn("_slice", F.when(F.col("_hot"), F.floor(F.col(sequence) / split_rows)))
-        .select("_socket", *piece, *columns)
-    )
-
-    # running counts in two levels, so no window holds more than the days of a
-    # socket or the pieces of a day
-    sizes = (
-        tagged.where(F.col("_second").isNotNull())
-        .groupBy("_socket", *piece)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_day", F.floor(F.col("_second") / _DAY))
-    )
-    by_day = Window.partitionBy("_socket").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    by_piece = Window.partitionBy("_socket", "_day").orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
-    days = (
-        sizes.groupBy("_socket", "_day")
+    # the struct makes sockets with NULL key columns comparable
+    tagged = df.select(F.struct(*key).alias("_socket"), piece.alias("_piece"), *columns)
+    rank = F.row_number().over(Window.partitionBy("_socket", "_piece").orderBy(*order))
+    ranked = tagged.withColumn("_rank", rank)
+
+    # running counts in two levels, so no window holds all pieces of a socket
+    sizes = tagged.groupBy("_socket", "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = sizes.withColumn("_span", F.floor(F.col("_piece") / _PIECES))
+    by_span = Window.partitionBy("_socket").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    by_piece = Window.partitionBy("_socket", "_span").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    spans = (
+        sizes.groupBy("_socket", "_span")
         .agg(F.sum("_rows").alias("_rows"))
-        .select("_socket", "_day", F.sum("_rows").over(by_day).alias("_day_start"))
+        .select("_socket", "_span", F.sum("_rows").over(by_span).alias("_span_start"))
     )
     starts = (
         sizes.withColumn("_piece_start", F.sum("_rows").over(by_piece))
-        .join(days, ["_socket", "_day"])
-        .select(
-            "_socket",
-            *piece,
-            (F.coalesce("_piece_start", F.lit(0)) + F.coalesce("_day_start", F.lit(0))).alias("_start"),
-        )
-    )
-    # join and window share one partitioning of the rows
-    rank = F.row_number().over(Window.partitionBy("_socket", *piece).orderBy(*order))
-    return (
-        tagged.join(starts, ["_socket", *piece], "left")
-        .withColumn("_position", rank + F.coalesce("_start", F.lit(0)))
-        .select(*columns, "_position")
+        .join(spans, ["_socket", "_span"])
+        .select("_socket", "_piece", (F.coalesce("_piece_start", F.lit(0)) + F.coalesce("_span_start", F.lit(0))).alias("_start"))
     )
+    return ranked.join(starts, ["_socket", "_piece"]).withColumn("_position", F.col("_rank") + F.col("_start")).select(*columns, "_position")
 
 
 def sample_stream(
@@ -143,7 +131,7 @@ def sample_stream(
     if check_sample(n) == 0:
         return df
     key = present_key(df, key)
-    order = list(order)
+    order = check_order(df, order)
     step = n + 1
     columns = df.columns
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
@@ -154,7 +142,8 @@ def sample_stream(
             return
         rows = pd.concat(list(frames), ignore_index=True)
         seen = state.get[0] if state.exists else 0
-        ranked = np.lexsort([rows[c].to_numpy() for c in reversed(order)])
+        # NULL first, as in a batch
+        ranked = rows[order].sort_values(order, na_position="first", kind="stable").index.to_numpy()
         kept = ranked[(seen + 1 + np.arange(len(ranked))) % step == 0]
         seen = (seen + len(ranked)) % step
         if seen:

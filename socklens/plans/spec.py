@@ -11,7 +11,7 @@ from socklens.catalog import STATE_TRACEPOINT, canonical, check_tracepoint, stat
 from socklens.functions.clock import stamp_time
 from socklens.operators.predicates import drop_where, filter_family, select_state_rows, select_tracepoint
 from socklens.operators.project import apply_math, derive_intrinsic, project
-from socklens.operators.sampling import ORDER, SPLIT_ROWS, check_sample, present_key, sample_per_socket, sample_stream
+from socklens.operators.sampling import ORDER, PIECE_SECONDS, check_order, check_sample, present_key, sample_per_socket, sample_stream
 
 # -- fixed values: the spec used when nothing is configured ----------------
 DEFAULT_FIELDS = ("RTT", "TotalRetrans", "SAddr", "DAddr", "DPort")
@@ -28,7 +28,11 @@ class FieldSpec:
 
 @dataclass
 class Spec:
-    """One tracepoint's selection. ``sample`` n keeps one row in n + 1."""
+    """One tracepoint's selection. ``sample`` n keeps one row in n + 1.
+
+    Sampling counts per ``key`` (default: the socket columns of the input) in
+    ``order``; ``idle_minutes`` is when a stream forgets a socket that stopped.
+    """
 
     tracepoint: str = STATE_TRACEPOINT
     fields: Iterable = DEFAULT_FIELDS
@@ -37,6 +41,9 @@ class Spec:
     sample: int = 0
     egress: str = "console"
     keep: Iterable[str] = default(default=())
+    order: Iterable[str] = ORDER
+    key: Iterable[str] | None = None
+    idle_minutes: int | None = None
 
     def __post_init__(self):
         self.fields = [self._field(f) for f in self.fields]
@@ -52,6 +59,10 @@ class Spec:
             if family not in (4, 6):
                 raise ValueError(f"wrong address family: {family}")
         check_sample(self.sample)
+        self.order = [self.order] if isinstance(self.order, str) else list(self.order)
+        self.key = list(self.key) if self.key else None
+        if not self.order:
+            raise ValueError("sampling needs an order")
 
     @staticmethod
     def _field(value) -> FieldSpec:
@@ -85,6 +96,9 @@ def specs_from_config(config: Mapping) -> dict[str, list[Spec]]:
             inet=point.get("inet") or (4,),
             sample=point.get("sample", 0),
             egress=point["egress"],
+            order=point.get("order") or ORDER,
+            key=point.get("key"),
+            idle_minutes=point.get("idle_minutes"),
         )
         grouped.setdefault(spec.egress, []).append(spec)
     return grouped
@@ -94,16 +108,16 @@ def run_spec(
     df: DataFrame,
     spec: Spec,
     received: str | None = None,
-    order: Iterable[str] = ORDER,
+    order: Iterable[str] | None = None,
     key: Iterable[str] | None = None,
-    split_rows: int = SPLIT_ROWS,
+    piece_seconds: int | None = PIECE_SECONDS,
 ) -> DataFrame:
     """Events of ``df`` selected by ``spec``: fields in spec order, Timestamp last.
 
     Selection comes first, then field math, then the drop filters over the
     computed values, then sampling. ``received`` names a receive-time column to
     stamp from; without it the input's own Timestamp is used, or the current
-    time if it has none.
+    time if it has none. ``order`` and ``key`` stand in for those of the spec.
     """
     rows = select_tracepoint(df, spec.tracepoint)
     rows = select_state_rows(rows, spec.tracepoint, spec.tcp_state)
@@ -113,17 +127,17 @@ def run_spec(
     rows = derive_intrinsic(rows)
     if spec.sample:
         # sockets are told apart by their true addresses and ports, before math
-        names = present_key(rows, key)
+        names = present_key(rows, key or spec.key)
+        order = check_order(rows, list(order or spec.order))
         sockets = {f"_key_{n}": F.col(n) for n in names}
         rows = rows.withColumns(sockets)
     rows = apply_math(rows, {f.name: f.math for f in spec.fields})
     rows = drop_where(rows, {f.name: f.filter for f in spec.fields})
     keep = ["Timestamp", *spec.keep]
     if spec.sample:
-        order = list(order)
         rows = project(rows, spec.field_names, [*dict.fromkeys([*keep, *order]), *sockets])
         if rows.isStreaming:
-            rows = sample_stream(rows, spec.sample, list(sockets), order)
+            rows = sample_stream(rows, spec.sample, list(sockets), order, spec.idle_minutes)
         else:
-            rows = sample_per_socket(rows, spec.sample, list(sockets), order, split_rows)
+            rows = sample_per_socket(rows, spec.sample, list(sockets), order, piece_seconds)
     return project(rows, spec.field_names, keep)

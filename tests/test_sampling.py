@@ -6,6 +6,7 @@ from socklens import Spec, run_spec, sample_per_socket, sample_stream
 
 COLUMNS = "event_id long, Hostname string, SAddr string, Timestamp long"
 KEY = ["Hostname", "SAddr"]
+ARRIVAL = ["Timestamp", "event_id"]
 
 
 def _events(n, seed=5, hot=0.4):
@@ -37,19 +38,19 @@ def _ids(df):
 
 
 @pytest.mark.parametrize("n", [1, 3, 10])
-@pytest.mark.parametrize("split_rows", [10**6, 100, 7])
-def test_equals_counter_loop(spark, n, split_rows):
+@pytest.mark.parametrize("piece_seconds", [None, 600, 3])
+def test_equals_counter_loop(spark, n, piece_seconds):
     rows = _events(1500)
     shuffled = rows[:]
     random.Random(1).shuffle(shuffled)
     df = spark.createDataFrame(shuffled, COLUMNS)
-    assert _ids(sample_per_socket(df, n, KEY, split_rows=split_rows)) == _counted(rows, n)
+    assert _ids(sample_per_socket(df, n, KEY, ARRIVAL, piece_seconds)) == _counted(rows, n)
 
 
 def test_one_second_holds_a_whole_socket(spark):
     rows = [(i, "h", "a", 1_700_000_000) for i in range(1000)]
     df = spark.createDataFrame(rows, COLUMNS)
-    assert _ids(sample_per_socket(df, 4, KEY, split_rows=64)) == _counted(rows, 4)
+    assert _ids(sample_per_socket(df, 4, KEY, ARRIVAL, 60)) == _counted(rows, 4)
 
 
 def test_zero_is_off_and_negative_is_an_error(spark):
@@ -61,15 +62,48 @@ def test_zero_is_off_and_negative_is_an_error(spark):
 
 def test_plain_path_shuffles_once(spark):
     df = spark.createDataFrame(_events(100), COLUMNS)
-    plan = sample_per_socket(df, 2, KEY)._jdf.queryExecution().executedPlan().toString()
+    plan = sample_per_socket(df, 2, KEY, piece_seconds=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
 
+def test_rows_are_read_and_shuffled_once(spark, tmp_path):
+    """The pieces are counted from the key and time columns alone, and once."""
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(_events(100), COLUMNS).write.parquet(path)
+    df = sample_per_socket(spark.read.parquet(path), 2, KEY, ARRIVAL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    reads = [line for line in final.splitlines() if "FileScan" in line]
+    assert sum("event_id:bigint" in line for line in reads) == 1
+    assert len([line for line in reads if "event_id" not in line]) <= 2
+
+
+@pytest.mark.parametrize("order", [["Timestamp", "event_id"], ["event_id"], ["SAddr", "event_id"]])
+def test_null_order_values_count_alike_in_pieces_and_whole(spark, order):
+    rows = [(None if i % 11 == 3 else i, "h", None if i % 7 == 0 else f"a{i % 5}", None if i % 5 == 0 else 1_700_000_000 + i * 400) for i in range(200)]
+    rows = [r for r in rows if r[0] is not None or r[3] is not None]
+    df = spark.createDataFrame(rows, COLUMNS)
+    whole = sample_per_socket(df, 3, ["Hostname"], order, None)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, sample_per_socket(df, 3, ["Hostname"], order, 600).collect()))
+    assert whole.count() == len(rows) // 4
+
+
+def test_missing_key_and_order_columns_are_named(spark):
+    df = spark.createDataFrame(_events(10), COLUMNS)
+    with pytest.raises(ValueError, match="nothing"):
+        sample_per_socket(df, 2, ["nothing"])
+    with pytest.raises(ValueError, match="nothing"):
+        sample_per_socket(df, 2, KEY, ["nothing"])
+    with pytest.raises(ValueError, match="key columns"):
+        sample_per_socket(df.select("event_id", "Timestamp"), 2)
+
+
 def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
     rows = _events(900, seed=9)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     (tmp_path / "in").mkdir()
-    stream = sample_stream(spark.readStream.schema(COLUMNS).parquet(source), 3, KEY)
+    stream = sample_stream(spark.readStream.schema(COLUMNS).parquet(source), 3, KEY, ARRIVAL)
 
     def drain():
         writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
@@ -92,7 +126,7 @@ def test_sampling_counts_true_sockets_after_filters(spark):
         "event_id long, Tracepoint string, Protocol int, Inet int, NewState int, Hostname string, SAddr string, "
         "DAddr string, LPort int, DPort int, SRTT long, Timestamp long",
     )
-    spec = Spec(fields=[{"name": "LPort", "math": "& 0"}, {"name": "SRTT", "filter": "SRTT < 1000"}], sample=4, keep=["event_id"])
+    spec = Spec(fields=[{"name": "LPort", "math": "& 0"}, {"name": "SRTT", "filter": "SRTT < 1000"}], sample=4, keep=["event_id"], order=ARRIVAL)
     got = run_spec(df, spec)
     passed = [r for r in rows if r[10] >= 1000]
     want = [r[0] for port in (1000, 1001) for r in [x for x in passed if x[8] == port][4::5]]

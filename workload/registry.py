@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from socklens import (
     GeoLookup,
@@ -79,6 +79,7 @@ def query(name: str, sql: str | None = None):
 
 
 RECORD_FIELDS = ["PID", "Task", "SRTT", "TotalRetrans", "AdvMSS", "BytesReceived", "SAddr", "DAddr", "DPort", "LPort", "BytesSent", "NewState"]
+ARRIVAL = ("Timestamp", "event_id")
 LINE_FIELDS = ["Task", "SRTT", "TotalRetrans", "SAddr", "DAddr", "DPort", "BytesSent"]
 SPEC = dict(
     fields=[
@@ -490,12 +491,12 @@ def _sampled(where: str, step: int, columns: str = "event_id, SAddr, SRTT") -> s
     _sampled(f"{_CLOSED} AND NOT ({_RTT_MS} < 1)", 3, _SPEC_COLUMNS),
 )
 def spec_sampled(spark, sf_dir):
-    return run_spec(tcp_events(spark, sf_dir), Spec(**SPEC, sample=2, keep=["event_id"]))
+    return run_spec(tcp_events(spark, sf_dir), Spec(**SPEC, sample=2, keep=["event_id"], order=ARRIVAL))
 
 
 @query("socket_sampling", _sampled("TRUE", 4))
 def socket_sampling(spark, sf_dir):
-    return sample_per_socket(tcp_events(spark, sf_dir), 3).select("event_id", "SAddr", "SRTT")
+    return sample_per_socket(tcp_events(spark, sf_dir), 3, order=ARRIVAL).select("event_id", "SAddr", "SRTT")
 
 
 # every user's rows as one socket, so that sockets are large; the split path
@@ -505,7 +506,7 @@ _HOT = "ROW_NUMBER() OVER (PARTITION BY Hostname ORDER BY Timestamp, event_id)"
 
 @query("hot_socket_sampling", f"SELECT event_id, Hostname FROM (SELECT event_id, Hostname, {_HOT} AS rn FROM tcp_events) AS r WHERE rn % 6 = 0")
 def hot_socket_sampling(spark, sf_dir):
-    rows = sample_per_socket(tcp_events(spark, sf_dir), 5, key=["Hostname"], split_rows=40)
+    rows = sample_per_socket(tcp_events(spark, sf_dir), 5, key=["Hostname"], order=ARRIVAL, piece_seconds=60)
     return rows.select("event_id", "Hostname")
 
 
@@ -515,11 +516,23 @@ def socket_sampling_stream(spark, sf_dir):
     rows = tcp_events(spark, sf_dir)
     rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
-    spec = Spec(fields=["SAddr", "SRTT"], inet=[4, 6], sample=2, keep=["event_id"])
+    spec = Spec(fields=["SAddr", "SRTT"], inet=[4, 6], sample=2, keep=["event_id"], order=ARRIVAL)
     with _state_partitions(spark):
         return _drain(spark, run_spec(stream, spec)).select("event_id", "SAddr", "SRTT")
 
 
+@query(
+    "hot_socket_sampling_nulls",
+    """SELECT event_id, CAST(rn AS BIGINT) AS position FROM (SELECT event_id, ROW_NUMBER() OVER (PARTITION BY Hostname
+    ORDER BY CASE WHEN event_id % 5 = 0 THEN NULL ELSE Timestamp END NULLS FIRST, event_id) AS rn FROM tcp_events) AS t WHERE rn % 6 = 0""",
+)
+def hot_socket_sampling_nulls(spark, sf_dir):
+    rows = tcp_events(spark, sf_dir).withColumn("Timestamp", F.when(F.col("event_id") % 5 != 0, F.col("Timestamp")))
+    kept = sample_per_socket(rows, 5, ["Hostname"], ARRIVAL, 60)
+    place = F.row_number().over(Window.partitionBy("Hostname").orderBy("Timestamp", "event_id"))
+    return kept.select("event_id", (place * 6).cast("bigint").alias("position"))
+
+
 class _state_partitions:
     """One state store per core while a stream runs on a single machine."""
 
