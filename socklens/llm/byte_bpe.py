@@ -23,7 +23,10 @@ from pyspark.sql import DataFrame, types as T
 
 from socklens.llm.pretokens import PieceCache, split
 
-MOST_PAIRS = 1_000_000
+# Entries of the caches of a worker; they bound its memory and change no result.
+MOST_PIECES = 300_000
+MOST_PAIRS = 300_000
+MOST_HALVES = 200_000
 
 
 class BytePairs:
@@ -32,7 +35,7 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {rank: data for data, rank in ranks.items()}
-        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.pairs: dict[int, tuple[int, ...] | None] = {}  # None: the pair encodes to itself
         self.own: dict[bytes, bool] = {}
         self.halves: dict[bytes, tuple[int, ...]] = {}
 
@@ -74,12 +77,14 @@ class BytePairs:
 
     def pair(self, a: int, b: int) -> tuple[int, ...]:
         """The encoding of two adjacent tokens."""
-        known = self.pairs.get((a, b))
-        if known is None:
+        key = a << 32 | b
+        known = self.pairs.get(key, ())
+        if known == ():
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.bytes[a] + self.bytes[b])
-        return known
+            known = self.merge(self.bytes[a] + self.bytes[b])
+            known = self.pairs[key] = None if known == (a, b) else known
+        return (a, b) if known is None else known
 
     def stable(self, a: int, b: int) -> bool:
         return self.pair(a, b) == (a, b)
@@ -119,7 +124,7 @@ class BytePairs:
             middle = len(data) // 2
             known = self.join(self._tree(data[:middle]), self._tree(data[middle:]))
             if len(data) <= 8:
-                if len(self.halves) >= MOST_PAIRS:
+                if len(self.halves) >= MOST_HALVES:
                     self.halves.clear()
                 self.halves[data] = known
         return known
@@ -141,7 +146,7 @@ def load(path: str) -> BytePairs:
 @lru_cache(maxsize=2)
 def _cache(path: str) -> PieceCache:
     pairs = load(path)
-    return PieceCache(lambda piece: np.array(pairs.encode(piece.encode()), "<i4").tobytes())
+    return PieceCache(lambda piece: np.array(pairs.encode(piece.encode()), "<i4").tobytes(), MOST_PIECES)
 
 
 def encode_text(text: str, path: str) -> np.ndarray:
