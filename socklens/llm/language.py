@@ -20,15 +20,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from socklens.llm.shared import stash
 from socklens.llm.words import _bytes, pieces
 
 ORDER = 4  # bytes of the longest context
-TRAIN_DOCS = 400  # texts a language learns from, at most
-TRAIN_BYTES = 4_000  # bytes of a text it learns from, at most
-LEAST_SEEN = 12  # a longer context is kept if it was seen so often, in all languages together
+TRAIN_DOCS = 300  # texts a language learns from, at most
+TRAIN_BYTES = 2_000  # bytes of a text it learns from, at most
+LEAST_SEEN = 20  # a longer context is kept if it was seen so often, in all languages together
+COUNT_TASKS = 4
 LANE = 1_024  # bytes a lane of the automaton scores
 UNKNOWN = "und"
 
@@ -86,7 +89,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: i
     are counts of contexts and bytes of the sample, which the two bounds limit.
     """
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h")
+        F.col(lang).cast("string").alias("lang"), F.substring(F.col(text).cast("string"), 1, TRAIN_BYTES).alias("text"), F.xxhash64(text).alias("h")
     )
     # ranked within hash ranges first, so that no task ranks a whole language
     known = known.withColumn("range", F.col("h").bitwiseAND(F.lit(255)))
@@ -109,17 +112,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: i
         languages, grams = [k[0] for k in seen], [k[1] for k in seen]
         yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(grams, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram binary, n long")
-    return build([tuple(r) for r in counts.groupBy("lang", "gram").agg(F.sum("n")).toPandas().itertuples(index=False)])
+    # few tasks, as the sample is small and each sends what it counted
+    counted = sample.select("lang", "text").coalesce(COUNT_TASKS).mapInArrow(count, "lang string, gram binary, n long")
+    counts = stash(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "contexts")
+    # only what follows a context that is kept
+    kept = counts.groupBy("gram").agg(F.sum("n").alias("n")).where((F.length("gram") == 1) | (F.col("n") >= LEAST_SEEN))
+    context = F.substring(F.col("gram"), F.lit(1), F.length("gram") - 1)
+    follow = counts.join(kept.select(F.col("gram").alias("context")), context == F.col("context"), "left_semi")
+    return build(counts.where(F.length("gram") == 1).unionByName(follow).toPandas())
 
 
-def build(counts: list[tuple[str, bytes, int]], least_seen: int = LEAST_SEEN) -> Model:
-    """The automaton from (language, context and byte, times)."""
-    languages = sorted({c[0] for c in counts})
+def build(counts: pd.DataFrame, least_seen: int = LEAST_SEEN) -> Model:
+    """The automaton from (lang, gram, n): how often a context with the byte after it stands in texts of a language."""
+    languages = sorted(counts["lang"].unique())
     number = {language: i for i, language in enumerate(languages)}
     grams: dict[bytes, np.ndarray] = {}
-    for language, gram, n in counts:
-        grams.setdefault(bytes(gram), np.zeros(len(languages)))[number[language]] += n
+    for language, gram, n in zip(counts["lang"], counts["gram"], counts["n"]):
+        grams.setdefault(bytes(gram), np.zeros(len(languages), np.float32))[number[language]] += n
     letters = sorted({g[0] for g in grams if len(g) == 1})
     symbol = np.zeros(256, np.int64)  # 0 stands for all bytes that were never seen
     symbol[letters] = np.arange(1, len(letters) + 1)
@@ -128,14 +137,14 @@ def build(counts: list[tuple[str, bytes, int]], least_seen: int = LEAST_SEEN) ->
     # closed already: what is seen less often than its parts is never longer than they
     place = {c: i for i, c in enumerate(states)}
     width = len(letters) + 1
-    seen = np.zeros((len(states), width, len(languages)))
+    seen = np.zeros((len(states), width, len(languages)), np.float32)
     for gram, n in grams.items():
         if gram[:-1] in place:
             seen[place[gram[:-1]], symbol[gram[-1]]] = n
     chance = np.empty_like(seen)
     step = np.zeros((len(states), width), np.int64)
     for i, context in enumerate(states):
-        shorter = chance[place[context[1:]]] if context else np.full((width, len(languages)), 1 / 256)
+        shorter = chance[place[context[1:]]] if context else np.full((width, len(languages)), 1 / 256, np.float32)
         total, kinds = seen[i].sum(0), (seen[i] > 0).sum(0)
         both = np.maximum(total + kinds, 1)
         escape = np.where(total > 0, kinds / both, 1.0)
@@ -145,7 +154,7 @@ def build(counts: list[tuple[str, bytes, int]], least_seen: int = LEAST_SEEN) ->
             while follow not in place:
                 follow = follow[1:]
             step[i, symbol[letter]] = place[follow]
-    return Model(languages, symbol, step, -np.log2(chance).reshape(-1, len(languages)).astype(np.float32))
+    return Model(languages, symbol, step, -np.log2(chance).reshape(len(states) * width, len(languages)).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
