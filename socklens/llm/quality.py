@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from socklens.llm.shared import whole_text
 from socklens.llm.words import Words, _bytes, mix, pieces
 
-LABELLED = 12_000
-POOL = 6_000
+LABELLED = 8_000
+POOL = 4_000
 WORD_BITS = 18
-MOST_WORDS = 1_000  # words the text view weighs: those whose presence differs most between the classes
+MOST_WORDS = 700  # words the text view weighs: those whose presence differs most between the classes
 LEAST_Z = 4.0
 ROUNDS = 3
 SURE = 0.98
@@ -38,8 +38,8 @@ HANDED = 500  # pseudo-labels a view hands over per round and class, at most
 CALIBRATE = 4  # every so many-th labelled document calibrates and teaches nothing
 REJECT_BELOW = 0.5
 SHAPE = 128 + 5
-META_BITS = 8
-SAMPLE = "good int, words array<int>, shape array<float>, meta array<int>"
+META_BITS = 6
+SAMPLE = "h long, good int, words array<int>, shape array<float>, meta array<int>"
 
 
 def shape_features(texts: pa.Array, words: Words) -> np.ndarray:
@@ -91,7 +91,8 @@ class Logistic:
     scale: np.ndarray
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.weights + self.bias
+        slope = (self.weights / self.scale).astype(np.float32)
+        return x.astype(np.float32, copy=False) @ slope + (self.bias - float(self.mean / self.scale @ self.weights))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -100,10 +101,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 250) -> Logistic:
     """Logistic regression by accelerated gradient steps, deterministic; columns that never vary weigh nothing."""
-    mean, scale = x.mean(0), x.std(0)
-    used = np.flatnonzero(scale > 1e-9)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.ascontiguousarray(((x - mean) / scale)[:, used], dtype=np.float32)
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
+    used = np.flatnonzero(scale > 1e-6)
+    scale = np.where(scale > 1e-6, scale, 1.0)
+    z = x[:, used].astype(np.float32)  # the one copy; everything else is a vector
+    z -= mean[used].astype(np.float32)
+    z /= scale[used].astype(np.float32)
     y = y.astype(np.float32)
     n, d = z.shape
     probe, top = np.ones(d, np.float32) / np.sqrt(max(d, 1)), 1.0
@@ -171,18 +174,29 @@ def _batch_features(batch: pa.RecordBatch, at: dict[str, int]) -> tuple[Words, n
 
 
 def sample_features(docs: DataFrame) -> pd.DataFrame:
-    """(good, words, shape, meta) of a sample, on the driver; ``docs`` has good, text, source and lang."""
-    at = {"text": 1, "source": 2, "lang": 3}
+    """(h, good, words, shape, meta) of a sample by ``h``, on the driver; ``docs`` has h, good, text, source and lang."""
+    at = {"text": 2, "source": 3, "lang": 4}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, 1):
+        for piece in pieces(batches, at["text"]):
             words, shape, meta = _batch_features(piece, at)
             cells = word_features(words).astype(np.int32)
             held = [np.unique(cells[a:b]) for a, b in zip(words.first[:-1], words.first[1:])]
-            columns = [piece.column(0), pa.array(held, pa.list_(pa.int32())), pa.array(list(shape), pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["good", "words", "shape", "meta"])
+            columns = [piece.column(0), piece.column(1), pa.array(held, pa.list_(pa.int32())), pa.array(list(shape), pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "good", "words", "shape", "meta"])
+
+    columns = docs.select("h", "good", "text", "source", "lang")
+    return columns.mapInArrow(run, SAMPLE).toPandas().sort_values("h", ignore_index=True)
+
 
-    return docs.mapInArrow(run, SAMPLE).toPandas()
+def sample(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The documents of the ``n`` ids with the smallest hashes, equal rows once, with a hash ``h``.
+
+    ``ids`` has doc_id and good. Ids are chosen without their texts and sent to
+    all tasks, ``n`` rows at most, so no text is shuffled but those of the sample.
+    """
+    least = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(n)
+    return docs.join(F.broadcast(least), "doc_id").withColumn("h", F.xxhash64("doc_id", "text", "good")).dropDuplicates(["h"])
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> QualityModel:
@@ -194,14 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     """
     marked = labels.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")).dropna()
     base = docs.select("doc_id", whole_text().alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
-    columns = ["good", "text", "source", "lang"]
-    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    known = base.join(marked, "doc_id").orderBy(*order).limit(labelled).select(columns)
-    free = base.join(marked, "doc_id", "left_anti").orderBy(*order).limit(pool)
-    known = sample_features(known)
+    ids = base.select("doc_id")
+    known = sample_features(sample(base, ids.join(marked, "doc_id"), labelled))
     if known["good"].nunique() < 2 or len(known) < 2 * CALIBRATE:
         return QualityModel(float(known["good"].mean()) if len(known) else 1.0)
-    free = sample_features(free.select(F.lit(0).alias("good"), "text", "source", "lang"))
+    others = ids.where("doc_id IS NOT NULL").join(marked, "doc_id", "left_anti").withColumn("good", F.lit(0))
+    free = sample_features(sample(base, others, pool))
     return co_train(known, free, rounds)
 
 
