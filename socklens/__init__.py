@@ -9,7 +9,7 @@ from socklens.operators.decode import decode_json, decode_records, encode_record
 from socklens.operators.documents import to_bulk_lines, to_documents
 from socklens.operators.enrich import GeoLookup, enrich_geo
 from socklens.operators.lines import to_array_lines, to_console_lines, to_csv_lines, to_event_json
-from socklens.operators.points import to_line_protocol, to_points
+from socklens.operators.points import to_line_protocol, to_lines, to_points
 from socklens.operators.predicates import drop_where, filter_family, filter_protocol, filter_state, select_tracepoint
 from socklens.operators.project import apply_math, derive_intrinsic, project
 from socklens.operators.sampling import sample_per_socket, sample_stream

@@ -185,6 +185,9 @@ def _value(node: ast.AST, text: str, operand: _Typed, name: str) -> _Typed:
         )
     if isinstance(node, ast.Constant):
         return _literal(node, text)
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        # as in C: zero minus the promoted operand
+        return _binary(ast.Sub(), _Typed(_INT, 0), _value(node.operand, text, operand, name))
     if isinstance(node, ast.Name) and node.id.lower() == name.lower():
         return operand
     raise ValueError(f"not allowed in a field expression: {text.strip()!r}")
@@ -233,17 +236,34 @@ _COMPARE = {
 }
 
 
+_TOKEN = re.compile(
+    r"""\s*(?:(?P<text>"[^"\\]*"|'[^'\\]*')|(?P<number>0[xX][0-9a-fA-F]+|[0-9]+)|(?P<name>[A-Za-z_]\w*)"""
+    r"""|(?P<sign>&&|\|\||<<|>>|[<>=!]=|[-+*/%<>&|^!()]))"""
+)
+# C's logical signs in the grammar the text is parsed by; ! binds like ~ does
+_SPELLED = {"&&": " and ", "||": " or ", "!": "~"}
+
+
+def _tokens(text: str, name: str) -> str:
+    """The condition with C's logical signs spelled out; quoted texts stay as they are."""
+    out, at, text = [], 0, text.strip()
+    while at < len(text):
+        found = _TOKEN.match(text, at)
+        if not found or (found["name"] and found["name"].lower() != name.lower()):
+            raise ValueError(f"not a C condition: {text!r}")
+        out.append(_SPELLED.get(found["sign"], found[0].strip()))
+        at = found.end()
+    # a sign never runs into the one before: "a & &b" and "a / /b" stay errors
+    return " ".join(out)
+
+
 def condition(column: Column, bits: int, name: str, text: str, is_text: bool = False) -> Column:
     """Boolean column of a C condition over one field.
 
     ``name`` is the only name in scope. Text fields (task, addresses) can be
     compared with quoted strings.
     """
-    if "~" in text or "//" in text or "**" in text or re.search(r"\b(and|or|not|in|is|if)\b", text):
-        raise ValueError(f"not a C condition: {text!r}")
-    # C's ! binds like ~ does, so it takes its place in the tree
-    source = text.strip().replace("&&", " and ").replace("||", " or ")
-    source = re.sub(r"!(?!=)", "~", source)
+    source = _tokens(text, name)
     operand = _Typed(None, column) if is_text else _operand(column, bits)
     return _boolean(_parse(source), source, operand, name, is_text)
 

@@ -11,8 +11,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from socklens.catalog import Field, event_schema, field
+from socklens.catalog import FIELDS, Field, event_schema, field
 from socklens.functions.address import add_lookup_keys, fold_zeros, ipv4_from_key, ipv4_key, ipv6_groups
+from socklens.operators.project import HOST_ORDER
 from socklens.functions.bits import cstr, cstr_bytes, raw_word, swap_bytes, uint_bytes, unsigned64
 
 CORRUPT = "_corrupt_record"
@@ -86,9 +87,11 @@ def decode_records(
         mapped = (high == 0) & (F.shiftrightunsigned(low, 32) == 0xFFFF)
         return F.when(mapped, ipv4_from_key(low)).otherwise(fold_zeros(F.col(f"_groups_{entry.name}")))
 
-    columns = [
-        F.when(whole, text(e, at) if e.is_text else number(e, at)).alias(e.name) for e, at in members
-    ]
+    columns = []
+    for entry, at in members:
+        value = F.when(whole, text(entry, at) if entry.is_text else number(entry, at))
+        host_order = fix_lport and entry.name == "LPort"
+        columns.append(value.alias(entry.name, metadata=HOST_ORDER) if host_order else value.alias(entry.name))
     return df.select(*columns, *keep)
 
 
@@ -121,25 +124,46 @@ def encode_records(
     return df.select(F.concat(*parts).alias(data), *keep)
 
 
+_NUMBER = T.DecimalType(38, 12)  # 64-bit counters, fractions and exponents
+
+
 def decode_json(
-    df: DataFrame, schema: T.StructType | None = None, value: str = "value", keep: Iterable[str] = ()
+    df: DataFrame,
+    schema: T.StructType | None = None,
+    value: str = "value",
+    keep: Iterable[str] = (),
+    wide: bool = False,
 ) -> DataFrame:
     """Decode JSON payloads; undecodable ones land in ``_corrupt_record``.
 
     ``schema`` defaults to every catalog field plus the stamps. Keys outside it
-    are ignored, missing ones are NULL.
+    are ignored, missing ones are NULL. Integer fields take any JSON number,
+    cut to whole; with ``wide`` 64-bit counters are DECIMAL(20,0). A number that
+    its column cannot hold makes the payload undecodable, never silently NULL.
     """
     schema = schema or event_schema()
-    if CORRUPT not in schema.names:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    fields = [f for f in schema.fields if f.name != CORRUPT]
+    whole = {f.name for f in fields if isinstance(f.dataType, (T.IntegerType, T.LongType))}
+    read = [T.StructField(f.name, _NUMBER if f.name in whole else f.dataType) for f in fields]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     text = F.col(value).cast("string")
+    parsed_type = T.StructType([*read, T.StructField(CORRUPT, T.StringType())])
     # unpacked by a generator, so that a later filter on the marker cannot pull
     # a second parse below itself
-    parsed = df.select(F.inline(F.array(F.from_json(text, schema, options))), text.alias("_text"), *keep)
+    parsed = df.select(F.inline(F.array(F.from_json(text, parsed_type, options))), text.alias("_text"), *keep)
+    columns, unfit = [], F.lit(False)
+    for f in fields:
+        column = F.col(f.name)
+        if f.name in whole:
+            kind = "decimal(20,0)" if wide and f.name in FIELDS and FIELDS[f.name].ctype == "u64" else f.dataType
+            cut = F.when(column < 0, F.ceil(column)).otherwise(F.floor(column))
+            column = F.when(cut <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), cut).try_cast(kind)
+            unfit = unfit | (F.col(f.name).isNotNull() & column.isNull())
+        columns.append(column.alias(f.name))
     # an empty payload is no JSON object either
     blank = F.when(F.coalesce(F.trim("_text"), F.lit("")) == "", F.coalesce("_text", F.lit("")))
-    return parsed.withColumn(CORRUPT, F.coalesce(CORRUPT, blank)).drop("_text")
+    marker = F.coalesce(CORRUPT, blank, F.when(unfit, F.col("_text")))
+    return parsed.select(*columns, marker.alias(CORRUPT), *keep)
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,8 +179,11 @@ def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def decode_protobuf(df: DataFrame, message: str, descriptor: str, value: str = "value") -> DataFrame:
     """Decode typed protobuf payloads where Spark's protobuf module is installed.
 
-    ``descriptor`` is a descriptor-set file of the typed row's message.
+    ``descriptor`` is a descriptor-set file of the typed row's message. Bytes
+    that are no such message land in ``_corrupt_record``, as base64.
     """
     from pyspark.sql.protobuf.functions import from_protobuf
 
-    return df.select(from_protobuf(F.col(value), message, descFilePath=descriptor).alias("_row")).select("_row.*")
+    row = from_protobuf(F.col(value), message, descFilePath=descriptor, options={"mode": "PERMISSIVE"})
+    marker = F.when(F.col("_row").isNull(), F.coalesce(F.base64(F.col(value)), F.lit("")))
+    return df.select(row.alias("_row"), value).select("_row.*", marker.alias(CORRUPT))

@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from socklens.functions.address import add_lookup_keys
 
@@ -91,6 +91,28 @@ def _prefix(key: Column, family: int, length: int) -> Column:
     return F.substring(key, 1, length)
 
 
+def _check_disjoint(name: str, ranges: DataFrame, family: int) -> None:
+    """Raise if two ranges share an address, or one ends before it begins.
+
+    Ranges are compared with the one before inside blocks of equal leading
+    bytes, then whole blocks with the blocks before, so no task sorts the table.
+    """
+    block = F.shiftright("lo", 16) if family == 4 else F.substring("lo", 1, 4)
+    marked = ranges.where("lo IS NOT NULL AND hi IS NOT NULL").select("lo", "hi", block.alias("block"))
+    inside = Window.partitionBy("block").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    near = marked.select("block", "lo", "hi", ((F.col("lo") > F.col("hi")) | (F.max("hi").over(inside) >= F.col("lo"))).alias("bad"))
+    blocks = near.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("bad").alias("bad"))
+    top = F.shiftright("lo", 24) if family == 4 else F.substring("lo", 1, 2)
+    before = Window.partitionBy("top").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    near = blocks.withColumn("top", top).withColumn("bad", F.coalesce("bad", F.lit(False)) | F.coalesce(F.max("hi").over(before) >= F.col("lo"), F.lit(False)))
+    tops = near.groupBy("top").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("bad").alias("bad"))
+    # one row per leading byte (IPv4) or two (IPv6)
+    order = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
+    far = tops.where(F.col("bad")).isEmpty() and tops.select((F.max("hi").over(order) >= F.col("lo")).alias("bad")).where("bad").isEmpty()
+    if not far:
+        raise ValueError(f"the {name} table has ranges that overlap or end before they begin")
+
+
 @dataclass
 class RangeTable:
     """One lookup table, filed by prefix length.
@@ -112,6 +134,7 @@ class RangeTable:
                 lo, hi = lo.cast("bigint"), hi.cast("bigint")
             filed = df.select(lo.alias("lo"), hi.alias("hi"), record(df).alias("record"))
             frames[family] = filed.withColumn("length", _shared_bytes(family).cast("int"))
+            _check_disjoint(name, frames[family], family)
         measured = [
             df.groupBy(F.lit(family).alias("family"), "length").agg(
                 F.sum(F.length(F.to_json("record")) + _ROW_OVERHEAD).alias("bytes")

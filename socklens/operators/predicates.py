@@ -60,7 +60,7 @@ def drop_where(df: DataFrame, filters: Mapping[str, str]) -> DataFrame:
             continue
         entry = field(name)
         column = F.col(find_column(df, entry.name) or entry.name)
-        hit = cmath.condition(stored_value(column, entry), entry.bits, entry.name, text, entry.is_text)
+        hit = cmath.condition(stored_value(df, column, entry), entry.bits, entry.name, text, entry.is_text)
         hit = F.coalesce(hit, F.lit(False))
         drop = hit if drop is None else drop | hit
     return df if drop is None else df.where(~drop)

@@ -44,13 +44,19 @@ def derive_intrinsic(df: DataFrame) -> DataFrame:
     return df.withColumn("RTT", F.shiftrightunsigned(F.col("SRTT").cast("bigint"), 3))
 
 
-def stored_value(column: Column, entry: Field) -> Column:
+# metadata of a port column that already holds the machine's own byte order
+HOST_ORDER = {"host_order": True}
+
+
+def stored_value(df: DataFrame, column: Column, entry: Field) -> Column:
     """The number the kernel's C code sees for a field.
 
     Ports lie in memory in network order, so a little-endian machine computes
-    with their bytes swapped. Applying it twice gives the column back.
+    with their bytes swapped, unless the column was decoded in host order.
+    Applying it twice gives the column back.
     """
-    if entry.big_endian:
+    found = find_column(df, entry.name)
+    if entry.big_endian and not (found and df.schema[found].metadata.get("host_order")):
         return swap_bytes(column.cast("bigint"), entry.bits // 8)
     return column
 
@@ -67,9 +73,13 @@ def apply_math(df: DataFrame, suffixes: Mapping[str, str]) -> DataFrame:
         entry = field(name)
         if suffix and takes_math(entry):
             column = F.col(find_column(df, entry.name) or entry.name)
-            value = cmath.math(stored_value(column, entry), entry.bits, suffix)
-            changed[entry.name] = stored_value(value, entry).cast(column_type(df, entry))
-    return df.withColumns(changed) if changed else df
+            value = cmath.math(stored_value(df, column, entry), entry.bits, suffix)
+            changed[entry.name] = stored_value(df, value, entry).cast(column_type(df, entry))
+    kept = {n: df.schema[found].metadata for n in changed if (found := find_column(df, n))}
+    df = df.withColumns(changed) if changed else df
+    for name, metadata in kept.items():
+        df = df.withMetadata(name, metadata) if metadata else df
+    return df
 
 
 def column_type(df: DataFrame, entry: Field):

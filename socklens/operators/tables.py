@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -55,3 +56,13 @@ def split_strict(df: DataFrame, mapping: Mapping[str, str]) -> tuple[DataFrame,
         if not _is_text(name):
             absent = absent | _source(df, name).isNull()
     return df.where(~absent), df.where(absent)
+
+
+def require_numbers(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """``df``, whose job fails at the first row without one of the mapped numbers: nothing is lost quietly."""
+    _check(mapping)
+    absent = [_source(df, name).isNull() for name in mapping if not _is_text(name)]
+    if not absent:
+        return df
+    failed = F.raise_error(F.concat(F.lit("a row lacks a number that its table needs: "), F.to_json(F.struct(*df.columns))))
+    return df.where(F.when(reduce(lambda a, b: a | b, absent), failed.cast("boolean")).otherwise(F.lit(True)))

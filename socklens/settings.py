@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Zone-free event times are UTC; adaptive execution sizes partitions and
@@ -33,16 +31,10 @@ def apply(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    A temporary folder stands in only where none is set and the session runs on
-    one machine.
-    """
+    """The folder every executor can reach, as the cluster names it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = f"{tempfile.gettempdir()}/socklens-shared"
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return folder
 
 

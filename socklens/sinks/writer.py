@@ -8,6 +8,7 @@ at-least-once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
@@ -62,7 +63,7 @@ def _fields_of(df: DataFrame) -> list[str]:
 
 def _need(conf, name: str, sink: str):
     if not conf.get(name):
-        raise ValueError(f"{sink}: {name} has not been configured")
+        raise ValueError(f"sink {sink} needs the setting {name!r}")
     return conf[name]
 
 
@@ -88,11 +89,26 @@ def _start(writer, conf) -> StreamingQuery:
     return writer.start()
 
 
+def _print_lines(rows) -> None:
+    for row in rows:
+        print(row.value)
+    sys.stdout.flush()
+
+
 def _console(df: DataFrame, fields, conf):
+    """Every event as a line, printed where its task runs, or written to text files under ``filename``.
+
+    ``rows`` asks for a preview of so many rows (a batch: of the table, a
+    stream: of each micro-batch) on the driver instead.
+    """
     shaped = lines.to_console_lines(df, fields)
+    if conf.get("filename"):
+        return _save(shaped, conf, "text", conf["filename"])
     if df.isStreaming:
-        return _save(shaped, conf, "console", options={"truncate": "false"})
-    return shaped.show(conf.get("rows", 20), truncate=False)
+        if conf.get("rows"):
+            return _save(shaped, conf, "console", options={"truncate": "false", "numRows": conf["rows"]})
+        return _start(shaped.writeStream.foreachBatch(lambda batch, _id: batch.foreachPartition(_print_lines)), conf)
+    return shaped.show(conf["rows"], truncate=False) if conf.get("rows") else shaped.foreachPartition(_print_lines)
 
 
 def _line_file(shape, header):
@@ -166,8 +182,15 @@ def mapping_of(conf) -> dict[str, str]:
 
 
 def _table(df: DataFrame, conf):
-    missing = tables.MISSING[conf.get("serialization", "pb")]
-    rows = tables.to_table_rows(df, mapping_of(conf), missing)
+    missing, mapping = tables.MISSING[conf.get("serialization", "pb")], mapping_of(conf)
+    if missing == "strict" and df.isStreaming and conf.get("rejects"):
+        raise ValueError("a stream of strict rows keeps its rejects in a flow; leave the setting out")
+    if missing == "strict" and conf.get("rejects"):
+        _, absent = tables.split_strict(df, mapping)
+        rejected(absent).write.mode(conf.get("mode", "append")).parquet(conf["rejects"])
+    elif missing == "strict":
+        df, missing = tables.require_numbers(df, mapping), "null"
+    rows = tables.to_table_rows(df, mapping, missing)
     if conf.get("path"):
         return _save(rows, conf, "parquet", conf["path"])
     options = {
@@ -185,6 +208,12 @@ def _table(df: DataFrame, conf):
     return insert(rows)
 
 
+def rejected(rows: DataFrame) -> DataFrame:
+    """Rows that a strict table does not take, as reject payloads."""
+    payload = F.to_json(F.struct(*rows.columns)) if rows.columns else F.lit("{}")
+    return rows.select(payload.alias("_corrupt_record"), F.lit("missing number").alias("reason"))
+
+
 def _connector_or_text(shaped: DataFrame, text, conf, sink: str):
     """Text files under ``path``, or the rows through connector ``format``."""
     if conf.get("format"):
@@ -205,9 +234,9 @@ def _documents(df: DataFrame, conf):
 
 
 def _points(df: DataFrame, conf):
-    mode = conf.get("serialization", "json")
-    shaped = points.to_points(df, conf.get("measurement", DEFAULT_TOPIC), conf.get("geo_field"), mode)
-    return _connector_or_text(shaped, lambda p: points.to_line_protocol(p, unsigned=mode == "pb"), conf, "points")
+    mode, measurement = conf.get("serialization", "json"), conf.get("measurement", DEFAULT_TOPIC)
+    shape = points.to_points if conf.get("format") else points.to_lines
+    return _connector_or_text(shape(df, measurement, conf.get("geo_field"), mode), lambda lines: lines, conf, "points")
 
 
 _AGENT_WRITERS = {

@@ -11,14 +11,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from socklens.catalog import event_schema
 from socklens.operators.conform import to_typed
 from socklens.operators.decode import decode_json, decode_protobuf, split_malformed
 from socklens.operators.enrich import GeoLookup
-from socklens.sinks.writer import FLOW_SINKS, write
+from socklens.operators.tables import MISSING, split_strict
+from socklens.sinks.writer import FLOW_SINKS, mapping_of, rejected, write
 from socklens.sources.topic import read_topic
 
 SERIALIZATIONS = ("json", "spb", "pb")
@@ -40,19 +42,22 @@ def check_flows(config: Mapping) -> list[Flow]:
     """Flows of a configuration; raises on missing or undefined names."""
     flows = [f if isinstance(f, Flow) else Flow(**{k: f.get(k) or "" for k in Flow.__annotations__}) for f in config.get("flow") or []]
     if not flows:
-        raise ValueError("there is no flow configuration")
+        raise ValueError("the configuration names no flow")
     for flow in flows:
         for part in ("ingestion", "ingress", "serialization"):
             if not getattr(flow, part):
-                raise ValueError(f"{part} has not been configured")
+                raise ValueError(f"a flow lacks its {part}")
         for part in ("ingestion", "ingress"):
             if getattr(flow, part) not in (config.get(part) or {}):
-                raise ValueError(f"{part} {getattr(flow, part)} is not available")
+                raise ValueError(f"no {part} is called {getattr(flow, part)!r}")
         if flow.serialization not in SERIALIZATIONS:
             raise ValueError(f"unknown serialization: {flow.serialization}")
         kind = config["ingestion"][flow.ingestion].get("type")
         if kind not in FLOW_SINKS:
             raise ValueError(f"unknown ingestion type: {kind}")
+    repeated = [flow for n, flow in enumerate(flows) if flow in flows[:n]]
+    if repeated:
+        raise ValueError(f"a flow is named twice: {repeated[0]}")
     return flows
 
 
@@ -68,7 +73,7 @@ def decode_payload(payloads: DataFrame, conf: Mapping, serialization: str) -> Da
     configuration narrows what is parsed."""
     if conf.get("descriptor"):
         return decode_protobuf(payloads, conf["message"], conf["descriptor"])
-    return decode_json(payloads, event_schema(conf.get("fields")))
+    return decode_json(payloads, event_schema(conf.get("fields")), wide=True)
 
 
 def prepare(events: DataFrame, kind: str, conf: Mapping, serialization: str, geo: GeoLookup | None) -> DataFrame:
@@ -95,50 +100,51 @@ def flush(conf: Mapping, kind: str) -> dict:
 def start_flow(
     spark: SparkSession, config: Mapping, flow: Flow, checkpoint: str, geo: GeoLookup | None = None
 ) -> list[StreamingQuery]:
-    """Start one flow; its query, then the rejects' query if one is configured.
-
-    ``rejects`` in the ingress configuration names a folder for undecodable
-    payloads; without it they are skipped.
+    """Start one flow as one query.
+
+    Every micro-batch is read and parsed once. Its good rows go to the sink, in
+    a folder ``batch_id=N`` of their own where the target is a path, so that a
+    replayed batch replaces itself whatever the size of the lookup tables;
+    connectors and JDBC tables are at-least-once. ``rejects`` in the ingress
+    configuration names a folder, laid out alike, for what cannot be decoded
+    and for rows that lack a number a strict table needs. Without it the former
+    are skipped and the latter stop the flow.
     """
     ingress = config["ingress"][flow.ingress].get("config") or {}
     ingestion = config["ingestion"][flow.ingestion]
     conf, kind = dict(ingestion.get("config") or {}), FLOW_SINKS[ingestion["type"]]
     label = f"{flow.ingress}-{flow.ingestion}-{flow.serialization}"
     trigger = flush(conf, kind)
-
-    rows = decode_payload(read_topic(spark, ingress), ingress, flow.serialization)
-    rejects = None
-    if not ingress.get("descriptor"):
-        rows, rejects = split_malformed(rows)
-
-    conf.setdefault("batch_size", FLUSH_ROWS.get(kind, 0))
-    conf |= {"serialization": flow.serialization, "trigger": trigger, "name": label, "checkpoint": f"{checkpoint}/{label}"}
+    conf.setdefault("batch_size", conf.get("flush_rows", FLUSH_ROWS.get(kind, 0)))
+    conf["serialization"] = flow.serialization
     if kind == "points":
         conf["geo_field"] = conf.get("geo_field", GEO_FIELD[kind]) if geo else None
-    queries = [_run(rows, kind, conf, flow, geo)]
-    if rejects is not None and ingress.get("rejects"):
-        writer = rejects.select("_corrupt_record").writeStream.format("parquet").trigger(**trigger)
-        writer = writer.queryName(f"{label}-rejects").option("checkpointLocation", f"{checkpoint}/{label}-rejects")
-        queries.append(writer.option("path", ingress["rejects"]).start())
-    return queries
-
-
-def _run(rows: DataFrame, kind: str, conf: dict, flow: Flow, geo: GeoLookup | None) -> StreamingQuery:
     geo_conf = {k: v for k, v in conf.items() if v is not None}
-    if geo is None or geo.all_small:
-        return write(prepare(rows, kind, geo_conf, flow.serialization, geo), kind, **conf)
+    target = {k: v for k, v in conf.items() if k not in ("trigger", "rejects")}
 
-    # tables too large to broadcast are joined micro-batch by micro-batch;
-    # each batch overwrites its own folder, so a replay leaves no duplicates
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        target = dict(conf)
-        if target.get("path"):
-            target["path"] = f"{target['path']}/batch_id={batch_id}"
-            target["mode"] = "overwrite"
-        write(prepare(batch, kind, geo_conf, flow.serialization, geo), kind, **target)
-
-    writer = rows.writeStream.foreachBatch(ingest).trigger(**conf["trigger"]).queryName(conf["name"])
-    return writer.option("checkpointLocation", conf["checkpoint"]).start()
+        rejects = f"{ingress['rejects']}/batch_id={batch_id}" if ingress.get("rejects") else None
+        here = dict(target)
+        if here.get("path"):
+            here |= {"path": f"{here['path']}/batch_id={batch_id}", "mode": "overwrite"}
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK) if rejects else batch
+        try:
+            good, bad = split_malformed(batch)
+            rows = prepare(good, kind, geo_conf, flow.serialization, geo)
+            if rejects:
+                bad = bad.select("_corrupt_record", F.lit("malformed").alias("reason"))
+                if kind == "table" and MISSING[flow.serialization] == "strict":
+                    rows, absent = split_strict(rows, mapping_of(conf))
+                    bad = bad.unionByName(rejected(absent))
+                bad.write.mode("overwrite").parquet(rejects)
+            write(rows, kind, **here)
+        finally:
+            if rejects:
+                batch.unpersist()
+
+    rows = decode_payload(read_topic(spark, ingress), ingress, flow.serialization)
+    writer = rows.writeStream.foreachBatch(ingest).trigger(**trigger).queryName(label)
+    return [writer.option("checkpointLocation", f"{checkpoint}/{label}").start()]
 
 
 def run_flows(spark: SparkSession, config: Mapping, checkpoint: str) -> list[StreamingQuery]:

@@ -104,3 +104,14 @@ def test_binary_and_text_payloads(spark, value):
     kind = "binary" if isinstance(value, bytes) else "string"
     df = spark.createDataFrame([(value,)], f"value {kind}")
     assert decode_json(df, event_schema(["RTT"])).first().RTT == 7
+
+
+def test_json_numbers_of_any_form(spark):
+    lines = ['{"BytesReceived":18446744073709551615}', '{"BytesReceived":5.9,"RTT":-1.5}', '{"BytesReceived":1.2e4}', '{"BytesReceived":18446744073709551616}', '{"RTT":"x"}', '{"RTT":true}']
+    df = spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1)
+    schema = event_schema(["BytesReceived", "RTT"])
+    good, bad = split_malformed(decode_json(df, schema, wide=True))
+    assert [(str(r.BytesReceived), r.RTT) for r in good.collect()] == [("18446744073709551615", None), ("5", -1), ("12000", None)]
+    assert [r._corrupt_record for r in bad.collect()] == lines[3:]
+    good, bad = split_malformed(decode_json(df, schema))
+    assert [r.BytesReceived for r in good.collect()] == [5, 12000] and bad.count() == 4

@@ -116,3 +116,21 @@ def test_small_tables_need_no_shuffle_and_no_nested_loop(spark, city, asn):
     assert "hashpartitioning" not in plan
     shuffled = plan_of(enrich_geo(df, "city-loc-asn", city=city, asn=asn, max_broadcast_bytes=0))
     assert "NestedLoop" not in shuffled and "Cartesian" not in shuffled
+
+
+@pytest.mark.parametrize("ranges", [
+    [(10, 20), (20, 30)], [(10, 50), (20, 30)], [(10, 20), (12, 14), (13, 15)], [(30, 20)],
+    [(0, 1 << 20), (1 << 18, (1 << 18) + 5)], [(5, 1 << 26), ((1 << 25) + 3, (1 << 25) + 9)], [(1, 2), (1, 2)],
+])
+def test_overlapping_ranges_are_refused(spark, ranges):
+    table = spark.createDataFrame([(lo, hi, "1", "o") for lo, hi in ranges], "lo long, hi long, ASN string, ASNOrg string")
+    with pytest.raises(ValueError, match="overlap"):
+        GeoLookup("asn", asn=table)
+    rows = [(bytes(12) + lo.to_bytes(4), bytes(12) + hi.to_bytes(4), "1", "o") for lo, hi in ranges]
+    with pytest.raises(ValueError, match="overlap"):
+        GeoLookup("asn", asn=spark.createDataFrame(rows, "lo binary, hi binary, ASN string, ASNOrg string"))
+
+
+def test_disjoint_ranges_are_accepted(spark):
+    ranges = [(0, 1 << 17), ((1 << 17) + 1, 1 << 24), ((1 << 24) + 1, 1 << 27), (1 << 28, 1 << 28)]
+    GeoLookup("asn", asn=spark.createDataFrame([(lo, hi, "1", "o") for lo, hi in ranges], "lo long, hi long, ASN string, ASNOrg string"))

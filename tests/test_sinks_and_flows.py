@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from socklens import check_flows, run_agent, run_flows, write
 from socklens.sources.topic import kafka_options, read_topic
@@ -40,12 +41,57 @@ def test_sinks_need_their_settings(df):
         write(df, "kafka", path="x", compression="zip")
 
 
-def test_console_and_unknown_type(df, capfd):
+@pytest.fixture()
+def console(tmp_path, monkeypatch):
+    """What tasks print; their output is not this process's."""
+    folder = str(tmp_path)
+
+    def keep(rows):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}.line", "w") as out:
+            out.writelines(f"{r.value}\n" for r in rows)
+
+    monkeypatch.setattr("socklens.sinks.writer._print_lines", keep)
+    return lambda: [line for f in tmp_path.glob("*.line") for line in f.read_text().splitlines()]
+
+
+def test_console_and_unknown_type(df, console, capfd):
     write(df, "console")
     write(df, "something else", fields=["RTT"])
-    printed = capfd.readouterr().out
-    assert '"RTT":5,"SAddr":"10.0.0.1","Timestamp":1609564925' in printed
-    assert '"RTT":5,"Timestamp":1609564925' in printed
+    assert sorted(console()) == ['"RTT":5,"SAddr":"10.0.0.1","Timestamp":1609564925', '"RTT":5,"Timestamp":1609564925']
+    write(df, "console", rows=1)
+    assert '"RTT":5,"SAddr":"10.0.0.1","Timestamp":1609564925' in capfd.readouterr().out
+
+
+def test_console_prints_every_line(spark, console):
+    rows = spark.range(50).select(F.col("id").alias("RTT"), F.lit(7).cast("long").alias("Timestamp"))
+    write(rows, "console")
+    assert len(set(console())) == 50
+
+
+def test_lines_are_printed(spark, capsys):
+    from socklens.sinks.writer import _print_lines
+
+    _print_lines(iter(spark.createDataFrame([("a",), ("b",)], "value string").collect()))
+    assert capsys.readouterr().out == "a\nb\n"
+
+
+def test_console_stream_prints_every_line(spark, console, tmp_path):
+    spark.range(50).select(F.col("id").alias("RTT"), F.lit(7).cast("long").alias("Timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("RTT long, Timestamp long").parquet(str(tmp_path / "in"))
+    write(stream, "console", checkpoint=str(tmp_path / "c"), trigger={"availableNow": True}).awaitTermination()
+    assert len(set(console())) == 50
+
+
+def test_strict_rows_are_rejected_or_stop_the_job(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2), (3, None)], "RTT long, SRTT long")
+    conf = {"fields": ["RTT", "SRTT"], "columns": ["a", "b"], "serialization": "json", "path": str(tmp_path / "t")}
+    with pytest.raises(Exception, match="lacks a number"):
+        write(rows, "table", **conf)
+    write(rows, "table", **{**conf, "mode": "overwrite"}, rejects=str(tmp_path / "r"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [(1, 2)]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "r")).collect()] == [('{"RTT":3}', "missing number")]
 
 
 def test_typed_payload(spark, df, tmp_path):
@@ -74,6 +120,7 @@ def test_flow_checks():
     bad = [{"flow": []}, {"ingestion": {"out": {"type": "tape"}}}]
     bad += [{"flow": [{**flow, k: ""}]} for k in flow]
     bad += [{"flow": [{**flow, k: "other"}]} for k in flow]
+    bad += [{"flow": [flow, dict(flow)]}]
     for change in bad:
         with pytest.raises(ValueError):
             check_flows({**GOOD, **change})
@@ -106,14 +153,18 @@ def test_flow_survives_bad_payloads_and_restart(spark, tmp_path):
     assert [r._corrupt_record for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == ["{broken"] * 2
 
 
-def test_flow_with_tables_too_large_to_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("socklens.streaming.flows.GeoLookup", lambda level, city, asn: _tiny_limit(level, city, asn))
+@pytest.mark.parametrize("small", [True, False])
+def test_flow_output_does_not_depend_on_the_size_of_lookup_tables(spark, tmp_path, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr("socklens.streaming.flows.GeoLookup", lambda level, city, asn: _tiny_limit(level, city, asn))
     (tmp_path / "topic").mkdir()
     (tmp_path / "topic" / "a").write_text('{"SAddr":"10.0.0.7"}\n{"SAddr":"10.0.1.7"}\n{"RTT":3}')
     asn = spark.createDataFrame([(167772160, 167772415, "65000", "org")], "lo long, hi long, ASN string, ASNOrg string")
     config = {**_flow_config(tmp_path), "geo": {"level": "asn", "asn": asn}}
     _run(spark, config, tmp_path)
-    docs = {r.value for r in spark.read.text(str(tmp_path / "out" / "batch_id=0")).collect()}
+    read = spark.read.text(str(tmp_path / "out"))
+    assert read.columns == ["value", "batch_id"]
+    docs = {r.value for r in read.collect()}
     assert docs == {
         '{"index":{}}', '{"ASN":"65000","ASNOrg":"org","SAddr":"10.0.0.7"}', '{"ASN":"0","ASNOrg":"","SAddr":"10.0.1.7"}', '{"RTT":3}',
     }

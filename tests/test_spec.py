@@ -1,7 +1,9 @@
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
-from socklens import Spec, conformance, run_spec, specs_from_config
+from socklens import Spec, apply_math, conformance, decode_records, drop_where, project, run_spec, specs_from_config
 from socklens.catalog import FIELDS, TCP_STATES, TRACEPOINTS, TYPED_COLUMNS, canonical, catalog, typed_schema
 from tests.conftest import plan_of
 from workload.views import tcp_events
@@ -107,3 +109,33 @@ def test_receive_time_is_stamped(spark):
     assert row.RTT == 1 and row.Timestamp > 1_700_000_000
     stamped = df.withColumn("seen", F.expr("TIMESTAMP '2021-01-20 04:48:10'"))
     assert run_spec(stamped, spec, received="seen").first().Timestamp == 1611118090
+
+
+@pytest.mark.parametrize("name, text, dropped", [
+    ("Task", 'Task == "a!b"', ["a!b"]), ("Task", 'Task == "in"', ["in"]), ("Task", 'Task == "x && y || z//"', ["x && y || z//"]),
+    ("Task", "Task == 'a~b' || Task == \"in\"", ["a~b", "in"]), ("RTT", "RTT > -1", []), ("RTT", "RTT < -1", ["a!b", "a~b", "in", "x && y || z//"]),
+    ("RTT", "!(RTT - -1 > 3) && RTT != 1", ["a!b", "in"]), ("RTT", "RTT & -2", ["in", "a~b", "x && y || z//"]),
+])
+def test_filters_keep_quoted_texts_and_take_negative_numbers(spark, name, text, dropped):
+    rows = [("a!b", 0), ("a~b", 3), ("in", 2), ("x && y || z//", 9)]
+    df = spark.createDataFrame(rows, "Task string, RTT long")
+    left = {r.Task for r in drop_where(df, {name: text}).collect()}
+    assert {t for t, _ in rows} - left == set(dropped)
+
+
+@pytest.mark.parametrize("text", ["RTT ** 2", "RTT // 2", "not RTT", "RTT in 3", "RTT > 1 ~ 2", "Task == RTT", 'RTT == "a', "RTT == a"])
+def test_filters_that_are_no_c_condition(spark, text):
+    with pytest.raises(ValueError):
+        drop_where(spark.createDataFrame([(1,)], "RTT long"), {"RTT": text})
+
+
+@pytest.mark.parametrize("fix", [False, True])
+def test_math_on_a_port_that_the_kernel_keeps_in_host_order(spark, fix):
+    """Port 8080 plus 1 is 8081 in the kernel's memory, whichever way the decoder shows it."""
+    packed = spark.createDataFrame([(struct.pack("<H", 8080),)], "record binary")
+    decoded = decode_records(packed, ["LPort"], fix_lport=fix)
+    shown = (lambda port: port) if fix else (lambda port: int.from_bytes(struct.pack("<H", port)))
+    assert decoded.first().LPort == shown(8080)
+    added = apply_math(project(decoded, ["LPort"]), {"LPort": "+ 1"})
+    assert added.first().LPort == shown(8081)
+    assert drop_where(added, {"LPort": "LPort == 8081"}).count() == 0

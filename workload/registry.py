@@ -48,6 +48,7 @@ from socklens import (
     to_dynamic,
     to_event_json,
     to_line_protocol,
+    to_lines,
     to_points,
     to_table_rows,
     to_typed,
@@ -814,9 +815,32 @@ _LINE_PROTOCOL = (
 def line_protocol(spark, sf_dir):
     rows = tcp_events(spark, sf_dir).select("event_id", "Timestamp", *_TAGS, *_NUMBERS)
     rows = rows.withColumn("Task", F.concat("Task", F.lit(" a,b="), "DPort"))
+    return to_lines(rows, "sockets", keep=["event_id"])
+
+
+@query(
+    "line_protocol_of_points",
+    f"SELECT event_id, {_LINE_PROTOCOL.format(tags=_pairs(_TAGS, str))} AS value FROM tcp_events",
+)
+def line_protocol_of_points(spark, sf_dir):
+    rows = tcp_events(spark, sf_dir).select("event_id", "Timestamp", *_TAGS, *_NUMBERS)
     return to_line_protocol(to_points(rows, "sockets", keep=["event_id"]), keep=["event_id"])
 
 
+@query(
+    "points_u64",
+    """SELECT event_id, CONCAT('sockets,Hostname=', Hostname, '\\nx BytesReceived=', CAST(9223372036854775808 + event_id AS VARCHAR),
+    'u ', CAST(Timestamp AS VARCHAR), '000000000') AS value FROM tcp_events""",
+)
+def points_u64(spark, sf_dir):
+    """Counters above 2^63 keep every digit; a line end in a tag does not break the line."""
+    rows = tcp_events(spark, sf_dir).select(
+        "event_id", "Timestamp", F.concat("Hostname", F.lit("\nx")).alias("Hostname"),
+        (F.lit("9223372036854775808").cast("decimal(20,0)") + F.col("event_id")).cast("decimal(20,0)").alias("BytesReceived"),
+    )
+    return to_lines(rows, "sockets", mode="pb", keep=["event_id"])
+
+
 @query(
     "line_protocol_geo",
     f"""SELECT e.event_id, {_LINE_PROTOCOL.format(tags="'ASN=', COALESCE(ASN, '0'), CASE WHEN ASN IS NULL THEN '' ELSE CONCAT(',ASNOrg=', ASNOrg) END, ',', " + _pairs(_TAGS[1:], str))} AS value
@@ -826,7 +850,7 @@ def line_protocol_geo(spark, sf_dir):
     """The looked-up address gives way to its geo tags; empty tags are left out."""
     rows = tcp_events(spark, sf_dir).select("event_id", "Timestamp", *_TAGS, *_NUMBERS)
     rows = enrich_geo(rows, "asn", asn=views.geo_asn(spark, sf_dir), geo_field="DAddr")
-    return to_line_protocol(to_points(rows, "sockets", geo_field="DAddr", keep=["event_id"]), keep=["event_id"])
+    return to_lines(rows, "sockets", geo_field="DAddr", keep=["event_id"])
 
 
 # -- sinks: write, then read back ------------------------------------------
@@ -862,6 +886,14 @@ def topic_sink_typed(spark, sf_dir):
     return _written(spark, sf_dir, "kafka", "parquet", serialization="pb", compression="gzip")
 
 
+@query("console_sink", f"SELECT {_json_sql([*_json_pairs(LINE_FIELDS), *_json_pairs(['Timestamp'])], braces=False)} AS value FROM tcp_events")
+def console_sink(spark, sf_dir):
+    """Every line, not the first twenty; sent to files instead of a screen."""
+    path = scratch(spark, "console")
+    write(tcp_events(spark, sf_dir), "console", LINE_FIELDS, filename=path)
+    return spark.read.text(path)
+
+
 @query("table_sink", "SELECT SRTT AS srtt, Task AS task, Hostname AS host, Timestamp AS seen FROM tcp_events")
 def table_sink(spark, sf_dir):
     path = scratch(spark, "table")
@@ -911,6 +943,19 @@ def agent_config(spark, sf_dir):
     return spark.read.text(files).unionByName(spark.read.parquet(messages))
 
 
+@query(
+    "agent_sampled",
+    f"""SELECT CONCAT(CAST({_RTT} AS VARCHAR), ',', CAST(Timestamp AS VARCHAR)) AS value FROM (SELECT *, ROW_NUMBER() OVER
+    (PARTITION BY Hostname ORDER BY Timestamp, event_id) AS rn FROM tcp_events WHERE {_CLOSED} AND Inet = 4) AS t WHERE rn % 4 = 0""",
+)
+def agent_sampled(spark, sf_dir):
+    files = scratch(spark, "agent")
+    point = {"name": STATE_TRACEPOINT, "fields": "a", "tcp_state": "TCP_CLOSE", "sample": 3, "order": ARRIVAL, "key": ["Hostname"], "egress": "files"}
+    config = {"tracepoints": [point], "fields": {"a": [{"name": "rtt"}]}, "egress": {"files": {"type": "csv", "config": {"filename": files}}}}
+    run_agent(tcp_events(spark, sf_dir), config)
+    return spark.read.text(files)
+
+
 # -- continuous flows ------------------------------------------------------
 
 
@@ -943,7 +988,7 @@ def flow_to_table(spark, sf_dir):
         "columns": ["id", "srtt", "task", "seen", "city"],
     }
     out = _flow(spark, sf_dir, "table", "spb", conf, {"level": "city", "city": views.geo_city(spark, sf_dir)})
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 _FLOW_DOC = sorted(["RTT", "Task", "PID", "SRTT", "TotalRetrans", "SAddr", "DAddr", "DPort", "BytesSent", "Timestamp", "Hostname"])
@@ -960,7 +1005,7 @@ _FLOW_SELECT = f"SELECT *, event_id AS RTT, {_v4_key('DAddr')} AS k FROM tcp_eve
 def flow_to_documents(spark, sf_dir):
     geo = {"level": "asn", "asn": views.geo_asn(spark, sf_dir)}
     out = _flow(spark, sf_dir, "documents", "json", {"geo_field": "DAddr"}, geo)
-    return spark.read.text(out)
+    return spark.read.text(out).select("value")
 
 
 _FLOW_NUMBERS = ["BytesSent", "DPort", "PID", "RTT", "SRTT", "TotalRetrans"]
@@ -972,7 +1017,7 @@ _FLOW_NUMBERS = ["BytesSent", "DPort", "PID", "RTT", "SRTT", "TotalRetrans"]
     ' ', CAST(Timestamp AS VARCHAR), '000000000') AS value FROM ({_FLOW_SELECT}) AS e""",
 )
 def flow_to_points(spark, sf_dir):
-    return spark.read.text(_flow(spark, sf_dir, "points", "pb", {}))
+    return spark.read.text(_flow(spark, sf_dir, "points", "pb", {})).select("value")
 
 
 @query("flow_rejects", f"SELECT value AS payload FROM topic WHERE NOT ({_GOOD})")
@@ -1021,4 +1066,40 @@ def flow_restart(spark, sf_dir):
         halves.where(F.col("half") == half).select("value").write.mode("append").parquet(topic_path)
         for started in run_flows(spark, config, progress):
             started.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
+
+
+_WIDE = """CONCAT('{{"Task":"', Task, '","BytesReceived":', CASE WHEN event_id % 3 = 0 THEN '18446744073709551615'
+  WHEN event_id % 3 = 1 THEN '5.5' ELSE '1.2e4' END, ',"RTT":', CASE WHEN event_id % 50 = 0 THEN '99999999999999999999' ELSE '7.0' END, '}}')"""
+
+
+@query(
+    "json_wide_numbers",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '18446744073709551615' WHEN event_id % 3 = 1 THEN '5' ELSE '12000' END AS bytes, 7 AS rtt, TRUE AS good FROM tcp_events WHERE event_id % 50 <> 0
+    UNION ALL SELECT event_id, NULL, NULL, FALSE FROM tcp_events WHERE event_id % 50 = 0""",
+)
+def json_wide_numbers(spark, sf_dir):
+    """Any JSON number is read; one that no column holds is a reject. Good rows and rejects are all rows."""
+    payloads = tcp_events(spark, sf_dir).select("event_id", F.expr(_WIDE.replace("{{", "{").replace("}}", "}")).alias("value"))
+    good, bad = split_malformed(decode_json(payloads, event_schema(["Task", "BytesReceived", "RTT"]), keep=["event_id"], wide=True))
+    good = good.select("event_id", F.col("BytesReceived").cast("string").alias("bytes"), F.col("RTT").cast("int").alias("rtt"), F.lit(True).alias("good"))
+    return good.unionByName(bad.select("event_id", F.lit(False).alias("good")), allowMissingColumns=True)
+
+
+@query(
+    "flow_strict_rejects",
+    """SELECT 'written' AS part, COUNT(*) AS n FROM tcp_events WHERE event_id % 10 <> 0 AND event_id % 33 <> 5
+    UNION ALL SELECT 'malformed', COUNT(*) FROM tcp_events WHERE event_id % 33 = 5
+    UNION ALL SELECT 'missing number', COUNT(*) FROM tcp_events WHERE event_id % 10 = 0 AND event_id % 33 <> 5""",
+)
+def flow_strict_rejects(spark, sf_dir):
+    """A strict table takes rows with all numbers; every other payload is a reject, read and parsed once."""
+    topic_path, rejects = scratch(spark, "topic"), scratch(spark, "rejects")
+    payload = """CASE WHEN event_id % 33 = 5 THEN '{broken' ELSE to_json(named_struct('Task', Task, 'RTT', event_id,
+      'SRTT', CASE WHEN event_id % 10 <> 0 THEN SRTT END)) END AS value"""
+    tcp_events(spark, sf_dir).selectExpr(payload).write.parquet(topic_path)
+    conf = {"fields": ["RTT", "SRTT", "Task"], "columns": ["id", "srtt", "task"]}
+    out = _flow(spark, sf_dir, "table", "json", conf, ingress={"path": topic_path, "fields": ["RTT", "SRTT", "Task"], "rejects": rejects})
+    written = spark.read.parquet(out).select(F.lit("written").alias("part"))
+    every = written.unionByName(spark.read.parquet(rejects).select(F.col("reason").alias("part")))
+    return every.groupBy("part").agg(F.count(F.lit(1)).alias("n"))

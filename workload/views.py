@@ -6,7 +6,11 @@ SQL counterpart start from the same rows.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -146,5 +150,20 @@ def topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder that every executor can reach."""
-    return f"{settings.shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder that every executor can reach.
+
+    A temporary folder stands in only where none is set on one machine; it is
+    removed when the driver ends.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
+        folder = _local_folder()
+    else:
+        folder = settings.shared_folder(spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="socklens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
