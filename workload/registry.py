@@ -125,17 +125,36 @@ def catalog_states(spark, sf_dir):
     return counts.join(states, F.col("NewState") == F.col("State")).select("StateName", "events")
 
 
+# -- fixed values: all fields and their C types, written out beside the catalog they are compared with
+_CTYPES = dict(
+    entry.split(":")
+    for entry in """
+    TCPHeaderLen:u16 NewState:u16 OldState:u16 SRTT:u32 RTT:u32 MDev:u32 MDevMax:u32 RTTVar:u32 RcvRTT:u32 PacketsOut:u32
+    RetransOut:u32 MaxPacketsOut:u32 MaxPacketsSeq:u32 TotalRetrans:u32 AdvMSS:u16 SAddr:u32 DAddr:u32 DPort:u16 LPort:u16
+    BytesReceived:u64 BytesSent:u64 BytesAcked:u64 NumSAcks:u8 UserMSS:u16 RACKRTT:u32 MSSClamp:u16 Task:char PID:u32
+    SegsIn:u32 SegsOut:u32 DsackDups:u32 RateDelivered:u32 RateInterval:u32 SndSSThresh:u32 GSOSegs:u16 DataSegsIn:u32
+    MaxWindow:u32 SndWnd:u32 WindowClamp:u32 RcvSSThresh:u32 ECNFlags:u8 SndCwnd:u32 PrrOut:u32 Delivered:u32
+    DeliveredCe:u32 Lost:u32 LostOut:u32 PriorSSThresh:u32 DataSegsOut:u32 RcvSpace:u32 UnAcked:u32 SAcked:u32 RTO:u32
+    """.split()
+)
+_SHOWN = set(
+    "OldState NewState Task PID SAddr LPort DAddr DPort SRTT TotalRetrans AdvMSS BytesReceived BytesSent".split()
+)
+
+
 @query(
     "catalog_fields",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS Field, '{FIELDS[n].ctype}' AS CType, COUNT({n}) AS present FROM tcp_events"
-        for n in LINE_FIELDS
+        f"SELECT '{n}' AS Field, '{ctype}' AS CType, {f'COUNT({n})' if n in _SHOWN else 'COUNT(NULL)'} AS present FROM tcp_events"
+        for n, ctype in _CTYPES.items()
     ),
 )
 def catalog_fields(spark, sf_dir):
-    counted = tcp_events(spark, sf_dir).agg(*[F.count(n).alias(n) for n in LINE_FIELDS])
-    long = counted.unpivot([], LINE_FIELDS, "Field", "present")
-    return long.join(catalog(spark)["fields"], "Field").select("Field", "CType", "present")
+    """Every field of the catalog with its type, and how many events carry it."""
+    events, fields = tcp_events(spark, sf_dir), catalog(spark)["fields"].select("Field", "CType")
+    shown = [n for n in FIELDS if n in events.columns]
+    long = events.agg(*[F.count(n).alias(n) for n in shown]).unpivot([], shown, "Field", "present")
+    return fields.join(long, "Field", "left").select("Field", "CType", F.coalesce("present", F.lit(0)).alias("present"))
 
 
 @query(
