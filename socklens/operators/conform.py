@@ -13,6 +13,15 @@ _DYNAMIC_TEXT = ("Task", "SAddr", "DAddr")
 _TEXT = {*_DYNAMIC_TEXT, "Hostname", *GEO_COLUMNS}
 
 
+# map of the payload keys that are no columns, to VARIANT
+EXTRA = "_extra"
+
+
+def without(extra: Column, present: Column) -> Column:
+    """The extra keys that no present column has."""
+    return F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,variant>")), lambda k, v: ~F.map_contains_key(present, k))
+
+
 def to_typed(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """The fixed 61-column row; columns the input lacks are NULL.
 

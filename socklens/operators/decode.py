@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from socklens.catalog import FIELDS, Field, event_schema, field
 from socklens.functions.address import add_lookup_keys, fold_zeros, ipv4_from_key, ipv4_key, ipv6_groups
+from socklens.operators.conform import EXTRA
 from socklens.operators.project import HOST_ORDER
 from socklens.functions.bits import cstr, cstr_bytes, raw_word, swap_bytes, uint_bytes, unsigned64
 
@@ -133,11 +134,13 @@ def decode_json(
     value: str = "value",
     keep: Iterable[str] = (),
     wide: bool = False,
+    extra: bool = False,
 ) -> DataFrame:
     """Decode JSON payloads; undecodable ones land in ``_corrupt_record``.
 
     ``schema`` defaults to every catalog field plus the stamps. Keys outside it
-    are ignored, missing ones are NULL. Integer fields take any JSON number,
+    are ignored, or with ``extra`` kept in the map ``_extra``; missing ones are
+    NULL. Integer fields take any JSON number,
     cut to whole; with ``wide`` 64-bit counters are DECIMAL(20,0). A number that
     its column cannot hold makes the payload undecodable, never silently NULL.
     """
@@ -163,6 +166,9 @@ def decode_json(
     # an empty payload is no JSON object either
     blank = F.when(F.coalesce(F.trim("_text"), F.lit("")) == "", F.coalesce("_text", F.lit("")))
     marker = F.coalesce(CORRUPT, blank, F.when(unfit, F.col("_text")))
+    if extra:
+        every = F.from_json("_text", "map<string,variant>")
+        columns.append(F.map_filter(every, lambda k, v: ~k.isin([f.name for f in fields])).alias(EXTRA))
     return parsed.select(*columns, marker.alias(CORRUPT), *keep)
 
 

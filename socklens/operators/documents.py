@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from socklens.catalog import FIELDS, TYPED_COLUMNS
+from socklens.operators.conform import EXTRA, present_map, without
 
 # -- fixed values: bulk action of an append-only index ---------------------
 ACTION = '{"index":{}}'
@@ -15,11 +16,14 @@ ACTION = '{"index":{}}'
 def to_documents(df: DataFrame, mode: str = "json", keep: Iterable[str] = ()) -> DataFrame:
     """One JSON document per row in ``value``; NULL values have no key.
 
-    ``json`` and ``spb`` documents hold every column, keys sorted. ``pb``
+    ``json`` and ``spb`` documents hold every column, keys sorted, and ``json``
+    ones the payload keys in ``_extra`` where there are any. ``pb``
     documents hold the columns of the typed row in its order, with 64-bit
     integers as strings.
     """
     keep = list(keep)
+    if mode == "json" and EXTRA in df.columns:
+        return _with_extra(df, keep)
     if mode in ("json", "spb"):
         columns = [F.col(c) for c in sorted(set(df.columns) - set(keep))]
     elif mode == "pb":
@@ -33,6 +37,15 @@ def to_documents(df: DataFrame, mode: str = "json", keep: Iterable[str] = ()) ->
     return df.select(F.to_json(F.struct(*columns)).alias("value"), *keep)
 
 
+def _with_extra(df: DataFrame, keep: list[str]) -> DataFrame:
+    names = [c for c in df.columns if c not in keep and c != EXTRA]
+    df = df.withColumn("_own", present_map({c: F.col(c) for c in names}, "variant"))
+    df = df.withColumn("_all", F.map_concat("_own", without(F.col(EXTRA), F.col("_own"))))
+    keys = F.array_sort(F.map_keys("_all"))
+    ordered = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at("_all", k)))
+    return df.select(F.to_json(ordered).alias("value"), *keep)
+
+
 def to_bulk_lines(documents: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Action line and document line in one value.
 

@@ -20,6 +20,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from socklens.functions.address import add_lookup_keys
@@ -133,7 +134,8 @@ class RangeTable:
             if family == 4:
                 lo, hi = lo.cast("bigint"), hi.cast("bigint")
             filed = df.select(lo.alias("lo"), hi.alias("hi"), record(df).alias("record"))
-            frames[family] = filed.withColumn("length", _shared_bytes(family).cast("int"))
+            # read once: the check, the sizes and a join per prefix length share it
+            frames[family] = filed.withColumn("length", _shared_bytes(family).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
             _check_disjoint(name, frames[family], family)
         measured = [
             df.groupBy(F.lit(family).alias("family"), "length").agg(
@@ -144,6 +146,10 @@ class RangeTable:
         rows = reduce(DataFrame.unionByName, measured).collect()  # at most 22 rows
         return cls(name, frames, {(r.family, r.length): r.bytes for r in rows if r.length is not None})
 
+    def close(self) -> None:
+        for frame in self.frames.values():
+            frame.unpersist()
+
     def lookup(self, df: DataFrame, keys: Mapping[int, str], small: set) -> DataFrame:
         """Add a ``_<name>`` record column; at most one range holds an address.
 
@@ -197,6 +203,11 @@ class GeoLookup:
                 self.small.add(part)
         self.all_small = total <= max_broadcast_bytes
 
+    def close(self) -> None:
+        """Give back the memory of the tables; plans made so far read them again."""
+        for table in self.tables:
+            table.close()
+
     def _resolve(self, df: DataFrame, address: str) -> DataFrame:
         """Add ``_geo``: a struct of the level's columns, NULL if the address
         is missing or invalid."""

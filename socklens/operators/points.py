@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from socklens.catalog import TYPED_COLUMNS
-from socklens.operators.conform import present_map
+from socklens.operators.conform import EXTRA, present_map, without
 
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -40,15 +40,33 @@ def to_points(
     """
     keep = list(keep)
     texts, numbers = point_columns(df, geo_field, mode, keep)
+    tags = present_map({c: F.col(c) for c in texts}, "string")
+    values = present_map({c: F.col(c) for c in numbers}, "decimal(20,0)" if mode == "pb" else "double")
+    if mode == "json" and EXTRA in df.columns:
+        df = df.withColumns({"_tags": tags, "_values": values})
+        more = without(without(F.col(EXTRA), F.col("_tags")), F.col("_values"))
+        more = F.map_filter(more, lambda k, v: k != F.lit(geo_field or ""))
+        words = F.map_filter(F.transform_values(more, lambda k, v: _variant_text(v)), lambda k, v: v.isNotNull())
+        digits = F.map_filter(F.transform_values(more, lambda k, v: _variant_number(v)), lambda k, v: v.isNotNull())
+        tags, values = F.map_concat("_tags", words), F.map_concat("_values", digits)
     return df.select(
         F.lit(measurement).alias("measurement"),
-        present_map({c: F.col(c) for c in texts}, "string").alias("tags"),
-        present_map({c: F.col(c) for c in numbers}, "decimal(20,0)" if mode == "pb" else "double").alias("fields"),
+        tags.alias("tags"),
+        values.alias("fields"),
         F.timestamp_seconds("Timestamp").alias("time"),
         *keep,
     )
 
 
+def _variant_text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _variant_number(value: Column) -> Column:
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    return F.when(number, F.try_variant_get(value, "$", "double"))
+
+
 def _escape(text: Column, special: str) -> Column:
     """Backslashes before the special signs; a line end becomes the two signs that stand for it."""
     for sign in special:

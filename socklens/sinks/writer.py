@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from socklens.catalog import canonical
 from socklens.operators import documents, lines, points, tables
-from socklens.operators.conform import to_typed
+from socklens.operators.conform import EXTRA, to_typed
 from socklens.sources.topic import DEFAULT_TOPIC, kafka_options
 
 COMPRESSIONS = ("none", "gzip", "lz4", "snappy")
@@ -235,8 +235,11 @@ def _documents(df: DataFrame, conf):
 
 def _points(df: DataFrame, conf):
     mode, measurement = conf.get("serialization", "json"), conf.get("measurement", DEFAULT_TOPIC)
-    shape = points.to_points if conf.get("format") else points.to_lines
-    return _connector_or_text(shape(df, measurement, conf.get("geo_field"), mode), lambda lines: lines, conf, "points")
+    if conf.get("format") or (mode == "json" and EXTRA in df.columns):  # names of extra keys differ from row to row
+        shaped = points.to_points(df, measurement, conf.get("geo_field"), mode)
+        return _connector_or_text(shaped, lambda p: points.to_line_protocol(p, unsigned=mode == "pb"), conf, "points")
+    shaped = points.to_lines(df, measurement, conf.get("geo_field"), mode)
+    return _connector_or_text(shaped, lambda text: text, conf, "points")
 
 
 _AGENT_WRITERS = {

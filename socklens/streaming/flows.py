@@ -69,11 +69,14 @@ def open_geo(config: Mapping) -> GeoLookup | None:
 
 
 def decode_payload(payloads: DataFrame, conf: Mapping, serialization: str) -> DataFrame:
-    """Event rows with the malformed marker; ``fields`` in the ingress
-    configuration narrows what is parsed."""
+    """Event rows with the malformed marker.
+
+    JSON payloads keep all of their keys, unless ``fields`` in the ingress
+    configuration narrows what is parsed.
+    """
     if conf.get("descriptor"):
         return decode_protobuf(payloads, conf["message"], conf["descriptor"])
-    return decode_json(payloads, event_schema(conf.get("fields")), wide=True)
+    return decode_json(payloads, event_schema(conf.get("fields")), wide=True, extra=serialization == "json" and not conf.get("fields"))
 
 
 def prepare(events: DataFrame, kind: str, conf: Mapping, serialization: str, geo: GeoLookup | None) -> DataFrame:

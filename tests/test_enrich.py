@@ -134,3 +134,16 @@ def test_overlapping_ranges_are_refused(spark, ranges):
 def test_disjoint_ranges_are_accepted(spark):
     ranges = [(0, 1 << 17), ((1 << 17) + 1, 1 << 24), ((1 << 24) + 1, 1 << 27), (1 << 28, 1 << 28)]
     GeoLookup("asn", asn=spark.createDataFrame([(lo, hi, "1", "o") for lo, hi in ranges], "lo long, hi long, ASN string, ASNOrg string"))
+
+
+def test_a_table_is_read_once(spark, tmp_path):
+    path = str(tmp_path / "asn")
+    ranges = [(i << 20, (i << 20) + 4**(i % 9), "1", "o") for i in range(1, 60)]
+    spark.createDataFrame(ranges, "lo long, hi long, ASN string, ASNOrg string").write.parquet(path)
+    lookup = GeoLookup("asn", asn=spark.read.parquet(path))
+    assert len(lookup.tables[0].sizes) > 1
+    rows = lookup.enrich(spark.createDataFrame([("0.16.0.1",), ("9.9.9.9",)], "SAddr string"))
+    assert [r.ASN for r in rows.collect()] == ["1", "0"]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") >= len(lookup.tables[0].sizes)
+    lookup.close()

@@ -1122,3 +1122,37 @@ def flow_strict_rejects(spark, sf_dir):
     written = spark.read.parquet(out).select(F.lit("written").alias("part"))
     every = written.unionByName(spark.read.parquet(rejects).select(F.col("reason").alias("part")))
     return every.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EXTRA_PAYLOAD = """CONCAT('{{"Zone":"z', CAST(event_id % 3 AS VARCHAR(20)), '","Task":"', Task, '","Extra":', CAST(event_id AS VARCHAR(20)),
+  ',"Share":1.5,"Nested":{{"a":[1,"x"]}},"Timestamp":', CAST(Timestamp AS VARCHAR(20)), CASE WHEN event_id % 2 = 0 THEN ',"City":"own"' ELSE '' END, '}}')"""
+
+
+def _extra_topic(spark, sf_dir) -> str:
+    path = scratch(spark, "topic")
+    tcp_events(spark, sf_dir).select(F.expr(_EXTRA_PAYLOAD.replace("{{", "{").replace("}}", "}")).alias("value")).write.parquet(path)
+    return path
+
+
+@query(
+    "flow_json_extra_keys",
+    """SELECT '{{"index":{{}}}}' AS value FROM tcp_events UNION ALL
+    SELECT CONCAT('{{', CASE WHEN event_id % 2 = 0 THEN '"City":"own",' ELSE '' END, '"Extra":', CAST(event_id AS VARCHAR(20)),
+    ',"Nested":{{"a":[1,"x"]}},"Share":1.5,"Task":"', Task, '","Timestamp":', CAST(Timestamp AS VARCHAR(20)), ',"Zone":"z', CAST(event_id % 3 AS VARCHAR(20)), '"}}')
+    FROM tcp_events""".replace("{{", "{").replace("}}", "}"),
+)
+def flow_json_extra_keys(spark, sf_dir):
+    """Every key of a JSON payload is in its document, also those outside the catalog."""
+    ingress = {"path": _extra_topic(spark, sf_dir), "fields": None}
+    return spark.read.text(_flow(spark, sf_dir, "documents", "json", {}, ingress=ingress)).select("value")
+
+
+@query(
+    "flow_json_extra_points",
+    """SELECT CONCAT('sockets,', CASE WHEN event_id % 2 = 0 THEN 'City=own,' ELSE '' END, 'Task=', Task, ',Zone=z', CAST(event_id % 3 AS VARCHAR(20)),
+    ' Extra=', CAST(event_id AS VARCHAR(20)), ',Share=1.5 ', CAST(Timestamp AS VARCHAR(20)), '000000000') AS value FROM tcp_events""",
+)
+def flow_json_extra_points(spark, sf_dir):
+    """Texts among the further keys are tags, numbers are fields."""
+    ingress = {"path": _extra_topic(spark, sf_dir), "fields": None}
+    return spark.read.text(_flow(spark, sf_dir, "points", "json", {"measurement": "sockets"}, ingress=ingress)).select("value")
