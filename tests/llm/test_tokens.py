@@ -64,6 +64,8 @@ def test_encode_decode_query_shape(docs, no_docs, reference):
         digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         want.append((doc_id, len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+    both = byte_bpe.encode(docs.withColumn("decoded", F.lit("mine")), RANKS, decoded=True)
+    assert sorted(map(str, map(tuple, bpe_digests(both).collect()))) == sorted(map(str, want))
     assert byte_bpe.decode(byte_bpe.encode(no_docs, RANKS), RANKS).count() == 0
 
 
