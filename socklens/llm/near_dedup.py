@@ -9,8 +9,11 @@ shares none with a probability of 2e-5, and a more similar pair less.
 A bucket of candidates is not expanded into all pairs at first. Every text is
 compared with one centre of its bucket, the text that shares most with all of
 its buckets; that links most groups whole. What is left are texts in one bucket
-that are not connected yet: these pairs are all compared, so no link between
-parts that are not connected otherwise is lost.
+that are not connected yet. All these pairs are compared, so that no link between
+parts that are not connected otherwise is lost, but first inside the join by
+sketches: one bit of each of ``SKETCH`` further components. Only pairs whose
+sketches differ by less than a linked pair's may (four standard deviations) come
+out of the join and are verified on their texts.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from socklens.llm.bagminhash import bands, signature
 from socklens.llm.shared import components, stash, text_key, whole_text
-from socklens.llm.words import Words, pieces
+from socklens.llm.words import Words, mix, pieces
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 28
 ROWS = 5
+SKETCH = 2_048
 
 
 def multisets(texts: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,6 +66,25 @@ def sign(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, n_bands: i
     return keyed.mapInArrow(run, "node binary, weight long, bands array<long>")
 
 
+def sketch(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, sketch): the lowest bit of each of ``SKETCH`` components of a signature, in 64-bit words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, 1):
+            bits = [mix(signature(*m, SKETCH)) & np.uint64(1) for m in multisets(piece.column(1), shingle)]
+            packed = [np.packbits(b.astype(np.uint8)).view(np.int64) for b in bits]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(packed, pa.list_(pa.int64()))], ["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, sketch array<long>")
+
+
+def _close(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sketches can be those of a linked pair: bits of components differ in half of the cases where these do."""
+    share = (1 - similarity) / 2
+    most = SKETCH * share + 4 * (SKETCH * share * (1 - share)) ** 0.5
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0)) <= most
+
+
 def _comparable(a: Column, b: Column, similarity: float) -> Column:
     """The smaller weight bounds what can be common, the larger the union."""
     return F.least(a, b) >= similarity * F.greatest(a, b)
@@ -104,9 +127,15 @@ def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarit
     placed = members.join(parts, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("part"))
     open_ = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
     placed = stash(placed.join(open_, "bucket", "left_semi"), "open")
-    x = placed.select("bucket", F.col("node").alias("a"), F.col("weight").alias("u"), F.col("part").alias("p"))
-    y = placed.select("bucket", F.col("node").alias("b"), F.col("weight").alias("v"), F.col("part").alias("q"))
-    rest = x.join(y, "bucket").where((F.col("p") < F.col("q")) & _comparable(F.col("u"), F.col("v"), similarity))
+    sketched = stash(sketch(texts.join(placed.select("node").distinct(), "node", "left_semi"), shingle), "sketches")
+    placed = placed.join(sketched, "node").join(signed.select("node", "bands"), "node")
+    columns = ("node", "weight", "part", "sketch", "bands")
+    x = placed.select("bucket", *[F.col(c).alias(n) for c, n in zip(columns, "aupkm")])
+    y = placed.select("bucket", *[F.col(c).alias(n) for c, n in zip(columns, "bvqln")])
+    possible = _comparable(F.col("u"), F.col("v"), similarity) & _close(F.col("k"), F.col("l"), similarity)
+    # a pair comes out of the first bucket it shares
+    first = F.array_min(F.array_intersect("m", "n")) == F.col("bucket")
+    rest = x.join(y, "bucket").where((F.col("p") < F.col("q")) & possible & first)
     done = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = rest.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
     return linked.unionByName(stash(verify(rest, texts, shingle, similarity), "links"))
