@@ -155,7 +155,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     A temporary folder stands in only where none is set on one machine; it is
     removed when the driver ends.
     """
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.split("[")[0] == "local":
         folder = _local_folder()
     else:
         folder = settings.shared_folder(spark)
