@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, types as T
 from socklens.llm.pretokens import PieceCache, split
 
 # Entries of the caches of a worker; they bound its memory and change no result.
-MOST_PIECES = 300_000
-MOST_PAIRS = 300_000
-MOST_HALVES = 200_000
+MOST_PIECES = 500_000
+MOST_PAIRS = 500_000
+MOST_HALVES = 300_000
 
 
 class BytePairs:
@@ -159,15 +159,21 @@ def _added(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.Str
     return df, T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Add ``ids`` (array of int): the encoding of every whole text by the rank file at ``path``.
 
+    With ``decoded`` also add ``decoded`` (binary), what :func:`decode` makes of
+    the ids, in the same task.
+
     ``path`` must exist on every executor. A null or empty text has no ids.
     Rows and their other columns stay as they are, a column ``ids`` is replaced;
     no rows give none. No shuffle; a task holds one Arrow batch and a bounded
     cache of pieces.
     """
     docs, schema = _added(docs, "ids", T.ArrayType(T.IntegerType()))
+    if decoded:
+        docs = docs.drop(*[c for c in docs.columns if c.lower() == "decoded"])
+        schema = T.StructType([*docs.schema.fields, schema["ids"], T.StructField("decoded", T.BinaryType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +181,11 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ids = [encode_text(t or "", path) for t in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, values)], [*batch.schema.names, "ids"])
+            added = [pa.ListArray.from_arrays(ends, values)]
+            if decoded:
+                pairs = load(path)
+                added.append(pa.array([pairs.decode(i.tolist()) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -32,6 +32,7 @@ TRAIN_DOCS = 300  # texts a language learns from, at most
 TRAIN_BYTES = 2_000  # bytes of a text it learns from, at most
 LEAST_SEEN = 20  # a longer context is kept if it was seen so often, in all languages together
 COUNT_TASKS = 4
+PIECE_BYTES = 2 << 20  # of text whose lanes advance together
 LANE = 1_024  # bytes a lane of the automaton scores
 UNKNOWN = "und"
 
@@ -178,7 +179,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for piece in pieces(batches, at):
+        for piece in pieces(batches, at, PIECE_BYTES):
             data, ends = _bytes(piece.column(at))
             has_letter = piece.column(letter).to_numpy(zero_copy_only=False)
             if model.languages:

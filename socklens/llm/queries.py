@@ -64,7 +64,7 @@ def op4_token_files(spark, sf_dir):
 def op9_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_digests(byte_bpe.decode(byte_bpe.encode(docs, path).drop("text"), path))
+    return bpe_digests(byte_bpe.encode(docs, path, decoded=True))
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """The batches in slices of up to about ``most_bytes`` of text (one text at least), which bounds working memory."""
     for batch in batches:
         if not batch.num_rows:
