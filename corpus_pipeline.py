@@ -49,8 +49,7 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Ids of every document and the bytes they decode to, as counts and digests by document id."""
     prepare(spark)
     path = public_tokenizers.path(TOKENIZER)
-    encoded = byte_bpe.encode(docs.select("doc_id", "text"), path).drop("text")
-    return bpe_digests(byte_bpe.decode(encoded, path))
+    return bpe_digests(byte_bpe.encode(docs.select("doc_id", "text"), path, decoded=True))
 
 
 STAGES = [
