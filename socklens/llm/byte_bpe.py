@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, types as T
 from socklens.llm.pretokens import PieceCache, split
 
 # Entries of the caches of a worker; they bound its memory and change no result.
-MOST_PIECES = 500_000
-MOST_PAIRS = 500_000
-MOST_HALVES = 300_000
+MOST_PIECES = 250_000
+MOST_PAIRS = 250_000
+MOST_HALVES = 150_000
 
 
 class BytePairs:
