@@ -138,6 +138,48 @@ def test_decontamination_finds_planted_passages_only(spark, items, docs, no_docs
     assert decontaminate.find_contamination(no_docs, items).count() == 0
 
 
+def plain_hits(rows, texts):
+    """(doc, item) by the checks alone, over every window of every document."""
+    stride, found = decontaminate.STRIDE, set()
+    for (doc, text), (item, own) in itertools.product(rows, texts.items()):
+        words, own = plain_words(text), plain_words(own)
+        length = -(-(len(own) + stride - 1) // stride) * stride
+        answer = own[-max(3, round(decontaminate.ANSWER * len(own))) :]
+        for begin in range(0, len(words), stride):
+            here = words[max(0, begin - stride) : begin + length + stride]
+            common = [0] * (len(own) + 1)
+            for w in here:
+                for j, (o, old) in enumerate(zip(own, common[:]), 1):
+                    common[j] = max(old + 1 if w == o else 0, common[j], common[j - 1])
+            share = common[-1] / len(own)
+            answered = any(here[i : i + len(answer)] == answer for i in range(len(here)))
+            if share >= decontaminate.SURE or share >= decontaminate.PARAPHRASE and answered:
+                found.add((doc, item))
+    return found
+
+
+def test_decontamination_equals_the_checks_on_every_window(spark):
+    def rare(seed, n):
+        return " ".join(f"z{seed}q{i}" for i in range(n))
+
+    often = [prose(400 + k, 40).replace(".", "") for k in range(3)]
+    common = "the of and to in is it that for was on as with his they be at one have this".split()
+    texts = {0: often[0], 1: " ".join(common), 2: often[1], 3: often[2], 4: prose(410, 90), 5: "of the of the and of the of the and"}
+    rows = [(n, f"{rare(n, 21 + n)} {often[0]} {rare(n + 900, 60)}") for n in range(30)]  # a third of all documents
+    rows += [(100 + n, f"{rare(n, 30 + n)} {texts[1]} {rare(n + 900, 50)}") for n in range(5)]
+    rows += [(200 + n, " ".join(common[(i * 7 + n) % 20] for i in range(150))) for n in range(20)]
+    for n, every in enumerate((2, 3, 4, 5, 6) * 3):  # paraphrases with the answer
+        own = texts[2 + n % 3].split()
+        head = changed(" ".join(own[: -len(own) // 4]), every, n % 2)
+        rows.append((300 + n, f"{rare(n, 17 + 3 * n)} {head} {' '.join(own[-len(own) // 4 :])} {rare(n + 900, 40)}"))
+    rows += [(400 + n, f"{prose(n, 100)} of the {rare(n, 9)}") for n in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_contamination(table, spark.createDataFrame(list(texts.items()), "item_id long, text string")).collect()
+    want = plain_hits(rows, texts)
+    assert {(r.doc_id, h.item_id) for r in found for h in r.hits} == want
+    assert {(n, 0) for n in range(30)} | {(100 + n, 1) for n in range(5)} <= want and len({d for d, _ in want if 300 <= d < 400}) > 8
+
+
 def test_decontamination_of_the_table_misses_no_passage(spark, items):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = docs.join(items.select("item_id", F.col("text").alias("t")), F.lower("text").contains(F.lower("t")))
