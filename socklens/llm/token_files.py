@@ -14,6 +14,7 @@ Blocks are decoded independently of each other.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,14 +41,22 @@ class LibraryEncoder:
 
     The model takes a piece with every byte as the printable character that
     stands for it: itself where it has one, the next from U+0100 on otherwise.
-    Strings of special tokens are ordinary text.
+    Texts are cut at the tokenizer's added tokens first, the longest where several
+    begin at one place; those that take spaces with them or want whole words are
+    left to the library.
     """
 
     def __init__(self, path: str, packed_as: str = "<u4"):
         from tokenizers import Tokenizer
 
         self.packed_as = packed_as
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], packed_as).tobytes() for i, t in added.items()}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        longest = sorted(self.added, key=len, reverse=True)
+        self.find = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.letters = {b: b if b in printable else next(others) for b in range(256)}
@@ -58,9 +67,18 @@ class LibraryEncoder:
         return np.array([t.id for t in self.model.tokenize(letters)], self.packed_as).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The packed ids of a text."""
+        """The packed ids of a text in which strings of added tokens are ordinary text."""
         return b"".join(map(self.cache.__getitem__, split(text)))
 
+    def encode_marked(self, text: str) -> bytes:
+        """The packed ids of a text as the library gives them by default, with the ids of added tokens where they stand."""
+        if not any(token in text for token in self.added):
+            return self.encode(text)
+        if not self.plain:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.packed_as).tobytes()
+        parts = self.find.split(text)  # every second one is an added token
+        return b"".join(self.added[part] if k % 2 else self.encode(part) for k, part in enumerate(parts))
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, packed_as: str) -> LibraryEncoder:
@@ -71,7 +89,7 @@ def packing(path: str, end_id: int) -> str:
     """Two bytes an id where the whole vocabulary fits, else four."""
     from tokenizers import Tokenizer
 
-    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    return "<u2" if max(*Tokenizer.from_file(path).get_vocab().values(), end_id) < 1 << 16 else "<u4"
 
 
 def tokenize(
@@ -79,13 +97,14 @@ def tokenize(
 ) -> DataFrame:
     """(doc_id, ids): the ids of every whole text and ``end_id``, packed as unsigned little-endian integers.
 
+    Added tokens of the tokenizer have their own ids, as by default in the library.
     A null or empty text has the end id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(path, packed_as), np.array([end_id], packed_as).tobytes()
         for batch in batches:
-            packed = [encoder.encode(text) + end for text in batch.column(1).to_pylist()]
+            packed = [encoder.encode_marked(text) + end for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, TOKENS)

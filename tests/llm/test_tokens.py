@@ -10,12 +10,12 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from socklens.llm import byte_bpe, huffman, token_count, token_files
 from socklens.llm.pretokens import split
 from socklens.llm.queries import bpe_digests
-from socklens.llm.shared import new_folder
+from socklens.llm.shared import new_folder, prepare
 from tests.llm.conftest import awkward
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -95,6 +95,28 @@ def test_library_encoder_on_any_text():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_token_files_hold_the_ids_of_added_tokens(spark, tmp_path):
+    mark, library = "<|endoftext|>", Tokenizer.from_file(LIBRARY)
+    assert library.encode(f"a{mark}b", add_special_tokens=False).ids == [64, 50256, 65]
+    some = ["a" + mark + "b", mark, mark * 3, f" x  {mark} \n {mark}\t", "<|endoftext", f"<|{mark}|>", "it" + mark + "'s  ", *texts(100)]
+    some += [a + mark + b for a, b in zip(texts(100), texts(50)[::-1])]
+    table = prepare(spark).createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    folder = new_folder(spark, "test")
+    token_files.write_token_files(table, folder, LIBRARY)
+    rows = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.doc_id)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in some]
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in rows] == want
+    assert [r.start for r in rows] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+    # tokens that begin alike, take spaces with them, or want whole words
+    for kinds in ({}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}):
+        library = Tokenizer.from_file(LIBRARY)
+        library.add_tokens([AddedToken("<|end", **kinds), AddedToken("qu", normalized=False)])
+        library.save(path := str(tmp_path / f"{'-'.join(kinds)}.json"))
+        encoder = token_files.LibraryEncoder(path)
+        for text in [*some, "a <|end b", "quiet <|endo qu", f"qu{mark}<|end"]:
+            assert np.frombuffer(encoder.encode_marked(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, (kinds, text)
+
+
 def plain_lengths(counts):
     import heapq
 
