@@ -15,6 +15,7 @@ Scoring is one narrow pass over all documents and whole texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ HANDED = 500  # pseudo-labels a view hands over per round and class, at most
 CALIBRATE = 4  # every so many-th labelled document calibrates and teaches nothing
 REJECT_BELOW = 0.5
 SHAPE = 128 + 5
-META_BITS = 6
+META_BITS = 10
 SAMPLE = "h long, good int, words array<int>, shape array<float>, meta array<int>"
 
 
@@ -69,16 +70,15 @@ def word_features(words: Words) -> np.ndarray:
 
 
 def meta_features(source: pa.Array, lang: pa.Array, size: np.ndarray) -> np.ndarray:
-    """Cells of source, language and length class (powers of two), by hash; nulls are values of their own."""
+    """Cells of the whole source, the whole language and the length class (powers of two), by hash; nulls are values of their own."""
     cells = []
     for column, turn in ((source, 1), (lang, 2)):
-        named = Words(pc.binary_join_element_wise(pc.fill_null(pc.cast(column, pa.string()), "null"), pa.scalar(str(turn)), ""))
-        hashes = np.full(len(column), turn, np.uint64)
-        some = np.diff(named.first) > 0
-        hashes[some] = named.hash[named.first[:-1][some]]
-        cells.append(hashes)
-    cells.append(np.floor(np.log2(size + 1)).astype(np.uint64) + np.uint64(1 << 20))
-    return np.stack([(mix(c) >> np.uint64(64 - META_BITS)).astype(np.int32) for c in cells], axis=1)
+        kinds = pc.dictionary_encode(pc.cast(column, pa.string()), null_encoding="encode")
+        named = [b"" if k is None else b"=" + k.encode() for k in kinds.dictionary.to_pylist()]
+        hashes = [int.from_bytes(hashlib.blake2b(k, digest_size=8, salt=bytes([turn])).digest()) for k in named]
+        cells.append(np.array(hashes, np.uint64)[kinds.indices.to_numpy(zero_copy_only=False)])
+    cells.append(mix(np.floor(np.log2(size + 1)).astype(np.uint64) + np.uint64(1 << 20)))
+    return np.stack([(c >> np.uint64(64 - META_BITS)).astype(np.int32) for c in cells], axis=1)
 
 
 @dataclass
@@ -140,6 +140,7 @@ class QualityModel:
     text: Logistic | None = None
     meta: Logistic | None = None
     joint: Logistic | None = None
+    meta_place: np.ndarray | None = None  # cell to column of the metadata view, or -1
 
     def text_matrix(self, words: list[np.ndarray], shape: np.ndarray) -> np.ndarray:
         return text_matrix(words, shape, self.place, self.n_words)
@@ -158,10 +159,12 @@ def text_matrix(words: list[np.ndarray], shape: np.ndarray, place: np.ndarray, n
     return out
 
 
-def meta_matrix(cells: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(cells), 3 << META_BITS), np.float32)
+def meta_matrix(cells: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``place``: cell to column of the metadata view, or -1 for cells of no document of the samples."""
+    out = np.zeros((len(cells), place.max(initial=-1) + 1), np.float32)
     for k in range(3):
-        out[np.arange(len(cells)), (k << META_BITS) + cells[:, k]] = 1
+        at = place[(k << META_BITS) + cells[:, k]]
+        out[np.flatnonzero(at >= 0), at[at >= 0]] = 1
     return out
 
 
@@ -222,10 +225,15 @@ def co_train(known: pd.DataFrame, free: pd.DataFrame, rounds: int = ROUNDS) -> Q
     holds = np.arange(len(y)) % CALIBRATE == 0
     place, n_words = choose_words([w for w, h in zip(known["words"], holds) if not h], y[~holds])
 
+    meta_place = np.full(3 << META_BITS, -1, np.int64)
+    seen = [np.stack(f["meta"]) + (np.arange(3) << META_BITS) for f in (known, free) if len(f)]
+    used = np.unique(np.concatenate(seen))
+    meta_place[used] = np.arange(len(used))
+
     def matrices(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         shape = np.stack(frame["shape"]) if len(frame) else np.zeros((0, SHAPE), np.float32)
         meta = np.stack(frame["meta"]) if len(frame) else np.zeros((0, 3), np.int32)
-        return text_matrix(list(frame["words"]), shape, place, n_words), meta_matrix(meta)
+        return text_matrix(list(frame["words"]), shape, place, n_words), meta_matrix(meta, meta_place)
 
     views, pool = matrices(known), matrices(free)
     own_x = [v[~holds] for v in views]
@@ -244,7 +252,7 @@ def co_train(known: pd.DataFrame, free: pd.DataFrame, rounds: int = ROUNDS) -> Q
             x = np.concatenate([own_x[view], pool[view][rows]])
             models[view] = fit(x, np.concatenate([y[~holds], list(handed[view].values())]))
     both = np.stack([m.logit(v[holds]) for m, v in zip(models, views)], axis=1)
-    return QualityModel(None, place, n_words, models[0], models[1], fit(both, y[holds], ridge=1e-6))
+    return QualityModel(None, place, n_words, models[0], models[1], fit(both, y[holds], ridge=1e-6), meta_place)
 
 
 def choose_words(words: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, int]:
@@ -284,7 +292,7 @@ def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
                 words, shape, meta = _batch_features(piece, at)
                 cells = word_features(words)
                 held = [cells[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-                score = model.score(model.text_matrix(held, shape), meta_matrix(meta))
+                score = model.score(model.text_matrix(held, shape), meta_matrix(meta, model.meta_place))
             else:
                 score = np.full(piece.num_rows, model.constant)
             columns = [c for i, c in enumerate(piece.columns) if i != at["text"]]

@@ -266,6 +266,17 @@ def test_quality_on_labels_it_has_not_seen(spark, docs, no_docs):
         assert all(r.kept for r in quality.classify(docs, quality.train(table, few)).collect())
 
 
+def test_metadata_cells_tell_whole_values_apart():
+    sources = ["web-a", "web-b", "www.x.com", "www.y.com", "www.x.com/", "Web-a", "", None, "null", "-", "名-1"]
+    langs = ["en-GB", "en-US", "en", None, "null", "", "EN", "-", "fr", "fr-CA", "fr-FR"]
+    cells = quality.meta_features(pa.array(sources), pa.array(langs), np.full(len(sources), 100))
+    assert len(set(cells[:, 0].tolist())) == len(sources) and len(set(cells[:, 1].tolist())) == len(langs)
+    assert len(set(cells[:, 2].tolist())) == 1
+    again = quality.meta_features(pa.array(sources[::-1]), pa.array(langs[::-1]), np.full(len(sources), 100))
+    assert (again[::-1] == cells).all() and cells.max() < 1 << quality.META_BITS
+    assert quality.meta_features(pa.array([], pa.string()), pa.array([], pa.string()), np.zeros(0)).shape == (0, 3)
+
+
 def test_pipeline_against_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
