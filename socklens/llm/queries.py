@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from socklens.llm import byte_bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, secret_scan, token_count, token_files
+from socklens.llm import (
+    byte_bpe,
+    decontaminate,
+    exact_dedup,
+    language,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+    secret_scan,
+    token_count,
+    token_files,
+)
 from socklens.llm.shared import new_folder, prepare, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +128,9 @@ def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.classify(docs.select("doc_id", "text", "source", "lang"), model).drop("text", "source", "lang")
+
+
+@query("op11_mixing", mixing.oracle())
+def op11_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
