@@ -16,6 +16,7 @@ from socklens.llm import (
     near_dedup,
     pii,
     quality,
+    runs,
     secret_scan,
     token_count,
     token_files,
@@ -134,3 +135,9 @@ def op6_quality(spark, sf_dir):
 def op11_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digests(runs.periodic_runs(docs, damaged=True))
