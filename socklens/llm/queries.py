@@ -16,6 +16,7 @@ from socklens.llm import (
     near_dedup,
     pii,
     quality,
+    repair,
     runs,
     secret_scan,
     token_count,
@@ -141,3 +142,8 @@ def op11_mixing(spark, sf_dir):
 def op12_periodic_runs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return runs.digests(runs.periodic_runs(docs, damaged=True))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    return repair.report(table(spark, sf_dir, "conversations"))
