@@ -11,15 +11,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from socklens.catalog import SOCKET_KEY
+from socklens.operators.numbering import number_rows
+from socklens.settings import free_names
 
 ORDER = ("Timestamp",)
-PIECE_SECONDS = 600
-_PIECES = 144  # pieces summed up in one first-level window
-_NO_TIME = -(1 << 62)  # piece of rows without a time; they come first
 
 
 def check_sample(n: int) -> int:
@@ -29,11 +28,11 @@ def check_sample(n: int) -> int:
 
 
 def present_key(df: DataFrame, key: Sequence[str] | None) -> list[str]:
-    """Key columns: those asked for, all of which must exist, or the socket columns that do."""
-    found = list(key) if key else [c for c in SOCKET_KEY if c in df.columns]
+    """Key columns: those asked for or the socket columns, all of which must exist."""
+    found = list(key) if key else list(SOCKET_KEY)
     missing = [c for c in found if c not in df.columns]
-    if missing or not found:
-        raise ValueError(f"sampling needs key columns the input does not have: {missing or list(SOCKET_KEY)}")
+    if missing:
+        raise ValueError(f"sampling needs key columns the input does not have: {missing}; name others with key")
     return found
 
 
@@ -49,66 +48,27 @@ def sample_per_socket(
     n: int,
     key: Sequence[str] | None = None,
     order: Sequence[str] = ORDER,
-    piece_seconds: int | None = PIECE_SECONDS,
+    spread: bool = True,
 ) -> DataFrame:
-    """Every ``n + 1``-th row of each socket, in ``order`` (any columns, NULL first).
-
-    Rows are numbered inside pieces of a socket, spans of ``piece_seconds`` of
-    the first order column, and each piece starts at the count of the pieces
-    before it, so a socket with very many rows is spread over many tasks. The
-    rows are shuffled once; the pieces are counted from the key and time columns
-    alone, combined before their shuffle, in the same job. With
-    ``piece_seconds=None``, or where the first order column is no time, one
-    window numbers a socket. Either way the rows are the same. Rows that tie in
-    all order columns are told apart arbitrarily.
+    """Every ``n + 1``-th row of each socket, in ``order`` (any columns of any order type, NULL first).
+
+    Rows are dealt out by ranges of (socket, order) and numbered by prefix sums,
+    so a socket is spread over as many tasks as its rows ask for, also where all of
+    them are of one second. The source is read and shuffled once; the dealt rows
+    are written to the shared folder, so the job starts when this is called.
+    With ``spread`` off one window numbers each socket, in one task and when
+    the result is wanted. Either way the rows are the same. Rows that tie in all
+    order columns are told apart arbitrarily.
     """
     if check_sample(n) == 0:
         return df
     key, order = present_key(df, key), check_order(df, order)
-    piece = _piece(df, order[0], piece_seconds) if piece_seconds else None
-    if piece is None:
-        position = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-        numbered = df.withColumn("_position", position)
+    (position,) = free_names(df.columns, "_position")
+    if spread:
+        numbered = number_rows(df, key, order, position, "sampled")
     else:
-        numbered = _number_in_pieces(df, piece, key, order)
-    return numbered.where(F.col("_position") % (n + 1) == 0).drop("_position")
-
-
-def _piece(df: DataFrame, name: str, seconds: int) -> Column | None:
-    """Number of the span a row falls into, never NULL; None if the column holds no time."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        value = F.unix_timestamp(F.col(name).cast("timestamp"))
-    elif isinstance(kind, T.NumericType):
-        value = F.col(name)
-    else:
-        return None
-    return F.coalesce(F.floor(value / seconds).cast("bigint"), F.lit(_NO_TIME))
-
-
-def _number_in_pieces(df: DataFrame, piece: Column, key: list[str], order: list[str]) -> DataFrame:
-    columns = df.columns
-    # the struct makes sockets with NULL key columns comparable
-    tagged = df.select(F.struct(*key).alias("_socket"), piece.alias("_piece"), *columns)
-    rank = F.row_number().over(Window.partitionBy("_socket", "_piece").orderBy(*order))
-    ranked = tagged.withColumn("_rank", rank)
-
-    # running counts in two levels, so no window holds all pieces of a socket
-    sizes = tagged.groupBy("_socket", "_piece").agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = sizes.withColumn("_span", F.floor(F.col("_piece") / _PIECES))
-    by_span = Window.partitionBy("_socket").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    by_piece = Window.partitionBy("_socket", "_span").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    spans = (
-        sizes.groupBy("_socket", "_span")
-        .agg(F.sum("_rows").alias("_rows"))
-        .select("_socket", "_span", F.sum("_rows").over(by_span).alias("_span_start"))
-    )
-    starts = (
-        sizes.withColumn("_piece_start", F.sum("_rows").over(by_piece))
-        .join(spans, ["_socket", "_span"])
-        .select("_socket", "_piece", (F.coalesce("_piece_start", F.lit(0)) + F.coalesce("_span_start", F.lit(0))).alias("_start"))
-    )
-    return ranked.join(starts, ["_socket", "_piece"]).withColumn("_position", F.col("_rank") + F.col("_start")).select(*columns, "_position")
+        numbered = df.withColumn(position, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return numbered.where(F.col(position) % (n + 1) == 0).drop(position)
 
 
 def sample_stream(

@@ -9,8 +9,9 @@ from workload.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session(8)
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

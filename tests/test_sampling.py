@@ -3,6 +3,7 @@ import random
 import pytest
 
 from socklens import Spec, run_spec, sample_per_socket, sample_stream
+from socklens.operators import numbering
 
 COLUMNS = "event_id long, Hostname string, SAddr string, Timestamp long"
 KEY = ["Hostname", "SAddr"]
@@ -38,19 +39,32 @@ def _ids(df):
 
 
 @pytest.mark.parametrize("n", [1, 3, 10])
-@pytest.mark.parametrize("piece_seconds", [None, 600, 3])
-def test_equals_counter_loop(spark, n, piece_seconds):
+@pytest.mark.parametrize("spread", [False, True])
+def test_equals_counter_loop(spark, n, spread):
     rows = _events(1500)
     shuffled = rows[:]
     random.Random(1).shuffle(shuffled)
     df = spark.createDataFrame(shuffled, COLUMNS)
-    assert _ids(sample_per_socket(df, n, KEY, ARRIVAL, piece_seconds)) == _counted(rows, n)
+    assert _ids(sample_per_socket(df, n, KEY, ARRIVAL, spread)) == _counted(rows, n)
 
 
 def test_one_second_holds_a_whole_socket(spark):
     rows = [(i, "h", "a", 1_700_000_000) for i in range(1000)]
     df = spark.createDataFrame(rows, COLUMNS)
-    assert _ids(sample_per_socket(df, 4, KEY, ARRIVAL, 60)) == _counted(rows, 4)
+    assert _ids(sample_per_socket(df, 4, KEY, ARRIVAL)) == _counted(rows, 4)
+
+
+def test_one_second_of_a_socket_is_spread_over_tasks(spark, monkeypatch):
+    before, dealt = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), []
+    kept = numbering.deal
+    monkeypatch.setattr(numbering, "deal", lambda *a: dealt.append(kept(*a)) or dealt[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(i, "h", "a", 1_700_000_000) for i in range(1000)], COLUMNS)
+        assert sample_per_socket(df, 4, KEY).count() == 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert dealt[0].rows.select("_piece").distinct().count() == 4
 
 
 def test_zero_is_off_and_negative_is_an_error(spark):
@@ -62,21 +76,19 @@ def test_zero_is_off_and_negative_is_an_error(spark):
 
 def test_plain_path_shuffles_once(spark):
     df = spark.createDataFrame(_events(100), COLUMNS)
-    plan = sample_per_socket(df, 2, KEY, piece_seconds=None)._jdf.queryExecution().executedPlan().toString()
+    plan = sample_per_socket(df, 2, KEY, spread=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
 
-def test_rows_are_read_and_shuffled_once(spark, tmp_path):
-    """The pieces are counted from the key and time columns alone, and once."""
+def test_the_final_plan_reads_dealt_rows_once_and_shuffles_nothing(spark, tmp_path):
     path = str(tmp_path / "rows")
     spark.createDataFrame(_events(100), COLUMNS).write.parquet(path)
     df = sample_per_socket(spark.read.parquet(path), 2, KEY, ARRIVAL)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
-    reads = [line for line in final.splitlines() if "FileScan" in line]
-    assert sum("event_id:bigint" in line for line in reads) == 1
-    assert len([line for line in reads if "event_id" not in line]) <= 2
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan") == 1 and path not in final
+    assert "hashpartitioning" not in final and "rangepartitioning" not in final
 
 
 @pytest.mark.parametrize("order", [["Timestamp", "event_id"], ["event_id"], ["SAddr", "event_id"]])
@@ -84,8 +96,8 @@ def test_null_order_values_count_alike_in_pieces_and_whole(spark, order):
     rows = [(None if i % 11 == 3 else i, "h", None if i % 7 == 0 else f"a{i % 5}", None if i % 5 == 0 else 1_700_000_000 + i * 400) for i in range(200)]
     rows = [r for r in rows if r[0] is not None or r[3] is not None]
     df = spark.createDataFrame(rows, COLUMNS)
-    whole = sample_per_socket(df, 3, ["Hostname"], order, None)
-    assert sorted(map(str, whole.collect())) == sorted(map(str, sample_per_socket(df, 3, ["Hostname"], order, 600).collect()))
+    whole = sample_per_socket(df, 3, ["Hostname"], order, False)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, sample_per_socket(df, 3, ["Hostname"], order).collect()))
     assert whole.count() == len(rows) // 4
 
 

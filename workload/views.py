@@ -71,6 +71,15 @@ SELECT CAST(167772160 + c_custkey * 48 + 7 AS BIGINT) AS lo, CAST(167772160 + c_
 FROM {customer}
 """
 
+# networks in networks around the source addresses: one holds all, one per customer, some inside that, some inside those
+GEO_NESTED = """
+SELECT CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, ASN, ASNOrg FROM (
+  SELECT 167772160 AS lo, 184549375 AS hi, '1' AS ASN, r_name AS ASNOrg FROM {region} WHERE r_regionkey = 0
+  UNION ALL SELECT 167772160 + c_custkey * 48, 167772160 + c_custkey * 48 + 47, CAST(70000 + c_custkey AS VARCHAR(20)), c_name FROM {customer}
+  UNION ALL SELECT 167772160 + c_custkey * 48 + 10, 167772160 + c_custkey * 48 + 29, CAST(80000 + c_custkey AS VARCHAR(20)), 'half' FROM {customer} WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 167772160 + c_custkey * 48 + 10, 167772160 + c_custkey * 48 + 12, CAST(90000 + c_custkey AS VARCHAR(20)), 'quarter' FROM {customer} WHERE c_custkey % 4 = 0) AS n
+"""
+
 # one IPv6 range per customer, bounds as 32 hex digits
 GEO_V6 = """
 SELECT CONCAT('FD01', LPAD(CAST(c_custkey * 60 AS VARCHAR(20)), 28, '0')) AS lo_hex,
@@ -108,6 +117,7 @@ def duckdb_with(query: str) -> str:
         "geo_asn": GEO_ASN.format(**names),
         "geo_customers": GEO_CUSTOMERS.format(**names),
         "geo_v6": GEO_V6.format(**names),
+        "geo_nested": GEO_NESTED.format(**names),
     }
     used = [f"{name} AS ({text})" for name, text in views.items() if name in query]
     return f"WITH {', '.join(used)}\n{query}" if used else query
@@ -124,6 +134,7 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, **more) -> DataFrame:
 
 def tcp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings.apply(spark)
+    shared(spark)
     return _sql(spark, sf_dir, TCP_EVENTS.replace("{epoch}", _EPOCH["spark"]))
 
 
@@ -139,6 +150,10 @@ def geo_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, GEO_CUSTOMERS)
 
 
+def geo_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, GEO_NESTED)
+
+
 def geo_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = _sql(spark, sf_dir, GEO_V6)
     return ranges.selectExpr("unhex(lo_hex) AS lo", "unhex(hi_hex) AS hi", "ASN", "ASNOrg")
@@ -149,17 +164,22 @@ def topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, tcp_events=tcp_events(spark, sf_dir))
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder that every executor can reach.
+def shared(spark: SparkSession) -> str:
+    """The folder every executor can reach.
 
     A temporary folder stands in only where none is set on one machine; it is
     removed when the driver ends.
     """
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.split("[")[0] == "local":
-        folder = _local_folder()
-    else:
-        folder = settings.shared_folder(spark)
-    return f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and context.master.split("[")[0] == "local":
+        context.setCheckpointDir(_local_folder())
+    return settings.shared_folder(spark)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder that every executor can reach."""
+    return f"{shared(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 @lru_cache(maxsize=1)
