@@ -1,17 +1,18 @@
 """Geo and AS-number columns by IP lookup.
 
-A lookup table holds disjoint address ranges ``(lo, hi, ...)``: BIGINT bounds
-for IPv4, BINARY(16) bounds for IPv6. A range is filed under the leading bytes
-that ``lo`` and ``hi`` share, so a lookup is an equi-join on a byte prefix plus a
-bounds check. Each range filed under a prefix crosses a boundary of the next
-byte, and disjoint ranges cannot share one: at most 255 candidates per prefix
-and 5 (IPv4) or 17 (IPv6) prefix lengths, however large the table is.
-
-The size of every prefix length is measured when the table is opened. While all
-of them fit the broadcast limit, events are never shuffled. Beyond that,
-distinct addresses are resolved first, the large prefix lengths by shuffled
-joins, and joined back on the address; adaptive execution splits that join
-where an address is hot.
+A lookup table holds address ranges ``(lo, hi, ...)``: BIGINT bounds for IPv4,
+BINARY(16) bounds for IPv6. Networks may nest; the innermost one holds an address.
+A table with nested ranges is cut into disjoint ones when it is opened.
+
+While the tables fit the broadcast limit, events are never shuffled: a range is
+filed under the leading bytes that ``lo`` and ``hi`` share, so a lookup is an
+equi-join on a byte prefix plus a bounds check. Each range filed under a prefix
+crosses a boundary of the next byte, and disjoint ranges cannot share one: at
+most 255 candidates per prefix and 5 (IPv4) or 17 (IPv6) prefix lengths.
+
+Beyond the limit, distinct addresses and all ranges of all tables are swept
+together (:func:`socklens.operators.sweep.sweep_join`), and events joined with
+what was found by their address, where adaptive execution splits a hot one.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from socklens.functions.address import add_lookup_keys
+from socklens.operators.sweep import bound_key, flatten, sweep_join, wide_key
+from socklens.settings import stash
 
 LEVELS = ("asn", "city", "city-asn", "city-loc", "city-loc-asn")
 MAX_BROADCAST_BYTES = 512 << 20
@@ -92,8 +95,8 @@ def _prefix(key: Column, family: int, length: int) -> Column:
     return F.substring(key, 1, length)
 
 
-def _check_disjoint(name: str, ranges: DataFrame, family: int) -> None:
-    """Raise if two ranges share an address, or one ends before it begins.
+def _overlaps(ranges: DataFrame, family: int) -> DataFrame:
+    """(bad, overlap): whether a range ends before it begins, and whether two share an address; one row.
 
     Ranges are compared with the one before inside blocks of equal leading
     bytes, then whole blocks with the blocks before, so no task sorts the table.
@@ -101,22 +104,35 @@ def _check_disjoint(name: str, ranges: DataFrame, family: int) -> None:
     block = F.shiftright("lo", 16) if family == 4 else F.substring("lo", 1, 4)
     marked = ranges.where("lo IS NOT NULL AND hi IS NOT NULL").select("lo", "hi", block.alias("block"))
     inside = Window.partitionBy("block").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    near = marked.select("block", "lo", "hi", ((F.col("lo") > F.col("hi")) | (F.max("hi").over(inside) >= F.col("lo"))).alias("bad"))
-    blocks = near.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("bad").alias("bad"))
+    near = marked.select("block", "lo", "hi", (F.col("lo") > F.col("hi")).alias("bad"), (F.max("hi").over(inside) >= F.col("lo")).alias("overlap"))
+    flags = [F.bool_or(c).alias(c) for c in ("bad", "overlap")]
+    blocks = near.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *flags)
     top = F.shiftright("lo", 24) if family == 4 else F.substring("lo", 1, 2)
     before = Window.partitionBy("top").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    near = blocks.withColumn("top", top).withColumn("bad", F.coalesce("bad", F.lit(False)) | F.coalesce(F.max("hi").over(before) >= F.col("lo"), F.lit(False)))
-    tops = near.groupBy("top").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("bad").alias("bad"))
+    reach = F.coalesce(F.max("hi").over(before) >= F.col("lo"), F.lit(False))
+    tops = blocks.withColumn("top", top).withColumn("overlap", F.coalesce("overlap", F.lit(False)) | reach)
+    tops = tops.groupBy("top").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *flags)
     # one row per leading byte (IPv4) or two (IPv6)
     order = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
-    far = tops.where(F.col("bad")).isEmpty() and tops.select((F.max("hi").over(order) >= F.col("lo")).alias("bad")).where("bad").isEmpty()
-    if not far:
-        raise ValueError(f"the {name} table has ranges that overlap or end before they begin")
+    far = tops.select("bad", (F.coalesce("overlap", F.lit(False)) | F.coalesce(F.max("hi").over(order) >= F.col("lo"), F.lit(False))).alias("overlap"))
+    return far.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("bad", "overlap")])
+
+
+def _disjoint(filed: DataFrame, family: int) -> tuple[DataFrame, bool]:
+    """(disjoint ranges that give each address its innermost one, whether there are ranges that cross)."""
+    keyed = filed.select(bound_key(F.col("lo"), family).alias("lo"), bound_key(F.col("hi"), family).alias("hi"), "record")
+    flat = flatten(keyed)
+    crossed = not flat.where("bad").isEmpty()
+    bounds = []
+    for c in ("lo", "hi"):
+        address = F.substring(c, 2, 16)
+        bounds.append((F.conv(F.hex(address), 16, 10).cast("bigint") if family == 4 else address).alias(c))
+    return flat.select(*bounds, "record"), crossed
 
 
 @dataclass
 class RangeTable:
-    """One lookup table, filed by prefix length.
+    """One lookup table of disjoint ranges, filed by prefix length.
 
     ``sizes`` maps (family, prefix length) to the bytes of its ranges; it is
     measured once, when the table is opened.
@@ -128,33 +144,34 @@ class RangeTable:
 
     @classmethod
     def open(cls, name: str, tables, record) -> RangeTable:
-        frames = {}
+        frames, measured, read = {}, [], {}
         for family, df in _by_family(tables).items():
             lo, hi = F.col("lo"), F.col("hi")
             if family == 4:
                 lo, hi = lo.cast("bigint"), hi.cast("bigint")
-            filed = df.select(lo.alias("lo"), hi.alias("hi"), record(df).alias("record"))
+            read[family] = df.select(lo.alias("lo"), hi.alias("hi"), record(df).alias("record"))
             # read once: the check, the sizes and a join per prefix length share it
-            frames[family] = filed.withColumn("length", _shared_bytes(family).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
-            _check_disjoint(name, frames[family], family)
-        measured = [
-            df.groupBy(F.lit(family).alias("family"), "length").agg(
-                F.sum(F.length(F.to_json("record")) + _ROW_OVERHEAD).alias("bytes")
-            )
-            for family, df in frames.items()
-        ]
-        rows = reduce(DataFrame.unionByName, measured).collect()  # at most 22 rows
+            frames[family] = read[family].withColumn("length", _shared_bytes(family).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
+            measured += [_sizes(frames[family], family), _overlaps(frames[family], family).select(F.lit(family), F.lit(None), F.lit(None), "bad", "overlap")]
+        rows = reduce(DataFrame.union, measured).collect()  # at most 24 rows
+        refused = any(r.bad for r in rows)
+        for family in [r.family for r in rows if r.overlap and not refused]:
+            flat, refused = _disjoint(read[family], family)
+            frames[family].unpersist()
+            frames[family] = flat.withColumn("length", _shared_bytes(family).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
+            rows = [r for r in rows if r.family != family] + _sizes(frames[family], family).collect()
+        if refused:
+            for frame in frames.values():
+                frame.unpersist()
+            raise ValueError(f"the {name} table has ranges that overlap without nesting, are listed twice or end before they begin")
         return cls(name, frames, {(r.family, r.length): r.bytes for r in rows if r.length is not None})
 
     def close(self) -> None:
         for frame in self.frames.values():
             frame.unpersist()
 
-    def lookup(self, df: DataFrame, keys: Mapping[int, str], small: set) -> DataFrame:
-        """Add a ``_<name>`` record column; at most one range holds an address.
-
-        ``small`` holds the (table, family, prefix length) parts to broadcast.
-        """
+    def lookup(self, df: DataFrame, keys: Mapping[int, str]) -> DataFrame:
+        """Add a ``_<name>`` record column by broadcast joins; at most one range holds an address."""
         found = []
         for family, length in sorted(self.sizes):
             tag = f"_{self.name}_{family}_{length}"
@@ -167,14 +184,29 @@ class RangeTable:
             )
             inside = key.between(F.col(f"{tag}_lo"), F.col(f"{tag}_hi"))
             on = (_prefix(key, family, length) == F.col(f"{tag}_at")) & inside
-            if (self.name, family, length) in small:
-                ranges = F.broadcast(ranges)
-            df = df.join(ranges, on, "left")
+            df = df.join(F.broadcast(ranges), on, "left")
             df = df.drop(f"{tag}_at", f"{tag}_lo", f"{tag}_hi")
             found.append(tag)
         record = F.coalesce(*found) if found else F.lit(None)
         return df.withColumn(f"_{self.name}", record).drop(*found)
 
+    def keyed(self) -> DataFrame:
+        """All ranges with bounds that sort over both families."""
+        parts = [
+            frame.where("lo IS NOT NULL AND hi IS NOT NULL").select(
+                bound_key(F.col("lo"), family).alias("lo"), bound_key(F.col("hi"), family).alias("hi"), "record"
+            )
+            for family, frame in self.frames.items()
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+
+def _sizes(frame: DataFrame, family: int) -> DataFrame:
+    """(family, length, bytes, NULL, NULL) of each prefix length."""
+    held = F.sum(F.octet_length(F.to_json("record")) + _ROW_OVERHEAD)
+    sized = frame.groupBy("length").agg(held.alias("bytes"))
+    return sized.select(F.lit(family).alias("family"), "length", "bytes", F.lit(None).cast("boolean").alias("bad"), F.lit(None).cast("boolean").alias("overlap"))
+
 
 class GeoLookup:
     """City and AS-number tables opened for one level of detail."""
@@ -194,43 +226,43 @@ class GeoLookup:
         if "asn" in parts:
             self.tables.append(RangeTable.open("asn", asn, _asn_record))
             self.columns += _ASN
-        parts = sorted((size, (t.name, *at)) for t in self.tables for at, size in t.sizes.items())
-        total = 0
-        self.small = set()
-        for size, part in parts:
-            total += size
-            if total <= max_broadcast_bytes:
-                self.small.add(part)
-        self.all_small = total <= max_broadcast_bytes
+        self.all_small = sum(size for t in self.tables for size in t.sizes.values()) <= max_broadcast_bytes
 
     def close(self) -> None:
         """Give back the memory of the tables; plans made so far read them again."""
         for table in self.tables:
             table.close()
 
-    def _resolve(self, df: DataFrame, address: str) -> DataFrame:
-        """Add ``_geo``: a struct of the level's columns, NULL if the address
-        is missing or invalid."""
-        out = add_lookup_keys(df, address, "_key4", "_key6")
-        for table in self.tables:
-            out = table.lookup(out, {4: "_key4", 6: "_key6"}, self.small)
+    def _records(self, df: DataFrame) -> DataFrame:
+        """Add ``_geo`` from the records found: a struct of the level's columns, NULL without a valid address (``_valid``)."""
         values = []
         for name in self.columns:
             source = "_asn" if name in _ASN else "_city"
             value = F.col(source)[name]
             values.append((F.coalesce(value, F.lit(_ZERO[name])) if name in _ZERO else value).alias(name))
-        valid = F.col("_key4").isNotNull() | F.col("_key6").isNotNull()
-        out = out.withColumn("_geo", F.when(valid, F.struct(*values)))
-        return out.drop("_key4", "_key6", *[f"_{t.name}" for t in self.tables])
+        out = df.withColumn("_geo", F.when(F.col("_valid"), F.struct(*values)))
+        return out.drop("_valid", *[f"_{t.name}" for t in self.tables])
 
     def attach(self, df: DataFrame, geo_field: str) -> DataFrame:
         """``df`` with a ``_geo`` struct for the address in ``geo_field``."""
-        if self.all_small:
-            return self._resolve(df, geo_field)
+        if not self.all_small:
+            return self._swept(df, geo_field)
+        out = add_lookup_keys(df, geo_field, "_key4", "_key6")
+        for table in self.tables:
+            out = table.lookup(out, {4: "_key4", 6: "_key6"})
+        valid = F.col("_key4").isNotNull() | F.col("_key6").isNotNull()
+        return self._records(out.withColumn("_valid", valid).drop("_key4", "_key6"))
+
+    def _swept(self, df: DataFrame, geo_field: str) -> DataFrame:
+        """Tables too large to broadcast: distinct addresses are swept with all ranges, which starts jobs at once."""
         if df.isStreaming:
             raise ValueError("a stream needs tables that can be broadcast; enrich its micro-batches instead")
-        distinct = df.select(F.col(geo_field).alias("_address")).where("_address IS NOT NULL").distinct()
-        resolved = self._resolve(distinct, "_address")
+        distinct = df.select(F.col(geo_field).alias("address")).where("address IS NOT NULL").distinct()
+        keyed = add_lookup_keys(distinct, "address", "_key4", "_key6").select("address", wide_key(F.col("_key4"), F.col("_key6")).alias("key"))
+        keyed = stash(keyed, "addresses")  # events are read and addresses worked out once
+        found = sweep_join(keyed.where("key IS NOT NULL"), {t.name: t.keyed() for t in self.tables})
+        names = [F.col(t.name).alias(f"_{t.name}") for t in self.tables]
+        resolved = self._records(found.select(F.col("address").alias("_address"), F.lit(True).alias("_valid"), *names))
         return df.join(resolved, F.col(geo_field) == F.col("_address"), "left").drop("_address")
 
     def enrich(self, df: DataFrame, geo_field: str = "SAddr", merge: str = "overwrite") -> DataFrame:

@@ -119,10 +119,10 @@ def test_small_tables_need_no_shuffle_and_no_nested_loop(spark, city, asn):
 
 
 @pytest.mark.parametrize("ranges", [
-    [(10, 20), (20, 30)], [(10, 50), (20, 30)], [(10, 20), (12, 14), (13, 15)], [(30, 20)],
-    [(0, 1 << 20), (1 << 18, (1 << 18) + 5)], [(5, 1 << 26), ((1 << 25) + 3, (1 << 25) + 9)], [(1, 2), (1, 2)],
+    [(10, 20), (20, 30)], [(10, 20), (12, 14), (13, 15)], [(30, 20)], [(1, 2), (1, 2)],
+    [(0, 1 << 20), (1 << 18, (1 << 20) + 5)], [(5, 1 << 26), ((1 << 25) + 3, (1 << 26) + 9), (7, 9)],
 ])
-def test_overlapping_ranges_are_refused(spark, ranges):
+def test_ranges_that_cross_are_refused(spark, ranges):
     table = spark.createDataFrame([(lo, hi, "1", "o") for lo, hi in ranges], "lo long, hi long, ASN string, ASNOrg string")
     with pytest.raises(ValueError, match="overlap"):
         GeoLookup("asn", asn=table)
@@ -131,6 +131,58 @@ def test_overlapping_ranges_are_refused(spark, ranges):
         GeoLookup("asn", asn=spark.createDataFrame(rows, "lo binary, hi binary, ASN string, ASNOrg string"))
 
 
+def _nested(rng, lo, hi, depth):
+    """Networks in networks, some that begin or end together, one that fills half of its parent."""
+    out = []
+    if depth and hi - lo > 8:
+        cuts = sorted({rng.randrange(lo, hi + 1) for _ in range(6)} | ({lo, hi} if rng.random() < 0.5 else set()))
+        for a, b in zip(cuts[::2], cuts[1::2]):
+            if (a, b) != (lo, hi):
+                out += [(a, b), *_nested(rng, a, b, depth - 1)]
+    return out
+
+
+@pytest.mark.parametrize("limit", [512 << 20, 0])
+@pytest.mark.parametrize("family", [4, 6])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_the_innermost_of_nested_ranges_holds_an_address(spark, family, limit, partitions):
+    rng = random.Random(family * 10 + partitions)
+    bits = 32 if family == 4 else 128
+    top = (1 << bits) - 1
+    ranges = list(dict.fromkeys([(0, top), *_nested(rng, 1 << bits - 3, top >> 1, 5), (5, 5), (top, top)]))
+    bound = (lambda v: v) if family == 4 else (lambda v: bytearray(v.to_bytes(16, "big")))
+    kind = "long" if family == 4 else "binary"
+    rng.shuffle(ranges)
+    table = spark.createDataFrame([(bound(a), bound(b), str(i), f"org {i}") for i, (a, b) in enumerate(ranges)], f"lo {kind}, hi {kind}, ASN string, ASNOrg string")
+    values = {v for a, b in ranges for v in (a, b, a - 1, b + 1, (a + b) // 2) if 0 <= v <= top}
+    values = [v for v in values if family == 4 or v >> 32 != 0xFFFF]
+    make = ipaddress.IPv4Address if family == 4 else ipaddress.IPv6Address
+    want = {}
+    for v in values:
+        holds = [(b - a, i) for i, (a, b) in enumerate(ranges) if a <= v <= b]
+        want[str(make(v))] = str(min(holds)[1])
+    df = spark.createDataFrame([(t,) for t in want], "SAddr string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.SAddr: r.ASN for r in enrich_geo(df, "asn", asn={family: table}, max_broadcast_bytes=limit).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+
+
+def test_one_join_serves_large_tables(spark, city, asn):
+    """Both tables and families in one sweep; the events are joined once, on their address."""
+    df = spark.range(50).selectExpr("concat('70.160.0.', id) AS SAddr", "id")
+    lookup = GeoLookup("city-loc-asn", city=city, asn=asn, max_broadcast_bytes=0)
+    rows = lookup.enrich(df)
+    assert {r.ASN for r in rows.collect()} == {"22773"} and rows.count() == 50
+    plan = plan_of(rows)
+    assert "NestedLoop" not in plan and "InMemoryTableScan" not in plan
+
+
 def test_disjoint_ranges_are_accepted(spark):
     ranges = [(0, 1 << 17), ((1 << 17) + 1, 1 << 24), ((1 << 24) + 1, 1 << 27), (1 << 28, 1 << 28)]
     GeoLookup("asn", asn=spark.createDataFrame([(lo, hi, "1", "o") for lo, hi in ranges], "lo long, hi long, ASN string, ASNOrg string"))
