@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from socklens.catalog import GEO_COLUMNS, TYPED_COLUMNS, canonical, typed_type
+from socklens.catalog import FIELDS, GEO_COLUMNS, TYPED_COLUMNS, canonical, typed_type
 
 # -- fixed values: dynamic-row fields that are text ------------------------
 _DYNAMIC_TEXT = ("Task", "SAddr", "DAddr")
@@ -22,16 +22,22 @@ def without(extra: Column, present: Column) -> Column:
     return F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,variant>")), lambda k, v: ~F.map_contains_key(present, k))
 
 
+def held_type(df: DataFrame, name: str) -> T.DataType:
+    """The type of a typed-row column for this input: 64-bit counters stay DECIMAL(20,0) where they come so."""
+    counter = name in FIELDS and FIELDS[name].ctype == "u64" and name in df.columns
+    return df.schema[name].dataType if counter and isinstance(df.schema[name].dataType, T.DecimalType) else typed_type(name)
+
+
 def to_typed(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """The fixed 61-column row; columns the input lacks are NULL.
 
     Names outside the typed row do not survive: OldState and NewState have no
-    column there.
+    column there. 64-bit counters that come as DECIMAL(20,0), as flows decode them, stay so.
     """
     columns = []
     for name in TYPED_COLUMNS:
         source = F.col(name) if name in df.columns else F.lit(None)
-        columns.append(source.cast(typed_type(name)).alias(name))
+        columns.append(source.cast(held_type(df, name)).alias(name))
     return df.select(*columns, *keep)
 
 

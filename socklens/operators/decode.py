@@ -15,6 +15,7 @@ from socklens.catalog import FIELDS, Field, event_schema, field
 from socklens.functions.address import add_lookup_keys, fold_zeros, ipv4_from_key, ipv4_key, ipv6_groups
 from socklens.operators.conform import EXTRA
 from socklens.operators.project import HOST_ORDER
+from socklens.settings import free_names
 from socklens.functions.bits import cstr, cstr_bytes, raw_word, swap_bytes, uint_bytes, unsigned64
 
 CORRUPT = "_corrupt_record"
@@ -125,7 +126,34 @@ def encode_records(
     return df.select(F.concat(*parts).alias(data), *keep)
 
 
-_NUMBER = T.DecimalType(38, 12)  # 64-bit counters, fractions and exponents
+_NUMBER = T.DecimalType(38, 18)  # 64-bit counters, fractions and exponents
+# nothing that is no JSON
+_STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _ddl(row: T.StructType) -> str:
+    return ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in row.fields)
+
+
+def _one_object(text: str, row: T.StructType) -> str:
+    """SQL for the one object that a payload holds, as ``row``.
+
+    The payload is read as the elements of an array, followed by its length: a
+    second object, or text that belongs to none, makes it another array or no JSON.
+    """
+    whole = f"v array<struct<{_ddl(row).replace('` ', '`: ')}>>, n int, {CORRUPT} string"
+    options = ", ".join(f"'{k}', '{v}'" for k, v in _STRICT.items())
+    return f"""from_json(concat('{{"v":[', {text}, '],"n":', length({text}), '}}'), '{whole}', map({options}))"""
+
+
+def _fits(read: str, text: str) -> str:
+    """SQL for whether :func:`_one_object` found the one object and nothing else."""
+    one = f"{read}.{CORRUPT} IS NULL AND size({read}.v) = 1 AND get({read}.v, 0) IS NOT NULL"
+    return f"coalesce({one} AND {read}.n = length({text}), false)"
 
 
 def decode_json(
@@ -136,40 +164,76 @@ def decode_json(
     wide: bool = False,
     extra: bool = False,
 ) -> DataFrame:
-    """Decode JSON payloads; undecodable ones land in ``_corrupt_record``.
+    """Decode JSON payloads, one object each; undecodable ones land in ``_corrupt_record``.
 
     ``schema`` defaults to every catalog field plus the stamps. Keys outside it
     are ignored, or with ``extra`` kept in the map ``_extra``; missing ones are
-    NULL. Integer fields take any JSON number,
-    cut to whole; with ``wide`` 64-bit counters are DECIMAL(20,0). A number that
-    its column cannot hold makes the payload undecodable, never silently NULL.
+    NULL, and of a repeated key the last value counts. Integer fields take any JSON
+    number, cut to whole (digits behind the 18th decimal are rounded); with ``wide``
+    64-bit counters are DECIMAL(20,0). A number that its column cannot hold makes
+    the payload undecodable, never silently NULL; negative ones stay, as payloads do not
+    say which field is unsigned. Also undecodable: any text behind the object and, with
+    ``extra``, a key that is repeated inside an extra value.
+
+    Payloads are parsed once, with whole numbers; only those that this does not
+    fit are parsed again with fractions and numbers of any size; ``extra`` takes a parse of its own.
     """
     schema = schema or event_schema()
     fields = [f for f in schema.fields if f.name != CORRUPT]
     whole = {f.name for f in fields if isinstance(f.dataType, (T.IntegerType, T.LongType))}
-    read = [T.StructField(f.name, _NUMBER if f.name in whole else f.dataType) for f in fields]
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    text = F.col(value).cast("string")
-    parsed_type = T.StructType([*read, T.StructField(CORRUPT, T.StringType())])
-    # unpacked by a generator, so that a later filter on the marker cannot pull
-    # a second parse below itself
-    parsed = df.select(F.inline(F.array(F.from_json(text, parsed_type, options))), text.alias("_text"), *keep)
-    columns, unfit = [], F.lit(False)
-    for f in fields:
-        column = F.col(f.name)
-        if f.name in whole:
-            kind = "decimal(20,0)" if wide and f.name in FIELDS and FIELDS[f.name].ctype == "u64" else f.dataType
-            cut = F.when(column < 0, F.ceil(column)).otherwise(F.floor(column))
-            column = F.when(cut <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), cut).try_cast(kind)
-            unfit = unfit | (F.col(f.name).isNotNull() & column.isNull())
-        columns.append(column.alias(f.name))
-    # an empty payload is no JSON object either
-    blank = F.when(F.coalesce(F.trim("_text"), F.lit("")) == "", F.coalesce("_text", F.lit("")))
-    marker = F.coalesce(CORRUPT, blank, F.when(unfit, F.col("_text")))
-    if extra:
-        every = F.from_json("_text", "map<string,variant>")
-        columns.append(F.map_filter(every, lambda k, v: ~k.isin([f.name for f in fields])).alias(EXTRA))
-    return parsed.select(*columns, marker.alias(CORRUPT), *keep)
+
+    counters = [f.name for f in fields if wide and f.name in FIELDS and FIELDS[f.name].ctype == "u64"]
+    found = T.StructType([T.StructField(f.name, T.DecimalType(20, 0) if f.name in counters else f.dataType) for f in fields])
+    broad = T.StructType([T.StructField(f.name, _NUMBER if f.name in whole else f.dataType) for f in fields])
+
+    plain, row, payload = free_names([*df.columns, *schema.names, EXTRA, CORRUPT], "_plain", "_row", "_text")
+    text = F.col(payload)
+    # numbers cut to whole, then what they are in their columns; the row is NULL if one does not fit
+    names = [_quoted(f.name) for f in found.fields]
+    cut = {n: f"CASE WHEN x.{n} < 0 THEN ceil(x.{n}) ELSE floor(x.{n}) END" for n in names}
+    held = {
+        _quoted(f.name): f"try_cast(CASE WHEN y.{_quoted(f.name)} < 18446744073709551616BD THEN y.{_quoted(f.name)} END AS {f.dataType.simpleString()})"
+        for f in found.fields if f.name in whole
+    }
+    unfit = [f"(y.{n} IS NOT NULL AND {h} IS NULL)" for n, h in held.items()]
+
+    def struct(values: list[str]) -> str:
+        return f"named_struct({', '.join(v for f, e in zip(found.fields, values) for v in (_literal(f.name), e))})"
+
+    step = struct([cut[n] if f.name in whole else f"x.{n}" for f, n in zip(found.fields, names)])
+    fitted = struct([held.get(n, f"y.{n}") for n in names])
+    good = f"transform(filter(array({_one_object(payload, broad)}), b -> {_fits('b', payload)}), b -> get(b.v, 0))"
+    again = f"get(transform(transform({good}, x -> {step}), y -> CASE WHEN NOT ({' OR '.join(unfit) or 'false'}) THEN {fitted} END), 0)"
+    kept = f"get({plain}.v, 0)"
+    if counters:
+        kept = f"CAST({kept} AS struct<{_ddl(found).replace('` ', '`: ')}>)"
+    # unpacked by generators, so that a later filter on the marker cannot pull a second parse below itself
+    rows = df.select(F.col(value).cast("string").alias(payload), *keep)
+    rows = rows.select(F.expr(f"inline(array(named_struct('{plain}', {_one_object(payload, T.StructType(fields))})))"), payload, *keep)
+    rows = rows.select(F.expr(f"inline(array(named_struct('{row}', CASE WHEN {_fits(plain, payload)} THEN {kept} ELSE {again} END)))"), payload, *keep)
+    columns = [F.col(row)[f.name].alias(f.name) for f in fields]
+    undecodable = F.coalesce(text, F.lit(""))
+    if not extra:
+        return rows.select(*columns, F.when(F.col(row).isNull(), undecodable).alias(CORRUPT), *keep)
+    keys = F.when(F.col(row).isNotNull(), _extra_keys(text, [f.name for f in fields]))
+    rows = rows.select(F.inline(F.array(F.struct(keys.alias(EXTRA)))), row, payload, *keep)
+    bad = F.col(EXTRA).isNull()
+    columns = [F.when(~bad, c).alias(f.name) for c, f in zip(columns, fields)]
+    return rows.select(*columns, EXTRA, F.when(bad, undecodable).alias(CORRUPT), *keep)
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _extra_keys(text: Column, known: list[str]) -> Column:
+    """Map of the keys that are no column to VARIANT, the last value of each."""
+    every = F.from_json(text, "map<string,variant>", _STRICT)
+    entries = F.filter(F.map_entries(every), lambda e: ~e["key"].isin(known))
+    keys = F.transform(entries, lambda e: e["key"])
+    # rare, so the places of all keys are compared only where one is repeated
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(entries))
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:

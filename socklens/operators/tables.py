@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from socklens.catalog import TYPED_COLUMNS, typed_type
+from socklens.operators.conform import held_type
 
 # what a serialization does with a missing value
 MISSING = {"json": "strict", "spb": "zero", "pb": "null"}
@@ -28,7 +29,7 @@ def _is_text(name: str) -> bool:
 
 
 def to_table_rows(df: DataFrame, mapping: Mapping[str, str], missing: str = "null") -> DataFrame:
-    """Field -> column, cast to the typed row's types, in mapping order.
+    """Field -> column, cast to the typed row's types, in mapping order; 64-bit counters stay DECIMAL(20,0) where they come so.
 
     ``missing`` decides about absent values. ``null``: NULL. ``zero``: 0 for
     numbers, "" for texts. ``strict``: a row without one of the numbers is no
@@ -41,9 +42,10 @@ def to_table_rows(df: DataFrame, mapping: Mapping[str, str], missing: str = "nul
         df, _ = split_strict(df, mapping)
     columns = []
     for name, column in mapping.items():
-        value = _source(df, name).cast(typed_type(name))
+        kind = held_type(df, name)
+        value = _source(df, name).cast(kind)
         if missing == "zero":
-            value = F.coalesce(value, F.lit("" if _is_text(name) else 0).cast(typed_type(name)))
+            value = F.coalesce(value, F.lit("" if _is_text(name) else 0).cast(kind))
         columns.append(value.alias(column))
     return df.select(*columns)
 

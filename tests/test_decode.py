@@ -115,3 +115,26 @@ def test_json_numbers_of_any_form(spark):
     assert [r._corrupt_record for r in bad.collect()] == lines[3:]
     good, bad = split_malformed(decode_json(df, schema))
     assert [r.BytesReceived for r in good.collect()] == [5, 12000] and bad.count() == 4
+
+
+@pytest.mark.parametrize(
+    ("payload", "good"),
+    [
+        ('{"RTT":1}', True), (' \n{"RTT":1}\t ', True), ('{"RTT":1,"RTT":2}', True), ('{"RTT":1}{"RTT":2}', False), ('{"RTT":1} x', False),
+        ('{"RTT":1},{"RTT":2}', False), ('{"RTT":1}]', False), ('{"RTT":1}],"n":9}', False), ("[]", False), ("", False), (None, False), ("null", False),
+        ("7", False), ("{'RTT':1}", False), ('{"RTT":NaN}', False), ('{"Task":"a\\"}{","RTT":1}', True),
+    ],
+)
+@pytest.mark.parametrize("extra", [False, True])
+def test_a_payload_is_one_object(spark, payload, good, extra):
+    df = spark.createDataFrame([(payload,)], "value string")
+    row = decode_json(df, event_schema(["Task", "RTT"]), wide=True, extra=extra).first()
+    assert (row._corrupt_record is None) == good and row.RTT == ((2 if "2" in payload else 1) if good else None)
+    assert good or row._corrupt_record == (payload or "")
+
+
+def test_extra_keys_keep_the_last_value(spark):
+    df = spark.createDataFrame([('{"A":1,"RTT":5,"B":2,"A":[3],"a":4}',), ('{"X":{"b":1,"b":2}}',)], "value string").coalesce(1)
+    rows = decode_json(df, event_schema(["RTT"]), extra=True).selectExpr("to_json(_extra) AS extra", "_corrupt_record").collect()
+    assert rows[0].extra == '{"B":2,"A":[3],"a":4}' and rows[0]._corrupt_record is None
+    assert rows[1].extra is None and rows[1]._corrupt_record == '{"X":{"b":1,"b":2}}'
