@@ -24,8 +24,12 @@ def multiplex(parts: Iterable[tuple], sink: str | None = None) -> DataFrame:
     parts = list(parts)
     if not parts:
         raise ValueError("nothing to multiplex")
-    if sink in LINE_SINKS:
-        lists = {tuple(spec.field_names) for spec, _ in parts}
-        if len(lists) > 1:
-            raise ValueError(f"{sink} needs one field list, got {sorted(lists)}")
+    check_one_list([spec for spec, _ in parts], sink)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df for _, df in parts])
+
+
+def check_one_list(specs: Iterable, sink: str | None) -> None:
+    """Line sinks need one field list for all specs."""
+    lists = {tuple(spec.field_names) for spec in specs}
+    if sink in LINE_SINKS and len(lists) > 1:
+        raise ValueError(f"{sink} needs one field list, got {sorted(lists)}")

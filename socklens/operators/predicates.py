@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from socklens.catalog import (
     ALL_STATES,
@@ -49,11 +49,27 @@ def select_state_rows(df: DataFrame, tracepoint: str, state: str) -> DataFrame:
     return filter_state(filter_protocol(df), state)
 
 
+def selection(tracepoint: str, state: str, inet: Iterable[int]) -> Column:
+    """What :func:`select_tracepoint`, :func:`select_state_rows` and :func:`filter_family` keep, as one condition."""
+    kept = (F.col("Tracepoint") == check_tracepoint(tracepoint)) & F.col("Inet").isin(list(inet) or [4])
+    if tracepoint == STATE_TRACEPOINT:
+        kept = kept & (F.col("Protocol") == IPPROTO_TCP)
+        if state_name(state) != ALL_STATES:
+            kept = kept & (F.col("NewState") == TCP_STATES[state_name(state)])
+    return kept
+
+
 def drop_where(df: DataFrame, filters: Mapping[str, str]) -> DataFrame:
     """Remove the rows that satisfy any of the per-field C conditions.
 
     A condition that cannot be decided (NULL) removes nothing.
     """
+    drop = dropped(df, filters)
+    return df if drop is None else df.where(~drop)
+
+
+def dropped(df: DataFrame, filters: Mapping[str, str]) -> Column | None:
+    """Whether a row satisfies any of the conditions; None without any."""
     drop = None
     for name, text in filters.items():
         if not text:
@@ -63,4 +79,4 @@ def drop_where(df: DataFrame, filters: Mapping[str, str]) -> DataFrame:
         hit = cmath.condition(stored_value(df, column, entry), entry.bits, entry.name, text, entry.is_text)
         hit = F.coalesce(hit, F.lit(False))
         drop = hit if drop is None else drop | hit
-    return df if drop is None else df.where(~drop)
+    return drop

@@ -66,15 +66,16 @@ def takes_math(entry: Field) -> bool:
     return not entry.is_text and not entry.from_task
 
 
-def apply_math(df: DataFrame, suffixes: Mapping[str, str]) -> DataFrame:
-    """Apply a C operator suffix to each named field, e.g. ``{"RTT": "/1000"}``."""
+def apply_math(df: DataFrame, suffixes: Mapping[str, str], where: Column | None = None) -> DataFrame:
+    """Apply a C operator suffix to each named field, e.g. ``{"RTT": "/1000"}``; only in the rows of ``where``, if given."""
     changed = {}
     for name, suffix in suffixes.items():
         entry = field(name)
         if suffix and takes_math(entry):
             column = F.col(find_column(df, entry.name) or entry.name)
             value = cmath.math(stored_value(df, column, entry), entry.bits, suffix)
-            changed[entry.name] = stored_value(df, value, entry).cast(column_type(df, entry))
+            value = stored_value(df, value, entry).cast(column_type(df, entry))
+            changed[entry.name] = value if where is None else F.when(where, value).otherwise(column)
     kept = {n: df.schema[found].metadata for n in changed if (found := find_column(df, n))}
     df = df.withColumns(changed) if changed else df
     for name, metadata in kept.items():

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field as default
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from socklens.catalog import STATE_TRACEPOINT, canonical, check_tracepoint, state_name
 from socklens.functions.clock import stamp_time
-from socklens.operators.predicates import drop_where, filter_family, select_state_rows, select_tracepoint
+from socklens.operators.numbering import number_rows
+from socklens.operators.predicates import drop_where, dropped, filter_family, select_state_rows, select_tracepoint, selection
 from socklens.operators.project import apply_math, derive_intrinsic, project
-from socklens.operators.sampling import ORDER, PIECE_SECONDS, check_order, check_sample, present_key, sample_per_socket, sample_stream
+from socklens.operators.sampling import ORDER, check_order, check_sample, present_key, sample_per_socket, sample_stream
+from socklens.settings import free_names
 
 # -- fixed values: the spec used when nothing is configured ----------------
 DEFAULT_FIELDS = ("RTT", "TotalRetrans", "SAddr", "DAddr", "DPort")
@@ -110,7 +113,7 @@ def run_spec(
     received: str | None = None,
     order: Iterable[str] | None = None,
     key: Iterable[str] | None = None,
-    piece_seconds: int | None = PIECE_SECONDS,
+    spread: bool = True,
 ) -> DataFrame:
     """Events of ``df`` selected by ``spec``: fields in spec order, Timestamp last.
 
@@ -139,5 +142,85 @@ def run_spec(
         if rows.isStreaming:
             rows = sample_stream(rows, spec.sample, list(sockets), order, spec.idle_minutes)
         else:
-            rows = sample_per_socket(rows, spec.sample, list(sockets), order, piece_seconds)
+            rows = sample_per_socket(rows, spec.sample, list(sockets), order, spread)
     return project(rows, spec.field_names, keep)
+
+
+def run_specs(df: DataFrame, specs: Iterable[Spec], received: str | None = None) -> DataFrame:
+    """Events of all specs as one table; columns a spec does not select are NULL in its rows.
+
+    The rows of :func:`run_spec` for each spec, from one scan of ``df``: what any
+    spec selects is read once, and a row is repeated for each spec that selects
+    it. Specs that sample are numbered together, per spec and socket, from a scan
+    of their own (one per order they name); on a stream each has its own.
+    """
+    specs = list(specs)
+    if not specs:
+        raise ValueError("nothing to run")
+    plain = [spec for spec in specs if not spec.sample]
+    sampled = [spec for spec in specs if spec.sample]
+    names = list(dict.fromkeys(n for spec in specs for n in spec.field_names))
+    keep = list(dict.fromkeys(["Timestamp", *[k for spec in specs for k in spec.keep]]))
+    parts = [_run_together(df, plain, received)] if plain else []
+    if df.isStreaming:
+        parts += [run_spec(df, spec, received) for spec in sampled]
+    else:
+        orders: dict[tuple, list[Spec]] = {}
+        for spec in sampled:
+            orders.setdefault(tuple(spec.order), []).append(spec)
+        parts += [_run_together(df, together, received) for together in orders.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select(*names, *keep)
+
+
+def _run_together(df: DataFrame, specs: list[Spec], received: str | None) -> DataFrame:
+    """Specs that all sample in one order, or do not sample."""
+    if len(specs) == 1:
+        return run_spec(df, specs[0], received)
+    (tag,) = free_names(df.columns, "_spec")
+    selected = [selection(s.tracepoint, s.tcp_state, s.inet) for s in specs]
+    rows = df.where(reduce(lambda a, b: a | b, selected))
+    matching = F.array_compact(F.array(*[F.when(kept, i) for i, kept in enumerate(selected)]))
+    rows = rows.withColumn(tag, F.explode(matching))
+    if received or "Timestamp" not in df.columns:
+        rows = stamp_time(rows, received)
+    rows = derive_intrinsic(rows)
+    order = specs[0].order
+    sockets: list[str] = []
+    if specs[0].sample:
+        check_order(rows, order)
+        keys = [present_key(rows, s.key) for s in specs]
+        places = range(max(map(len, keys)))
+        # sockets of a spec are told apart by its own key, before math
+        named = {f"_key_{n}": _of_spec(tag, {i: F.col(k[n]).cast("string") for i, k in enumerate(keys) if n < len(k)}) for n in places}
+        rows, sockets = rows.withColumns(named), list(named)
+    for i, spec in enumerate(specs):
+        rows = apply_math(rows, {f.name: f.math for f in spec.fields}, F.col(tag) == i)
+    for i, spec in enumerate(specs):
+        hit = dropped(rows, {f.name: f.filter for f in spec.fields})
+        if hit is not None:
+            rows = rows.where(~((F.col(tag) == i) & hit))
+    names = list(dict.fromkeys(n for spec in specs for n in spec.field_names))
+    keep = list(dict.fromkeys(["Timestamp", *[k for spec in specs for k in spec.keep]]))
+    if sockets:
+        rows = project(rows, names, [*dict.fromkeys([*keep, *order]), *sockets, tag])
+        (position,) = free_names(rows.columns, "_position")
+        rows = number_rows(rows, [tag, *sockets], order, position, "sampled")
+        step = F.element_at(F.array(*[F.lit(s.sample + 1) for s in specs]), F.col(tag) + 1)
+        rows = rows.where(F.col(position) % step == 0)
+    else:
+        rows = project(rows, names, [*keep, tag])
+    values = [_of_spec(tag, {i: F.col(n) for i, s in enumerate(specs) if n in s.field_names}, len(specs)).alias(n) for n in names]
+    return rows.select(*values, *keep)
+
+
+def _of_spec(tag: str, values: Mapping[int, Column], count: int | None = None) -> Column:
+    """The value of the row's own spec; NULL for specs without one."""
+    if count == len(values):
+        return values[0]  # the same column in all of them
+    out = F.lit(None)
+    for i, value in values.items():
+        out = F.when(F.col(tag) == i, value).otherwise(out)
+    return out

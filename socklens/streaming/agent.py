@@ -6,30 +6,28 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from socklens.operators.combine import multiplex
-from socklens.plans.spec import run_spec, specs_from_config
+from socklens.operators.combine import check_one_list
+from socklens.plans.spec import run_specs, specs_from_config
 from socklens.sinks.writer import write
 
 
 def run_agent(df: DataFrame, config: Mapping, checkpoint: str | None = None, received: str | None = None) -> list:
     """Run the specs of an agent configuration over an event table or stream.
 
-    Specs that name the same destination are written there together. Returns
-    the started queries of a stream, or one None per finished batch write.
+    Specs that name the same destination are written there together, from one
+    scan. Returns the started queries of a stream, or one None per finished batch write.
     """
     grouped = specs_from_config(config)
     results = []
     for name, specs in grouped.items():
         destination = config["egress"][name]
-        host = ["Hostname"] if "Hostname" in df.columns else []
-        parts = []
-        for spec in specs:
-            spec.keep = host
-            parts.append((spec, run_spec(df, spec, received)))
         kind = destination.get("type", "")
+        check_one_list(specs, kind)
+        for spec in specs:
+            spec.keep = ["Hostname"] if "Hostname" in df.columns else []
         conf = dict(destination.get("config") or {})
         if df.isStreaming:
             conf.setdefault("checkpoint", f"{checkpoint}/{name}")
         fields = list(dict.fromkeys(f for spec in specs for f in spec.field_names))
-        results.append(write(multiplex(parts, kind), kind, fields, **conf))
+        results.append(write(run_specs(df, specs, received), kind, fields, **conf))
     return results

@@ -3,7 +3,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from socklens import Spec, apply_math, conformance, decode_records, drop_where, project, run_spec, specs_from_config
+from socklens import Spec, apply_math, conformance, decode_records, drop_where, multiplex, project, run_spec, run_specs, specs_from_config
 from socklens.catalog import FIELDS, TCP_STATES, TRACEPOINTS, TYPED_COLUMNS, canonical, catalog, typed_schema
 from tests.conftest import plan_of
 from workload.views import tcp_events
@@ -139,3 +139,28 @@ def test_math_on_a_port_that_the_kernel_keeps_in_host_order(spark, fix):
     added = apply_math(project(decoded, ["LPort"]), {"LPort": "+ 1"})
     assert added.first().LPort == shown(8081)
     assert drop_where(added, {"LPort": "LPort == 8081"}).count() == 0
+
+
+def _three_specs(sample=(0, 0, 0)):
+    return [
+        Spec(fields=[{"name": "RTT", "math": "/1000", "filter": "RTT < 1"}, "SAddr"], inet=[4, 6], sample=sample[0], keep=["event_id"], order=["Timestamp", "event_id"], key=["SAddr"]),
+        Spec("tcp:tcp_probe", ["SAddr", {"name": "DPort", "math": "& 0xff"}], "TCP_ALL", sample=sample[1], keep=["event_id"], order=["Timestamp", "event_id"], key=["Hostname", "DPort"]),
+        Spec(fields=["RTT", {"name": "DPort", "filter": "DPort == 80"}], tcp_state="TCP_ALL", sample=sample[2], keep=["event_id"], order=["Timestamp", "event_id"], key=["Hostname"]),
+    ]
+
+
+@pytest.mark.parametrize("sample", [(0, 0, 0), (2, 3, 1), (0, 4, 0), (3, 0, 2)])
+def test_specs_together_give_the_rows_of_each(spark, sf_dir, sample):
+    events = tcp_events(spark, sf_dir).where("event_id < 600")
+    together = run_specs(events, _three_specs(sample))
+    apart = multiplex([(s, run_spec(events, s)) for s in _three_specs(sample)])
+    assert set(together.columns) == set(apart.columns)
+    assert sorted(map(str, together.collect())) == sorted(map(str, apart.select(together.columns).collect()))
+
+
+def test_three_specs_scan_their_source_once(spark, tmp_path, sf_dir):
+    path = str(tmp_path / "events")
+    tcp_events(spark, sf_dir).limit(50).write.parquet(path)
+    plan = plan_of(run_specs(spark.read.parquet(path), _three_specs()))
+    assert plan.count("Scan parquet") == 2 * 1  # in the tree and in its details
+    assert "PushedFilters: [Or" in plan and "Exchange" not in plan
