@@ -55,6 +55,9 @@ def check_flows(config: Mapping) -> list[Flow]:
         kind = config["ingestion"][flow.ingestion].get("type")
         if kind not in FLOW_SINKS:
             raise ValueError(f"unknown ingestion type: {kind}")
+        source = config["ingress"][flow.ingress].get("config") or {}
+        if FLOW_SINKS[kind] == "table" and MISSING[flow.serialization] == "strict" and not source.get("rejects"):
+            raise ValueError(f"a strict table would stop at the first row that lacks a number: ingress {flow.ingress!r} needs a folder for rejects")
     repeated = [flow for n, flow in enumerate(flows) if flow in flows[:n]]
     if repeated:
         raise ValueError(f"a flow is named twice: {repeated[0]}")
@@ -109,9 +112,9 @@ def start_flow(
     a folder ``batch_id=N`` of their own where the target is a path, so that a
     replayed batch replaces itself whatever the size of the lookup tables;
     connectors and JDBC tables are at-least-once. ``rejects`` in the ingress
-    configuration names a folder, laid out alike, for what cannot be decoded
+    configuration names a folder, laid out alike per flow, for what cannot be decoded
     and for rows that lack a number a strict table needs. Without it the former
-    are skipped and the latter stop the flow.
+    are skipped; a flow into a strict table does not start without it.
     """
     ingress = config["ingress"][flow.ingress].get("config") or {}
     ingestion = config["ingestion"][flow.ingestion]
@@ -126,7 +129,7 @@ def start_flow(
     target = {k: v for k, v in conf.items() if k not in ("trigger", "rejects")}
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        rejects = f"{ingress['rejects']}/batch_id={batch_id}" if ingress.get("rejects") else None
+        rejects = f"{ingress['rejects']}/flow={label}/batch_id={batch_id}" if ingress.get("rejects") else None
         here = dict(target)
         if here.get("path"):
             here |= {"path": f"{here['path']}/batch_id={batch_id}", "mode": "overwrite"}

@@ -126,6 +126,15 @@ def test_flow_checks():
             check_flows({**GOOD, **change})
 
 
+def test_a_flow_into_a_strict_table_needs_a_place_for_rejects():
+    config = {"ingress": {"in": {"config": {}}}, "ingestion": {"t": {"type": "table"}, "d": {"type": "documents"}}}
+    flow = {"ingress": "in", "ingestion": "t", "serialization": "json"}
+    with pytest.raises(ValueError, match="rejects"):
+        check_flows({**config, "flow": [flow]})
+    check_flows({**config, "flow": [{**flow, "serialization": "spb"}, {**flow, "ingestion": "d"}]})
+    check_flows({**config, "ingress": {"in": {"config": {"rejects": "/r"}}}, "flow": [flow]})
+
+
 def _flow_config(tmp_path, **conf):
     return {
         "ingress": {"in": {"config": {"path": str(tmp_path / "topic"), "format": "text", "rejects": str(tmp_path / "rejects")}}},

@@ -526,7 +526,7 @@ _HOT = "ROW_NUMBER() OVER (PARTITION BY Hostname ORDER BY Timestamp, event_id)"
 
 @query("hot_socket_sampling", f"SELECT event_id, Hostname FROM (SELECT event_id, Hostname, {_HOT} AS rn FROM tcp_events) AS r WHERE rn % 6 = 0")
 def hot_socket_sampling(spark, sf_dir):
-    rows = sample_per_socket(tcp_events(spark, sf_dir), 5, key=["Hostname"], order=ARRIVAL, piece_seconds=60)
+    rows = sample_per_socket(tcp_events(spark, sf_dir), 5, key=["Hostname"], order=ARRIVAL)
     return rows.select("event_id", "Hostname")
 
 
@@ -548,7 +548,7 @@ def socket_sampling_stream(spark, sf_dir):
 )
 def hot_socket_sampling_nulls(spark, sf_dir):
     rows = tcp_events(spark, sf_dir).withColumn("Timestamp", F.when(F.col("event_id") % 5 != 0, F.col("Timestamp")))
-    kept = sample_per_socket(rows, 5, ["Hostname"], ARRIVAL, 60)
+    kept = sample_per_socket(rows, 5, ["Hostname"], ARRIVAL)
     place = F.row_number().over(Window.partitionBy("Hostname").orderBy("Timestamp", "event_id"))
     return kept.select("event_id", (place * 6).cast("bigint").alias("position"))
 
@@ -660,6 +660,23 @@ def geo_ipv6_lookup(spark, sf_dir):
     return _enriched(spark, sf_dir, "asn", asn=asn)
 
 
+_NESTED = f"""SELECT event_id, SAddr, COALESCE(ASN, '0') AS ASN, COALESCE(ASNOrg, '') AS ASNOrg FROM (SELECT e.event_id, e.SAddr, n.ASN, n.ASNOrg,
+    ROW_NUMBER() OVER (PARTITION BY e.event_id ORDER BY n.hi - n.lo) AS rn FROM (SELECT *, {_v4_key('SAddr')} AS k FROM tcp_events) AS e
+    LEFT JOIN geo_nested AS n ON e.k BETWEEN n.lo AND n.hi) AS r WHERE rn = 1"""
+
+
+@query("geo_nested_ranges", _NESTED)
+def geo_nested_ranges(spark, sf_dir):
+    """Networks in networks: the innermost one holds an address."""
+    return _enriched(spark, sf_dir, "asn", asn=views.geo_nested(spark, sf_dir), geo_field="SAddr")
+
+
+@query("geo_nested_ranges_swept", _NESTED)
+def geo_nested_ranges_swept(spark, sf_dir):
+    """The same as a sweep of addresses and ranges, without broadcasting the table."""
+    return _enriched(spark, sf_dir, "asn", asn=views.geo_nested(spark, sf_dir), geo_field="SAddr", max_broadcast_bytes=0)
+
+
 _BROKEN = "CASE WHEN event_id % 3 = 0 THEN 'not an address' WHEN event_id % 3 = 1 THEN NULL ELSE DAddr END"
 
 
@@ -1056,7 +1073,7 @@ def flow_shared_topic(spark, sf_dir):
     outs = {name: scratch(spark, name) for name in ("table", "again")}
     mapping = {"fields": ["RTT", "Task"], "columns": ["id", "task"], "trigger": {"availableNow": True}}
     config = {
-        "ingress": {"in": {"config": {"path": _topic_files(spark, sf_dir), "fields": _TOPIC_FIELDS}}},
+        "ingress": {"in": {"config": {"path": _topic_files(spark, sf_dir), "fields": _TOPIC_FIELDS, "rejects": scratch(spark, "rejects")}}},
         "ingestion": {n: {"type": "table", "config": {"path": p, **mapping}} for n, p in outs.items()},
         "flow": [{"ingress": "in", "ingestion": n, "serialization": "json"} for n in outs],
     }
@@ -1072,7 +1089,7 @@ def flow_restart(spark, sf_dir):
     topic_path, out, progress = (scratch(spark, n) for n in ("topic", "out", "progress"))
     halves = views.topic(spark, sf_dir).select("value", (F.col("event_id") % 2).alias("half"))
     config = {
-        "ingress": {"in": {"config": {"path": topic_path, "fields": _TOPIC_FIELDS}}},
+        "ingress": {"in": {"config": {"path": topic_path, "fields": _TOPIC_FIELDS, "rejects": scratch(spark, "rejects")}}},
         "ingestion": {
             "out": {
                 "type": "table",
@@ -1156,3 +1173,78 @@ def flow_json_extra_points(spark, sf_dir):
     """Texts among the further keys are tags, numbers are fields."""
     ingress = {"path": _extra_topic(spark, sf_dir), "fields": None}
     return spark.read.text(_flow(spark, sf_dir, "points", "json", {"measurement": "sockets"}, ingress=ingress)).select("value")
+
+
+def _payloads(spark, sf_dir, sql: str) -> DataFrame:
+    return tcp_events(spark, sf_dir).select("event_id", F.expr(sql).alias("value"))
+
+
+_TRAILING = """CONCAT('{"Task":"', Task, '","RTT":', CAST(event_id AS STRING), CASE event_id % 6 WHEN 0 THEN '}{"Task":"b"}' WHEN 1 THEN '} garbage'
+  WHEN 2 THEN '},{"Task":"b"}' WHEN 3 THEN ',"RTT":7}' WHEN 4 THEN '}  ' ELSE '}' END)"""
+
+
+@query(
+    "json_trailing_text",
+    """SELECT event_id, CASE WHEN event_id % 6 = 3 THEN 7 WHEN event_id % 6 > 3 THEN event_id END AS rtt, event_id % 6 > 2 AS good FROM tcp_events""",
+)
+def json_trailing_text(spark, sf_dir):
+    """A payload is one object: a second one, or other text behind it, makes a reject. Of a repeated key the last value counts."""
+    good, bad = split_malformed(decode_json(_payloads(spark, sf_dir, _TRAILING), event_schema(["Task", "RTT"]), keep=["event_id"]))
+    good = good.select("event_id", F.col("RTT").alias("rtt"), F.lit(True).alias("good"))
+    return good.unionByName(bad.select("event_id", F.lit(False).alias("good")), allowMissingColumns=True)
+
+
+_HUGE = """CONCAT('{"Task":"', Task, '","RTT":', CAST(event_id AS STRING), ',"BytesReceived":', CASE WHEN event_id % 3 = 0 THEN '18446744073709551615'
+  WHEN event_id % 3 = 1 THEN '9223372036854775808' ELSE '12' END, ',"Timestamp":', CAST(Timestamp AS STRING), '}')"""
+_HUGE_SQL = "CASE WHEN event_id % 3 = 0 THEN '18446744073709551615' WHEN event_id % 3 = 1 THEN '9223372036854775808' ELSE '12' END"
+
+
+def _huge_topic(spark, sf_dir) -> dict:
+    path, rejects = scratch(spark, "topic"), scratch(spark, "rejects")
+    _payloads(spark, sf_dir, _HUGE).select("value").write.parquet(path)
+    return {"path": path, "rejects": rejects, "fields": ["Task", "RTT", "BytesReceived"]}
+
+
+@query("flow_u64_table", f"SELECT event_id AS id, {_HUGE_SQL} AS bytes, Task AS task FROM tcp_events")
+def flow_u64_table(spark, sf_dir):
+    """64-bit counters reach a strict table whole."""
+    conf = {"fields": ["RTT", "BytesReceived", "Task"], "columns": ["id", "bytes", "task"]}
+    out = _flow(spark, sf_dir, "table", "json", conf, ingress=_huge_topic(spark, sf_dir))
+    return spark.read.parquet(out).select("id", F.col("bytes").cast("string").alias("bytes"), "task")
+
+
+@query(
+    "flow_u64_typed",
+    f"""SELECT '{{"index":{{}}}}' AS value FROM tcp_events UNION ALL SELECT CONCAT('{{"Task":"', Task, '","BytesReceived":"', {_HUGE_SQL},
+    '","RTT":', CAST(event_id AS VARCHAR), ',"Timestamp":"', CAST(Timestamp AS VARCHAR), '"}}') FROM tcp_events""",
+)
+def flow_u64_typed(spark, sf_dir):
+    """64-bit counters pass through the typed row."""
+    return spark.read.text(_flow(spark, sf_dir, "documents", "pb", {}, ingress=_huge_topic(spark, sf_dir))).select("value")
+
+
+_REPEATED = """CONCAT('{"Task":"', Task, '","Extra":1,"Extra":', CAST(event_id AS STRING), ',"Timestamp":', CAST(Timestamp AS STRING), ',"Zone":"a","Zone":"z"}')"""
+
+
+def _repeated_topic(spark, sf_dir) -> dict:
+    path = scratch(spark, "topic")
+    _payloads(spark, sf_dir, _REPEATED).select("value").write.parquet(path)
+    return {"path": path, "fields": None}
+
+
+@query(
+    "flow_repeated_keys",
+    """SELECT '{"index":{}}' AS value FROM tcp_events UNION ALL SELECT CONCAT('{"Extra":', CAST(event_id AS VARCHAR), ',"Task":"', Task,
+    '","Timestamp":', CAST(Timestamp AS VARCHAR), ',"Zone":"z"}') FROM tcp_events""",
+)
+def flow_repeated_keys(spark, sf_dir):
+    """Of a repeated key the last value is in the document."""
+    return spark.read.text(_flow(spark, sf_dir, "documents", "json", {}, ingress=_repeated_topic(spark, sf_dir))).select("value")
+
+
+@query(
+    "flow_repeated_keys_points",
+    """SELECT CONCAT('sockets,Task=', Task, ',Zone=z Extra=', CAST(event_id AS VARCHAR), ' ', CAST(Timestamp AS VARCHAR), '000000000') AS value FROM tcp_events""",
+)
+def flow_repeated_keys_points(spark, sf_dir):
+    return spark.read.text(_flow(spark, sf_dir, "points", "json", {"measurement": "sockets"}, ingress=_repeated_topic(spark, sf_dir))).select("value")
