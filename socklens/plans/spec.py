@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field as default
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from socklens.catalog import STATE_TRACEPOINT, canonical, check_tracepoint, state_name
 from socklens.functions.clock import stamp_time
 from socklens.operators.numbering import number_rows
 from socklens.operators.predicates import drop_where, dropped, filter_family, select_state_rows, select_tracepoint, selection
 from socklens.operators.project import apply_math, derive_intrinsic, project
-from socklens.operators.sampling import ORDER, check_order, check_sample, present_key, sample_per_socket, sample_stream
+from socklens.operators.sampling import IDLE_MINUTES, ORDER, SocketCounters, check_order, check_sample, present_key, sample_per_socket
 from socklens.settings import free_names
 
 # -- fixed values: the spec used when nothing is configured ----------------
@@ -46,7 +47,7 @@ class Spec:
     keep: Iterable[str] = default(default=())
     order: Iterable[str] = ORDER
     key: Iterable[str] | None = None
-    idle_minutes: int | None = None
+    idle_minutes: int | None = IDLE_MINUTES
 
     def __post_init__(self):
         self.fields = [self._field(f) for f in self.fields]
@@ -101,7 +102,7 @@ def specs_from_config(config: Mapping) -> dict[str, list[Spec]]:
             egress=point["egress"],
             order=point.get("order") or ORDER,
             key=point.get("key"),
-            idle_minutes=point.get("idle_minutes"),
+            idle_minutes=point.get("idle_minutes", IDLE_MINUTES),
         )
         grouped.setdefault(spec.egress, []).append(spec)
     return grouped
@@ -114,6 +115,7 @@ def run_spec(
     order: Iterable[str] | None = None,
     key: Iterable[str] | None = None,
     spread: bool = True,
+    counters: SocketCounters | None = None,
 ) -> DataFrame:
     """Events of ``df`` selected by ``spec``: fields in spec order, Timestamp last.
 
@@ -122,6 +124,8 @@ def run_spec(
     stamp from; without it the input's own Timestamp is used, or the current
     time if it has none. ``order`` and ``key`` stand in for those of the spec.
     """
+    if df.isStreaming and spec.sample:
+        raise ValueError("a stream is sampled micro-batch by micro-batch: see stream_specs")
     rows = select_tracepoint(df, spec.tracepoint)
     rows = select_state_rows(rows, spec.tracepoint, spec.tcp_state)
     rows = filter_family(rows, spec.inet)
@@ -139,20 +143,32 @@ def run_spec(
     keep = ["Timestamp", *spec.keep]
     if spec.sample:
         rows = project(rows, spec.field_names, [*dict.fromkeys([*keep, *order]), *sockets])
-        if rows.isStreaming:
-            rows = sample_stream(rows, spec.sample, list(sockets), order, spec.idle_minutes)
-        else:
-            rows = sample_per_socket(rows, spec.sample, list(sockets), order, spread)
+        rows = sample_per_socket(rows, spec.sample, list(sockets), order, spread, counters)
     return project(rows, spec.field_names, keep)
 
 
-def run_specs(df: DataFrame, specs: Iterable[Spec], received: str | None = None) -> DataFrame:
+def stream_specs(
+    df: DataFrame, specs: Iterable[Spec], sink: Callable[[DataFrame, int], None], state: str, received: str | None = None
+) -> DataStreamWriter:
+    """The rows of :func:`run_specs` for a stream, micro-batch by micro-batch; a writer to start.
+
+    ``sink`` gets the rows of each micro-batch and its number. Counters of
+    sampled sockets lie in the folder ``state``, so a replayed micro-batch gives the same rows.
+    """
+    specs = list(specs)
+    return df.writeStream.foreachBatch(lambda batch, batch_id: sink(run_specs(batch, specs, received, (state, batch_id)), batch_id))
+
+
+def run_specs(
+    df: DataFrame, specs: Iterable[Spec], received: str | None = None, counted: tuple[str, int] | None = None
+) -> DataFrame:
     """Events of all specs as one table; columns a spec does not select are NULL in its rows.
 
     The rows of :func:`run_spec` for each spec, from one scan of ``df``: what any
     spec selects is read once, and a row is repeated for each spec that selects
     it. Specs that sample are numbered together, per spec and socket, from a scan
-    of their own (one per order they name); on a stream each has its own.
+    of their own (one per order and idle time they name). ``counted`` names the folder of socket
+    counters and the number of the micro-batch that ``df`` is.
     """
     specs = list(specs)
     if not specs:
@@ -162,23 +178,24 @@ def run_specs(df: DataFrame, specs: Iterable[Spec], received: str | None = None)
     names = list(dict.fromkeys(n for spec in specs for n in spec.field_names))
     keep = list(dict.fromkeys(["Timestamp", *[k for spec in specs for k in spec.keep]]))
     parts = [_run_together(df, plain, received)] if plain else []
-    if df.isStreaming:
-        parts += [run_spec(df, spec, received) for spec in sampled]
-    else:
-        orders: dict[tuple, list[Spec]] = {}
-        for spec in sampled:
-            orders.setdefault(tuple(spec.order), []).append(spec)
-        parts += [_run_together(df, together, received) for together in orders.values()]
+    orders: dict[tuple, list[Spec]] = {}
+    for spec in sampled:
+        orders.setdefault((*spec.order, spec.idle_minutes), []).append(spec)
+    for i, together in enumerate(orders.values()):
+        counters = SocketCounters(f"{counted[0]}/group={i}", counted[1], together[0].idle_minutes) if counted else None
+        parts.append(_run_together(df, together, received, counters))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out.select(*names, *keep)
 
 
-def _run_together(df: DataFrame, specs: list[Spec], received: str | None) -> DataFrame:
+def _run_together(df: DataFrame, specs: list[Spec], received: str | None, counters: SocketCounters | None = None) -> DataFrame:
     """Specs that all sample in one order, or do not sample."""
     if len(specs) == 1:
-        return run_spec(df, specs[0], received)
+        return run_spec(df, specs[0], received, counters=counters)
+    if df.isStreaming and specs[0].sample:
+        raise ValueError("a stream is sampled micro-batch by micro-batch: see stream_specs")
     (tag,) = free_names(df.columns, "_spec")
     selected = [selection(s.tracepoint, s.tcp_state, s.inet) for s in specs]
     rows = df.where(reduce(lambda a, b: a | b, selected))
@@ -207,7 +224,8 @@ def _run_together(df: DataFrame, specs: list[Spec], received: str | None) -> Dat
     if sockets:
         rows = project(rows, names, [*dict.fromkeys([*keep, *order]), *sockets, tag])
         (position,) = free_names(rows.columns, "_position")
-        rows = number_rows(rows, [tag, *sockets], order, position, "sampled")
+        sockets = [tag, *sockets]
+        rows = counters.number(rows, sockets, order, position) if counters else number_rows(rows, sockets, order, position, "sampled")
         step = F.element_at(F.array(*[F.lit(s.sample + 1) for s in specs]), F.col(tag) + 1)
         rows = rows.where(F.col(position) % step == 0)
     else:

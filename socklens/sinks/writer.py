@@ -76,10 +76,10 @@ def _save(df: DataFrame, conf, kind: str, path: str | None = None, options: dict
     writer = df.writeStream.format(kind).options(**options).outputMode("append")
     if path:
         writer = writer.option("path", path)
-    return _start(writer, conf)
+    return start_stream(writer, conf)
 
 
-def _start(writer, conf) -> StreamingQuery:
+def start_stream(writer, conf) -> StreamingQuery:
     if conf.get("checkpoint"):
         writer = writer.option("checkpointLocation", conf["checkpoint"])
     if conf.get("trigger"):
@@ -107,15 +107,18 @@ def _console(df: DataFrame, fields, conf):
     if df.isStreaming:
         if conf.get("rows"):
             return _save(shaped, conf, "console", options={"truncate": "false", "numRows": conf["rows"]})
-        return _start(shaped.writeStream.foreachBatch(lambda batch, _id: batch.foreachPartition(_print_lines)), conf)
+        return start_stream(shaped.writeStream.foreachBatch(lambda batch, _id: batch.foreachPartition(_print_lines)), conf)
     return shaped.show(conf["rows"], truncate=False) if conf.get("rows") else shaped.foreachPartition(_print_lines)
 
 
 def _line_file(shape, header):
     def save(df: DataFrame, fields, conf):
         path = _need(conf, "filename", "line file")
-        _write_header(df, path, header(fields))
-        return _save(shape(df, fields), conf, "text", path)
+        if df.isStreaming:
+            _write_header(df, path, header(fields))
+            return _save(shape(df, fields), conf, "text", path)
+        _save(shape(df, fields), conf, "text", path)  # may replace the folder
+        return _write_header(df, path, header(fields))
 
     return save
 
@@ -204,7 +207,7 @@ def _table(df: DataFrame, conf):
         batch.write.format("jdbc").mode("append").options(**options).save()
 
     if df.isStreaming:
-        return _start(rows.writeStream.foreachBatch(insert), conf)
+        return start_stream(rows.writeStream.foreachBatch(insert), conf)
     return insert(rows)
 
 
@@ -224,7 +227,7 @@ def _connector_or_text(shaped: DataFrame, text, conf, sink: str):
         def insert(batch: DataFrame, _batch_id: int) -> None:
             batch.write.format(conf["format"]).mode("append").options(**options).save()
 
-        return _start(shaped.writeStream.foreachBatch(insert), conf)
+        return start_stream(shaped.writeStream.foreachBatch(insert), conf)
     return _save(text(shaped), conf, "text", _need(conf, "path", sink))
 
 

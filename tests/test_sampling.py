@@ -1,9 +1,11 @@
+import os
 import random
 
 import pytest
 
 from socklens import Spec, run_spec, sample_per_socket, sample_stream
 from socklens.operators import numbering
+from socklens.operators.sampling import SocketCounters
 
 COLUMNS = "event_id long, Hostname string, SAddr string, Timestamp long"
 KEY = ["Hostname", "SAddr"]
@@ -115,16 +117,46 @@ def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
     rows = _events(900, seed=9)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     (tmp_path / "in").mkdir()
-    stream = sample_stream(spark.readStream.schema(COLUMNS).parquet(source), 3, KEY, ARRIVAL)
+    batches = []
+
+    def sink(rows, batch_id):
+        batches.append(batch_id)
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     def drain():
-        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
-        writer.trigger(availableNow=True).start().awaitTermination()
+        stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(source)
+        writer = sample_stream(stream, 3, sink, str(tmp_path / "state"), KEY, ARRIVAL, idle_minutes=None)
+        writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
 
-    for at in range(0, 900, 300):  # restarted from its checkpoint each time
-        spark.createDataFrame(rows[at : at + 300], COLUMNS).write.mode("append").parquet(source)
+    for at in range(0, 900, 150):  # restarted from its checkpoint each time
+        spark.createDataFrame(rows[at : at + 150], COLUMNS).coalesce(1).write.mode("append").parquet(source)
         drain()
     assert _ids(spark.read.parquet(out)) == _counted(rows, 3)
+    assert len(batches) == 6 and sorted(os.listdir(tmp_path / "state")) == ["turn=0", "turn=1", "turn=2"]
+
+
+def test_a_replayed_batch_gives_the_same_rows(spark, tmp_path):
+    rows = _events(400, seed=2)
+    parts = [spark.createDataFrame(rows[a : a + 100], COLUMNS) for a in range(0, 400, 100)]
+    state = str(tmp_path / "state")
+    give = lambda i: _ids(sample_per_socket(parts[i], 3, KEY, ARRIVAL, counters=SocketCounters(state, i, None)))
+    got = [give(i) for i in (0, 1)]
+    got.append(give(1))  # stopped before its rows were written
+    got += [give(2), give(2), give(3)]
+    assert got[1] == got[2] and got[3] == got[4]
+    assert sorted(got[0] + got[1] + got[3] + got[5]) == _counted(rows, 3)
+
+
+def test_idle_sockets_are_forgotten(spark, tmp_path):
+    counters = lambda i: SocketCounters(str(tmp_path / "s"), i, idle_minutes=10)
+    batch = lambda *rows: spark.createDataFrame([(i, "h", s, t) for i, s, t in rows], COLUMNS)
+    give = lambda i, *rows: _ids(sample_per_socket(batch(*rows), 1, KEY, ARRIVAL, counters=counters(i)))
+    assert give(0, (1, "a", 0), (2, "b", 0)) == []
+    assert give(1, (3, "a", 500)) == [3]
+    assert give(2, (4, "c", 700)) == []  # b has been idle for more than ten minutes
+    assert give(3, (5, "b", 710), (6, "a", 720)) == []
+    assert give(4, (7, "b", 730), (8, "a", 740)) == [7, 8]
+    assert spark.read.parquet(str(tmp_path / "s" / "turn=1")).where("socket IS NOT NULL").count() == 3
 
 
 def test_sampling_counts_true_sockets_after_filters(spark):

@@ -199,3 +199,24 @@ def test_agent_stream(spark, tmp_path):
         query.awaitTermination()
     got = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert got == [f"{i},{100 + i}" for i in range(5)]
+
+
+def test_agent_stream_samples_over_micro_batches(spark, tmp_path):
+    schema = "Tracepoint string, Inet int, Protocol int, NewState int, SRTT long, Timestamp long, Hostname string"
+    config = {
+        "tracepoints": [
+            {"name": "sock:inet_sock_set_state", "fields": "f", "tcp_state": "TCP_CLOSE", "egress": "e", "sample": 2, "key": ["Hostname"]},
+            {"name": "tcp:tcp_probe", "fields": "f", "tcp_state": "TCP_ALL", "egress": "e"},
+        ],
+        "fields": {"f": [{"name": "RTT"}]},
+        "egress": {"e": {"type": "csv", "config": {"filename": str(tmp_path / "out"), "trigger": {"availableNow": True}}}},
+    }
+    for part in (range(4), range(4, 9)):  # restarted in between
+        rows = [("sock:inet_sock_set_state" if i != 1 else "tcp:tcp_probe", 4, 6, 7, i * 8, 100 + i, "h") for i in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        for query in run_agent(stream, config, checkpoint=str(tmp_path / "c")):
+            query.awaitTermination()
+    got = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert got == ["1,101", "3,103", "6,106"]
+    assert {"_header"} <= set(os.listdir(tmp_path / "out" / "batch_id=0"))

@@ -57,6 +57,7 @@ from socklens import (
     write,
 )
 from socklens import settings
+from socklens.plans.spec import stream_specs
 from socklens.catalog import FIELDS, STATE_TRACEPOINT, TRACEPOINTS, TYPED_COLUMNS, typed_type
 from socklens.functions import bits
 from socklens.functions.address import add_lookup_keys, ipv4_text, ipv6_text
@@ -537,8 +538,11 @@ def socket_sampling_stream(spark, sf_dir):
     rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
     spec = Spec(fields=["SAddr", "SRTT"], inet=[4, 6], sample=2, keep=["event_id"], order=ARRIVAL)
-    with _state_partitions(spark):
-        return _drain(spark, run_spec(stream, spec)).select("event_id", "SAddr", "SRTT")
+    out = scratch(spark, "sampled")
+    write_batch = lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    writer = stream_specs(stream, [spec], write_batch, f"{out}-sockets").option("checkpointLocation", f"{out}-progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "SAddr", "SRTT")
 
 
 @query(
@@ -553,22 +557,6 @@ def hot_socket_sampling_nulls(spark, sf_dir):
     return kept.select("event_id", (place * 6).cast("bigint").alias("position"))
 
 
-class _state_partitions:
-    """One state store per core while a stream runs on a single machine."""
-
-    def __init__(self, spark):
-        self.spark = spark
-        self.before = spark.conf.get("spark.sql.shuffle.partitions")
-
-    def __enter__(self):
-        if self.spark.sparkContext.master.startswith("local"):
-            cores = self.spark.sparkContext.defaultParallelism
-            self.spark.conf.set("spark.sql.shuffle.partitions", min(int(self.before), cores))
-
-    def __exit__(self, *_):
-        self.spark.conf.set("spark.sql.shuffle.partitions", self.before)
-
-
 @query("family_union", "SELECT event_id, SAddr, SRTT FROM tcp_events WHERE Tracepoint = 'tcp:tcp_probe'")
 def family_union(spark, sf_dir):
     rows = select_tracepoint(tcp_events(spark, sf_dir), "tcp:tcp_probe")
