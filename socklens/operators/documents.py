@@ -16,13 +16,13 @@ ACTION = '{"index":{}}'
 def to_documents(df: DataFrame, mode: str = "json", keep: Iterable[str] = ()) -> DataFrame:
     """One JSON document per row in ``value``; NULL values have no key.
 
-    ``json`` and ``spb`` documents hold every column, keys sorted, and ``json``
-    ones the payload keys in ``_extra`` where there are any. ``pb``
+    ``json`` and ``spb`` documents hold every column, keys sorted, and the
+    payload keys in ``_extra`` where there are any. ``pb``
     documents hold the columns of the typed row in its order, with 64-bit
     integers as strings.
     """
     keep = list(keep)
-    if mode == "json" and EXTRA in df.columns:
+    if mode != "pb" and EXTRA in df.columns:
         return _with_extra(df, keep)
     if mode in ("json", "spb"):
         columns = [F.col(c) for c in sorted(set(df.columns) - set(keep))]

@@ -42,7 +42,7 @@ def to_points(
     texts, numbers = point_columns(df, geo_field, mode, keep)
     tags = present_map({c: F.col(c) for c in texts}, "string")
     values = present_map({c: F.col(c) for c in numbers}, "decimal(20,0)" if mode == "pb" else "double")
-    if mode == "json" and EXTRA in df.columns:
+    if mode != "pb" and EXTRA in df.columns:
         df = df.withColumns({"_tags": tags, "_values": values})
         more = without(without(F.col(EXTRA), F.col("_tags")), F.col("_values"))
         more = F.map_filter(more, lambda k, v: k != F.lit(geo_field or ""))

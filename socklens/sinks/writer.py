@@ -238,7 +238,7 @@ def _documents(df: DataFrame, conf):
 
 def _points(df: DataFrame, conf):
     mode, measurement = conf.get("serialization", "json"), conf.get("measurement", DEFAULT_TOPIC)
-    if conf.get("format") or (mode == "json" and EXTRA in df.columns):  # names of extra keys differ from row to row
+    if conf.get("format") or (mode != "pb" and EXTRA in df.columns):  # names of extra keys differ from row to row
         shaped = points.to_points(df, measurement, conf.get("geo_field"), mode)
         return _connector_or_text(shaped, lambda p: points.to_line_protocol(p, unsigned=mode == "pb"), conf, "points")
     shaped = points.to_lines(df, measurement, conf.get("geo_field"), mode)

@@ -4,6 +4,11 @@ A flow binds one ingress, one ingestion and one serialization by name, and runs
 as a Structured Streaming query of its own: flows that share a topic each read
 all of it. Progress is checkpointed after a micro-batch is written, so nothing
 is lost on restart.
+
+A ledger holds a row per finished micro-batch: what was read, written and
+rejected, counted while the rows were written. A folder target's ledger lies beside it;
+:func:`read_committed` gives the rows of finished micro-batches alone, so a
+stop between two files, or before a replay, shows nothing half or twice.
 """
 
 from __future__ import annotations
@@ -12,12 +17,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from socklens.catalog import event_schema
 from socklens.operators.conform import to_typed
-from socklens.operators.decode import decode_json, decode_protobuf, split_malformed
+from socklens.operators.decode import CORRUPT, decode_json, decode_protobuf, split_malformed
 from socklens.operators.enrich import GeoLookup
 from socklens.operators.tables import MISSING, split_strict
 from socklens.sinks.writer import FLOW_SINKS, mapping_of, rejected, write
@@ -74,12 +79,12 @@ def open_geo(config: Mapping) -> GeoLookup | None:
 def decode_payload(payloads: DataFrame, conf: Mapping, serialization: str) -> DataFrame:
     """Event rows with the malformed marker.
 
-    JSON payloads keep all of their keys, unless ``fields`` in the ingress
+    Payloads of events and of dynamic rows keep all of their keys, unless ``fields`` in the ingress
     configuration narrows what is parsed.
     """
     if conf.get("descriptor"):
         return decode_protobuf(payloads, conf["message"], conf["descriptor"])
-    return decode_json(payloads, event_schema(conf.get("fields")), wide=True, extra=serialization == "json" and not conf.get("fields"))
+    return decode_json(payloads, event_schema(conf.get("fields")), wide=True, extra=serialization != "pb" and not conf.get("fields"))
 
 
 def prepare(events: DataFrame, kind: str, conf: Mapping, serialization: str, geo: GeoLookup | None) -> DataFrame:
@@ -114,7 +119,8 @@ def start_flow(
     connectors and JDBC tables are at-least-once. ``rejects`` in the ingress
     configuration names a folder, laid out alike per flow, for what cannot be decoded
     and for rows that lack a number a strict table needs. Without it the former
-    are skipped; a flow into a strict table does not start without it.
+    are skipped, and counted; a flow into a strict table does not start without it.
+    When all of a micro-batch is written, its counts go to the ledger (:func:`read_ledger`).
     """
     ingress = config["ingress"][flow.ingress].get("config") or {}
     ingestion = config["ingestion"][flow.ingestion]
@@ -128,11 +134,15 @@ def start_flow(
     geo_conf = {k: v for k, v in conf.items() if v is not None}
     target = {k: v for k, v in conf.items() if k not in ("trigger", "rejects")}
 
+    ledger = ledger_of(conf["path"]) if conf.get("path") else f"{checkpoint}/ledger"
+
     def ingest(batch: DataFrame, batch_id: int) -> None:
         rejects = f"{ingress['rejects']}/flow={label}/batch_id={batch_id}" if ingress.get("rejects") else None
         here = dict(target)
         if here.get("path"):
             here |= {"path": f"{here['path']}/batch_id={batch_id}", "mode": "overwrite"}
+        seen, kept = Observation(), Observation()
+        batch = batch.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"))
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK) if rejects else batch
         try:
             good, bad = split_malformed(batch)
@@ -143,16 +153,44 @@ def start_flow(
                     rows, absent = split_strict(rows, mapping_of(conf))
                     bad = bad.unionByName(rejected(absent))
                 bad.write.mode("overwrite").parquet(rejects)
-            write(rows, kind, **here)
+            write(rows.observe(kept, F.count(F.lit(1)).alias("written")), kind, **here)
         finally:
             if rejects:
                 batch.unpersist()
+        counts = {**seen.get, **kept.get}
+        missing = counts["read"] - counts["malformed"] - counts["written"]
+        row = [(counts["read"], counts["written"], counts["malformed"], missing)]
+        spark.createDataFrame(row, _COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/flow={label}/batch_id={batch_id}")
 
     rows = decode_payload(read_topic(spark, ingress), ingress, flow.serialization)
     writer = rows.writeStream.foreachBatch(ingest).trigger(**trigger).queryName(label)
     return [writer.option("checkpointLocation", f"{checkpoint}/{label}").start()]
 
 
+_COUNTS = "read long, written long, malformed long, missing long"
+
+
+def ledger_of(path: str) -> str:
+    """The ledger folder of a folder target."""
+    return f"{path.rstrip('/')}-ledger"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Finished micro-batches of a target: payloads ``read``, rows ``written``, ``malformed`` payloads and rows with a ``missing`` number.
+
+    ``path`` is that of a folder target; of other targets, the ledger is in the
+    folder ``ledger`` of the checkpoint folder and is read as it is.
+    """
+    return spark.read.parquet(ledger_of(path)).select("flow", F.col("batch_id").cast("long"), "read", "written", "malformed", "missing")
+
+
+def read_committed(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Rows of a folder target, of finished micro-batches alone; ``kind`` is the format of its files."""
+    rows = spark.read.format(kind).load(path).withColumn("batch_id", F.col("batch_id").cast("long"))
+    done = read_ledger(spark, path).select("batch_id").distinct()
+    return rows.join(done, "batch_id", "left_semi").drop("batch_id")
+
+
 def run_flows(spark: SparkSession, config: Mapping, checkpoint: str) -> list[StreamingQuery]:
     """Check a configuration and start all of its flows.
 

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from socklens import check_flows, run_agent, run_flows, write
+from socklens import check_flows, read_committed, read_ledger, run_agent, run_flows, write
 from socklens.sources.topic import kafka_options, read_topic
 
 EVENTS = "RTT long, SAddr string, Timestamp long, Hostname string"
@@ -220,3 +220,20 @@ def test_agent_stream_samples_over_micro_batches(spark, tmp_path):
     got = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert got == ["1,101", "3,103", "6,106"]
     assert {"_header"} <= set(os.listdir(tmp_path / "out" / "batch_id=0"))
+
+
+def test_ledger_counts_every_payload_of_finished_batches(spark, tmp_path):
+    config = _flow_config(tmp_path)
+    for lines in (['{"RTT":1}', "{broken", '{"RTT":2}'], ["nothing but this"], ['{"RTT":3}']):  # a batch each
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "topic"))
+        _run(spark, config, tmp_path)
+    rows = read_ledger(spark, str(tmp_path / "out")).orderBy("batch_id").collect()
+    assert [tuple(r)[1:] for r in rows] == [(0, 3, 2, 1, 0), (1, 1, 0, 1, 0), (2, 1, 1, 0, 0)]
+    committed = lambda: sorted(r.value for r in read_committed(spark, str(tmp_path / "out"), "text").where("value LIKE '%RTT%'").collect())
+    assert committed() == ['{"RTT":1}', '{"RTT":2}', '{"RTT":3}']
+    # stopped after its rows and before its row in the ledger: not read until it is replayed
+    spark.createDataFrame([('{"RTT":9}',)], "value string").write.text(str(tmp_path / "out" / "batch_id=3"))
+    assert committed() == ['{"RTT":1}', '{"RTT":2}', '{"RTT":3}']
+    spark.createDataFrame([('{"RTT":4}',)], "value string").write.mode("append").text(str(tmp_path / "topic"))
+    _run(spark, config, tmp_path)
+    assert committed() == ['{"RTT":1}', '{"RTT":2}', '{"RTT":3}', '{"RTT":4}']

@@ -29,6 +29,8 @@ from socklens import (
     filter_state,
     multiplex,
     project,
+    read_committed,
+    read_ledger,
     read_records,
     read_topic,
     run_agent,
@@ -1236,3 +1238,48 @@ def flow_repeated_keys(spark, sf_dir):
 )
 def flow_repeated_keys_points(spark, sf_dir):
     return spark.read.text(_flow(spark, sf_dir, "points", "json", {"measurement": "sockets"}, ingress=_repeated_topic(spark, sf_dir))).select("value")
+
+
+@query(
+    "flow_reject_counts",
+    """SELECT 'strict' AS target, COUNT(*) AS read, SUM(CASE WHEN event_id % 10 <> 0 AND event_id % 33 <> 5 THEN 1 ELSE 0 END)::BIGINT AS written,
+      SUM(CASE WHEN event_id % 33 = 5 THEN 1 ELSE 0 END)::BIGINT AS malformed, SUM(CASE WHEN event_id % 10 = 0 AND event_id % 33 <> 5 THEN 1 ELSE 0 END)::BIGINT AS missing FROM tcp_events
+    UNION ALL SELECT 'lenient', COUNT(*), SUM(CASE WHEN event_id % 33 <> 5 THEN 1 ELSE 0 END)::BIGINT, SUM(CASE WHEN event_id % 33 = 5 THEN 1 ELSE 0 END)::BIGINT, 0 FROM tcp_events""",
+)
+def flow_reject_counts(spark, sf_dir):
+    """The ledger counts what flows read, write, skip and reject, with a place for rejects and without."""
+    topic_path, fields, parts = scratch(spark, "topic"), ["RTT", "SRTT", "Task"], []
+    payload = """CASE WHEN event_id % 33 = 5 THEN '{broken' ELSE to_json(named_struct('Task', Task, 'RTT', event_id,
+      'SRTT', CASE WHEN event_id % 10 <> 0 THEN SRTT END)) END AS value"""
+    tcp_events(spark, sf_dir).selectExpr(payload).write.parquet(topic_path)
+    conf = {"fields": fields, "columns": ["id", "srtt", "task"]}
+    for target, serialization, more in (("strict", "json", {"rejects": scratch(spark, "rejects")}), ("lenient", "spb", {})):
+        out = _flow(spark, sf_dir, "table", serialization, conf, ingress={"path": topic_path, "fields": fields, **more})
+        parts.append(read_ledger(spark, out).withColumn("target", F.lit(target)))
+    counts = [F.sum(c).alias(c) for c in ("read", "written", "malformed", "missing")]
+    return parts[0].unionByName(parts[1]).groupBy("target").agg(*counts)
+
+
+@query("flow_committed", f"SELECT RTT AS id, SRTT AS srtt FROM ({_FLOW_SELECT}) AS e")
+def flow_committed(spark, sf_dir):
+    """A micro-batch that was written but never finished is not read."""
+    conf = {"fields": ["RTT", "SRTT"], "columns": ["id", "srtt"]}
+    out = _flow(spark, sf_dir, "table", "spb", conf)
+    spark.read.parquet(out).drop("batch_id").write.parquet(f"{out}/batch_id=7777")  # as a stop before the ledger leaves it
+    return read_committed(spark, out)
+
+
+@query(
+    "flow_spb_documents",
+    """SELECT '{"index":{}}' AS value FROM tcp_events UNION ALL SELECT CONCAT('{"Extra":', CAST(event_id AS VARCHAR), ',"Task":"', Task,
+    '","Timestamp":', CAST(Timestamp AS VARCHAR), ',"Zone":"z"}') FROM tcp_events""",
+)
+def flow_spb_documents(spark, sf_dir):
+    """Dynamic rows keep the keys that no catalog field has."""
+    return spark.read.text(_flow(spark, sf_dir, "documents", "spb", {}, ingress=_repeated_topic(spark, sf_dir))).select("value")
+
+
+@query("topic_sink_spb", f"SELECT {_json_sql(_json_pairs([*LINE_FIELDS, 'Timestamp'], True))} AS value FROM tcp_events")
+def topic_sink_spb(spark, sf_dir):
+    """Dynamic rows as topic messages: the selected fields and the stamps, a JSON object per event."""
+    return _written(spark, sf_dir, "kafka", "parquet", serialization="spb")
