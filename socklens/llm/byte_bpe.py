@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from socklens.llm.pretokens import PieceCache, split
+from socklens.llm.words import hold
 
 # Entries of the caches of a worker; they bound its memory and change no result.
 MOST_PIECES = 250_000
@@ -149,6 +150,11 @@ def _cache(path: str) -> PieceCache:
     return PieceCache(lambda piece: np.array(pairs.encode(piece.encode()), "<i4").tobytes(), MOST_PIECES)
 
 
+def drop_caches() -> None:
+    _cache.cache_clear()
+    load.cache_clear()
+
+
 def encode_text(text: str, path: str) -> np.ndarray:
     """The ids of a whole text: its pieces one by one, one after the other."""
     return np.frombuffer(b"".join(map(_cache(path).__getitem__, split(text))), "<i4")
@@ -177,6 +183,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(drop_caches)
         for batch in batches:
             ids = [encode_text(t or "", path) for t in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)

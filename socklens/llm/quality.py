@@ -8,19 +8,20 @@ surest of, as pseudo-labels; a view that is never sure hands over nothing. Each
 view is calibrated on labelled documents that neither learnt from, the
 calibrated views are combined there, and the combination scores all documents.
 
-The models are fitted on the driver from bounded samples: ``LABELLED`` labelled
+The models are fitted in one task from bounded samples: ``LABELLED`` labelled
 and ``POOL`` unlabelled documents, those with the smallest hashes of id and text.
+Only the fitted model comes to the driver.
 Scoring is one narrow pass over all documents and whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -40,7 +41,11 @@ CALIBRATE = 4  # every so many-th labelled document calibrates and teaches nothi
 REJECT_BELOW = 0.5
 SHAPE = 128 + 5
 META_BITS = 10
-SAMPLE = "h long, good int, words array<int>, shape array<float>, meta array<int>"
+_SAMPLE = [
+    ("h", pa.int64()), ("known", pa.bool_()), ("good", pa.int32()),
+    ("words", pa.list_(pa.int32())), ("shape", pa.list_(pa.float32())), ("meta", pa.list_(pa.int32())),
+]
+SAMPLE = "h long, known boolean, good int, words array<int>, shape array<float>, meta array<int>"
 
 
 def shape_features(texts: pa.Array, words: Words) -> np.ndarray:
@@ -101,7 +106,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 250) -> Logistic:
     """Logistic regression by accelerated gradient steps, deterministic; columns that never vary weigh nothing."""
-    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
+    mean = x.mean(0, dtype=np.float64)
+    scale = np.sqrt(np.maximum([np.dot(c := x[:, k] - mean[k], c) / len(x) for k in range(x.shape[1])], 0))  # a column at a time
     used = np.flatnonzero(scale > 1e-6)
     scale = np.where(scale > 1e-6, scale, 1.0)
     z = x[:, used].astype(np.float32)  # the one copy; everything else is a vector
@@ -176,20 +182,20 @@ def _batch_features(batch: pa.RecordBatch, at: dict[str, int]) -> tuple[Words, n
     return words, shape_features(texts, words), meta
 
 
-def sample_features(docs: DataFrame) -> pd.DataFrame:
-    """(h, good, words, shape, meta) of a sample by ``h``, on the driver; ``docs`` has h, good, text, source and lang."""
-    at = {"text": 2, "source": 3, "lang": 4}
+def sample_features(docs: DataFrame) -> DataFrame:
+    """(h, known, good, words, shape, meta) of a sample; ``docs`` has h, known, good, text, source and lang."""
+    at = {"text": 3, "source": 4, "lang": 5}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, at["text"]):
             words, shape, meta = _batch_features(piece, at)
             cells = word_features(words).astype(np.int32)
             held = [np.unique(cells[a:b]) for a, b in zip(words.first[:-1], words.first[1:])]
-            columns = [piece.column(0), piece.column(1), pa.array(held, pa.list_(pa.int32())), pa.array(list(shape), pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "good", "words", "shape", "meta"])
+            columns = [*piece.columns[:3], pa.array(held, pa.list_(pa.int32())), pa.array(list(shape), pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "known", "good", "words", "shape", "meta"])
 
-    columns = docs.select("h", "good", "text", "source", "lang")
-    return columns.mapInArrow(run, SAMPLE).toPandas().sort_values("h", ignore_index=True)
+    columns = docs.select("h", "known", "good", "text", "source", "lang")
+    return columns.mapInArrow(run, SAMPLE)
 
 
 def sample(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -212,34 +218,49 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     marked = labels.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")).dropna()
     base = docs.select("doc_id", whole_text().alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
     ids = base.select("doc_id")
-    known = sample_features(sample(base, ids.join(marked, "doc_id"), labelled))
-    if known["good"].nunique() < 2 or len(known) < 2 * CALIBRATE:
-        return QualityModel(float(known["good"].mean()) if len(known) else 1.0)
+    known = sample(base, ids.join(marked, "doc_id"), labelled).withColumn("known", F.lit(True))
     others = ids.where("doc_id IS NOT NULL").join(marked, "doc_id", "left_anti").withColumn("good", F.lit(0))
-    free = sample_features(sample(base, others, pool))
+    free = sample(base, others, pool).withColumn("known", F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, schema=pa.schema(_SAMPLE)).sort_by("h")
+        known = pc.equal(rows["known"], True)
+        model = fit_views(rows.filter(known), rows.filter(pc.invert(known)), rounds)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # at most labelled + pool rows of features, whatever the size of the table
+    fitted = sample_features(known.unionByName(free)).repartition(1).mapInArrow(run, "model binary")
+    row = fitted.first()
+    return pickle.loads(row.model) if row else QualityModel(1.0)
+
+
+def fit_views(known: pa.Table, free: pa.Table, rounds: int = ROUNDS) -> QualityModel:
+    """The model of labelled and unlabelled samples with the columns of :func:`sample_features`."""
+    good = known["good"].to_numpy()
+    if len(np.unique(good)) < 2 or len(good) < 2 * CALIBRATE:
+        return QualityModel(float(good.mean()) if len(good) else 1.0)
     return co_train(known, free, rounds)
 
 
-def co_train(known: pd.DataFrame, free: pd.DataFrame, rounds: int = ROUNDS) -> QualityModel:
-    y = known["good"].to_numpy(float)
+def co_train(known: pa.Table, free: pa.Table, rounds: int = ROUNDS) -> QualityModel:
+    y = known["good"].to_numpy().astype(float)
     holds = np.arange(len(y)) % CALIBRATE == 0
-    place, n_words = choose_words([w for w, h in zip(known["words"], holds) if not h], y[~holds])
+    place, n_words = choose_words([w for w, h in zip(_lists(known["words"]), holds) if not h], y[~holds])
 
     meta_place = np.full(3 << META_BITS, -1, np.int64)
-    seen = [np.stack(f["meta"]) + (np.arange(3) << META_BITS) for f in (known, free) if len(f)]
+    seen = [_rows(f["meta"], 3) + (np.arange(3) << META_BITS) for f in (known, free)]
     used = np.unique(np.concatenate(seen))
     meta_place[used] = np.arange(len(used))
 
-    def matrices(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        shape = np.stack(frame["shape"]) if len(frame) else np.zeros((0, SHAPE), np.float32)
-        meta = np.stack(frame["meta"]) if len(frame) else np.zeros((0, 3), np.int32)
-        return text_matrix(list(frame["words"]), shape, place, n_words), meta_matrix(meta, meta_place)
+    def matrices(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        shape, meta = _rows(table["shape"], SHAPE), _rows(table["meta"], 3)
+        return text_matrix(_lists(table["words"]), shape, place, n_words), meta_matrix(meta, meta_place)
 
     views, pool = matrices(known), matrices(free)
     own_x = [v[~holds] for v in views]
     handed: list[dict[int, float]] = [{}, {}]  # what the view learns from the other: row of the pool to label
     models = [fit(x, y[~holds]) for x in own_x]
-    for _ in range(rounds if len(free) else 0):
+    for _ in range(rounds if free.num_rows else 0):
         for view in (0, 1):
             scale = fit(models[view].logit(views[view][holds])[:, None], y[holds], ridge=1e-6)
             p = sigmoid(scale.logit(models[view].logit(pool[view])[:, None]))
@@ -255,6 +276,16 @@ def co_train(known: pd.DataFrame, free: pd.DataFrame, rounds: int = ROUNDS) -> Q
     return QualityModel(None, place, n_words, models[0], models[1], fit(both, y[holds], ridge=1e-6), meta_place)
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    whole = column.combine_chunks()
+    flat, ends = whole.flatten().to_numpy(zero_copy_only=False), whole.offsets.to_numpy()
+    return np.split(flat, ends[1:-1] - ends[0]) if len(whole) else []
+
+
+def _rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
 def choose_words(words: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, int]:
     """(cell to column, columns): the cells whose presence tells the classes apart most surely."""
     cells = 1 << WORD_BITS

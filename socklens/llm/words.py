@@ -6,7 +6,9 @@ U+0080 on; hand in lower-cased texts where case does not count.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,14 +84,39 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
+_caches: list[Callable[[], None]] = []
+
+
+def hold(drop: Callable[[], None]) -> None:
+    """Name how to drop a cache that this worker keeps from task to task."""
+    if drop not in _caches:
+        _caches.append(drop)
+
+
+def release() -> None:
+    """Give memory that is free back to the system, where it can be asked to take it; workers live through many stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 512 << 10) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of up to about ``most_bytes`` of text (one text at least), which bounds working memory."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, ends = _bytes(batch.column(text))
-        begin = 0
-        while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most_bytes, "right")) - 1)
-            yield batch.slice(begin, end - begin)
-            begin = end
+    """The batches in slices of up to about ``most_bytes`` of text (one text at least), which bounds working memory.
+
+    Caches that an earlier stage's tasks kept in this worker go first, and the
+    memory of this one at the end.
+    """
+    while _caches:
+        _caches.pop()()
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, ends = _bytes(batch.column(text))
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most_bytes, "right")) - 1)
+                yield batch.slice(begin, end - begin)
+                begin = end
+    finally:
+        release()
