@@ -17,6 +17,7 @@ from socklens.operators.sampling import sample_per_socket, sample_stream
 from socklens.operators.tables import split_strict, to_table_rows
 from socklens.plans.spec import FieldSpec, Spec, run_spec, run_specs, specs_from_config
 from socklens.sinks.writer import write
+from socklens.sources.packed import read_packed, write_packed
 from socklens.sources.records import read_records
 from socklens.sources.topic import read_topic
 from socklens.streaming.agent import run_agent

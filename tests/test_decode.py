@@ -1,3 +1,6 @@
+import ipaddress
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,46 +9,38 @@ from socklens.catalog import FIELDS, event_schema
 from socklens.functions import bits
 from socklens.operators.decode import record_layout
 
-FIELD_LIST = [
-    "PID", "Task", "NumSAcks", "SRTT", "RTT", "TotalRetrans", "AdvMSS", "BytesReceived",
-    "SegsIn", "SegsOut", "SAddr", "DAddr", "DPort",
-]
+FIELD_LIST = ["PID", "Task", "SRTT", "RTT", "BytesReceived", "SegsIn", "SAddr", "DAddr", "DPort"]
 
-# captured records, as text in hex
-RECORD_V4 = (
-    "f3d21200" "6375726c000000000000000000000000" "00000000" "c7bd0000" "00000000" "00000000" "b4050000"
-    "2539000000000000" "0e000000" "0b000000" "0a00020f" "acd905c4" "0050000000000000" "00000000"
-)
+# records packed by the standard library, members at their own alignment
+_HEAD = struct.pack("<I16sII4xQI", 70_001, b"sender\0left over", 48_000, 4_294_967_295, 2**40 + 5, 17)
+RECORD_V4 = _HEAD + ipaddress.ip_address("192.168.7.9").packed + ipaddress.ip_address("203.0.113.250").packed + struct.pack(">H2x", 8443)
 RECORD_V6 = (
-    "db771100" "66616b6568747470" "0000000000000000" "00000000" "53010000" "e9000000" "00000000" "b8ff0000"
-    "4b00000000000000" "06000000" "03000000" "0000000000000000"
-    "00000000000000000000000000000001" "00000000000000000000000000000001" "9b8e0000000000000000000000000000"
-)
+    _HEAD + bytes(4) + ipaddress.ip_address("2001:db8::a:0:0:1").packed + ipaddress.ip_address("::ffff:198.51.100.3").packed + struct.pack(">H14x", 53)
+)
+_READ = (70_001, "sender", 48_000, 4_294_967_295, 2**40 + 5, 17)
 
 
-def _record(spark, digits):
-    return spark.createDataFrame([(bytearray.fromhex(digits),)], "record binary")
+def _record(spark, data):
+    return spark.createDataFrame([(bytearray(data),)], "record binary")
 
 
 def test_ipv4_record(spark):
     row = decode_records(_record(spark, RECORD_V4), FIELD_LIST, 4).first()
-    assert tuple(row) == (
-        1233651, "curl", 0, 48583, 0, 0, 1460, 14629, 14, 11, "10.0.2.15", "172.217.5.196", 80,
-    )
+    assert tuple(row) == (*_READ, "192.168.7.9", "203.0.113.250", 8443)
 
 
 def test_ipv6_record(spark):
     row = decode_records(_record(spark, RECORD_V6), FIELD_LIST, 6).first()
-    assert tuple(row) == (1144795, "fakehttp", 0, 339, 233, 0, 65464, 75, 6, 3, "::1", "::1", 39822)
+    assert tuple(row) == (*_READ, "2001:db8::a:0:0:1", "198.51.100.3", 53)
 
 
 def test_layout_is_naturally_aligned():
     members, size = record_layout(FIELD_LIST, 4)
-    assert {e.name: at for e, at in members}["BytesReceived"] == 40
-    assert size == 72
+    assert {e.name: at for e, at in members}["BytesReceived"] == 32
+    assert size == len(RECORD_V4) == 56
     members, size = record_layout(FIELD_LIST, 6)
-    assert {e.name: at for e, at in members}["SAddr"] == 64
-    assert size == 112
+    assert {e.name: at for e, at in members}["SAddr"] == 48
+    assert size == len(RECORD_V6) == 96
 
 
 def test_short_record_is_null(spark):

@@ -31,6 +31,7 @@ from socklens import (
     project,
     read_committed,
     read_ledger,
+    read_packed,
     read_records,
     read_topic,
     run_agent,
@@ -57,6 +58,7 @@ from socklens import (
     to_variant,
     union_families,
     write,
+    write_packed,
 )
 from socklens import settings
 from socklens.plans.spec import stream_specs
@@ -214,6 +216,17 @@ def decode_ipv6_records(spark, sf_dir):
     return decode_records(_records(spark, sf_dir, 6), RECORD_FIELDS, 6, keep=["event_id"])
 
 
+@query("raw_records_source", f"SELECT {', '.join(RECORD_FIELDS)} FROM tcp_events")
+def raw_records_source(spark, sf_dir):
+    """Records of both families from capture files, cut at record borders."""
+    parts = []
+    for inet in (4, 6):
+        path = scratch(spark, "captures")
+        write_packed(_records(spark, sf_dir, inet), path)
+        parts.append(decode_records(read_packed(spark, path, RECORD_FIELDS, inet, split_bytes=1 << 20), RECORD_FIELDS, inet))
+    return union_families(*parts)
+
+
 def record_files(spark, sf_dir) -> tuple[str, object]:
     path = scratch(spark, "records")
     records = _records(spark, sf_dir, 4).unionByName(_records(spark, sf_dir, 6))
