@@ -110,17 +110,24 @@ def tokenize(
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, TOKENS)
 
 
+def _together(packed: pa.Array, packed_as: str) -> np.ndarray:
+    """The ids of all rows of a batch, without copying them."""
+    _, offsets, data = packed.buffers()
+    if data is None or not len(packed):
+        return np.zeros(0, packed_as)
+    ends = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    return np.frombuffer(data, packed_as, count=int(ends[-1] - ends[0]) // np.dtype(packed_as).itemsize, offset=int(ends[0]))
+
+
 def count_ids(tokens: DataFrame, packed_as: str) -> DataFrame:
     """(id, n): how often every id occurs in all documents; each task sends its counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(ids, packed_as))
-                if len(own) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(own) - len(counts), np.int64)])
-                counts[: len(own)] += own
+            own = np.bincount(_together(batch.column(0), packed_as), minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
@@ -174,7 +181,8 @@ def write_token_files(
         if held:
             yield closed()
 
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one id, null ids above all, are spread by the beginning of their ids of tokens
+    ordered = tokens.repartitionByRange(parts, F.col("doc_id"), F.substring("ids", 1, 16)).sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
@@ -193,12 +201,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Codebook(lengths, limit)
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["sizes"], np.int64)
+            for i in range(batch.num_rows):
+                sizes = batch["sizes"][i].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(sizes)
-                ids = coder.unpack(row["bits"], np.array(row["offsets"]), int(ends[-1])).astype("<u4")
-                packed = [ids[a:b].tobytes() for a, b in zip(ends - sizes, ends)]
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + ends - sizes), pa.array(sizes), pa.array(packed, pa.binary())]
+                ids = coder.unpack(batch["bits"][i].as_py(), batch["offsets"][i].values.to_numpy(), int(ends[-1])).astype("<u4")
+                at = np.concatenate([[0], ends * 4]).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+                columns = [batch["doc_ids"][i].values, pa.array(batch["first"][i].as_py() + ends - sizes), pa.array(sizes), packed]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
     placed = blocks.join(starts, "part").select((F.col("first") + F.col("before")).alias("first"), "doc_ids", "sizes", "bits", "offsets")
