@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from socklens.llm.shared import stash, whole_text
+from socklens.llm.shared import apart, stash, whole_text
 
 MIN_CHUNK = 512
 MAX_CHUNK = 4096
@@ -58,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     serve as identifiers, so the result stays exact.
     """
     added = ("keep_id", "group_size", "kept")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    docs, back = apart(docs, id_col, text)
     verified = stash(chunk_dictionary(docs, text, least, most), "chunks")
     if verified.where(~F.col("same")).isEmpty():
         recipe = F.transform(chunks(whole_text(text), least, most), lambda c: F.unhex(F.sha2(c, 256)))
@@ -68,4 +68,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     groups = named.groupBy("__recipe").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.withColumnRenamed("__recipe", "__same")
     out = named.join(groups, F.col("__recipe") == F.col("__same"), "left")
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("__recipe", "__same")
+    return back(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))), added)

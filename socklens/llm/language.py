@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from socklens.llm.shared import stash
-from socklens.llm.words import _bytes, pieces
+from socklens.llm.words import _bytes, mix, pieces
 
 ORDER = 4  # bytes of the longest context
 TRAIN_DOCS = 300  # texts a language learns from, at most
-TRAIN_BYTES = 2_000  # bytes of a text it learns from, at most
+TRAIN_PIECES = 4  # pieces of a text it learns from, at most, spread over the whole text by hash
+TRAIN_BYTES = 500  # bytes of a piece
 LEAST_SEEN = 20  # a longer context is kept if it was seen so often, in all languages together
 COUNT_TASKS = 4
 PIECE_BYTES = 2 << 20  # of text whose lanes advance together
@@ -83,14 +85,22 @@ class Model:
         return out
 
 
+def spread_pieces(data: bytes) -> list[bytes]:
+    """Up to ``TRAIN_PIECES`` pieces of a text, those with the smallest hashes of text and place."""
+    places = np.arange(-(-len(data) // TRAIN_BYTES), dtype=np.uint64)
+    order = np.argsort(mix(places + np.uint64(crc32(data) << 32)), kind="stable")[:TRAIN_PIECES]
+    return [data[i * TRAIN_BYTES : (i + 1) * TRAIN_BYTES] for i in sorted(order.tolist())]
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from a bounded sample of ``docs``: per language the ``train_docs`` distinct texts with the smallest hash.
 
-    Rows without text or language are not learnt from. What comes to the driver
-    are counts of contexts and bytes of the sample, which the two bounds limit.
+    Rows without text or language are not learnt from. Of each text
+    ``TRAIN_PIECES`` pieces are learnt, which a hash picks from all over it. What comes to the
+    driver are counts of contexts and bytes of the sample, which these bounds limit.
     """
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
-        F.col(lang).cast("string").alias("lang"), F.substring(F.col(text).cast("string"), 1, TRAIN_BYTES).alias("text"), F.xxhash64(text).alias("h")
+        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h")
     )
     # ranked within hash ranges first, so that no task ranks a whole language
     known = known.withColumn("range", F.col("h").bitwiseAND(F.lit(255)))
@@ -105,11 +115,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: i
         seen: dict[tuple[str, bytes], int] = {}
         for batch in batches:
             for language, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = value.encode()[:TRAIN_BYTES]
-                for n in range(1, ORDER + 2):
-                    for i in range(len(data) - n + 1):
-                        key = (language, data[i : i + n])
-                        seen[key] = seen.get(key, 0) + 1
+                for data in spread_pieces(value.encode()):
+                    for n in range(1, ORDER + 2):
+                        for i in range(len(data) - n + 1):
+                            key = (language, data[i : i + n])
+                            seen[key] = seen.get(key, 0) + 1
         languages, grams = [k[0] for k in seen], [k[1] for k in seen]
         yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(grams, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "gram", "n"])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from socklens.llm.bagminhash import bands, signature
-from socklens.llm.shared import components, stash, text_key, whole_text
+from socklens.llm.shared import apart, components, stash, text_key, whole_text
 from socklens.llm.words import Words, mix, pieces
 
 SHINGLE = 5
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     are replaced.
     """
     added = ("class_id", "class_size", "kept")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    docs, back = apart(docs, id_col, text)
     parts = components(links(docs, text, **options))
     keyed = docs.withColumn("__node", text_key(whole_text(text)))
     nodes = keyed.groupBy(F.col("__node").alias("node")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
@@ -167,4 +167,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
     out = keyed.join(known, F.col("__node") == F.col("__same"))
     kept = F.col("__first") & F.col(id_col).eqNullSafe(F.col("__id"))
-    return out.withColumn("kept", kept).drop("__node", "__same", "__first", "__id")
+    return back(out.withColumn("kept", kept), added)

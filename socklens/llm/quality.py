@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from socklens.llm.shared import whole_text
+from socklens.llm.shared import apart, whole_text
 from socklens.llm.words import Words, _bytes, mix, pieces
 
 LABELLED = 8_000
@@ -309,7 +309,7 @@ def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
     own; equal rows get equal scores. Rows and their other columns stay, columns
     named like the added ones are replaced; no rows give none.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("quality_score", "kept", "__text")])
+    docs, back = apart(docs, "text", "source", "lang")
     added = [T.StructField("quality_score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     schema = T.StructType([*docs.schema.fields, *added])
     staged = docs.withColumn("__text", whole_text())
@@ -330,4 +330,4 @@ def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
             kept = score >= REJECT_BELOW if model.constant is None else np.ones(piece.num_rows, bool)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64()), pa.array(kept)], schema.names)
 
-    return staged.mapInArrow(run, schema)
+    return back(staged.mapInArrow(run, schema), ["quality_score", "kept"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from socklens.llm.shared import stash, text_key, whole_text
+from socklens.llm.shared import apart, stash, text_key, whole_text
 from socklens.llm.spans import listed, no_spans, with_matches
 from socklens.llm.trigrams import candidates, postings, trigram_query, trigrams
 
@@ -51,10 +51,10 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: dict[str, str] | No
     and equal texts share their postings; a text that many rows repeat is split
     by adaptive execution, as the candidates have one row per text. A null or
     empty text has no spans. Rows stay as they are; no rows give none. Columns
-    of ``docs`` named like a rule are replaced.
+    of ``docs`` named like a rule are replaced; any other name is kept.
     """
     rules = rules or RULES
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in rules or c in ("__text", "__key", "rules")])
+    docs, back = apart(docs, text)
     docs = docs.withColumn("__text", whole_text(text)).withColumn("__key", text_key(F.col("__text")))
     queries = {rule: trigram_query(pattern) for rule, pattern in rules.items()}
     indexed = {rule: q for rule, q in queries.items() if q is not True}
@@ -72,7 +72,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: dict[str, str] | No
         spans = F.filter(F.col(rule), lambda s: confirmed(rule, s["text"]))
         return F.when(F.size(rule) > 0, spans).otherwise(no_spans())
 
-    return found.withColumns({rule: kept(rule) for rule in rules}).drop("__text", "__key", "rules")
+    return back(found.withColumns({rule: kept(rule) for rule in rules}), list(rules))
 
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -54,6 +55,24 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame, Sequence[str]], DataFrame]]:
+    """``docs`` with every column but the needed ones renamed, and how to undo that.
+
+    An operator's own columns then clash with none, in whatever case. The second
+    value takes the operator's result and the names it added: columns come back under their
+    names and in their order, but for those named like an added one, and the added ones follow.
+    """
+    names = docs.columns
+    inner = [n if n in needed else f"__column{i}" for i, n in enumerate(names)]
+
+    def back(out: DataFrame, added: Sequence[str]) -> DataFrame:
+        replaced = {a.lower() for a in added}
+        kept = [F.col(i).alias(n) for i, n in zip(inner, names) if n.lower() not in replaced]
+        return out.select(*kept, *added)
+
+    return docs.toDF(*inner), back
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text of a document; a null text counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")

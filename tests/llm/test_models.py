@@ -235,6 +235,16 @@ def test_language_costs_match_the_definition():
             assert abs(bits - row[n]) < 1e-3 * max(1.0, bits)
 
 
+def test_pieces_learnt_come_from_the_whole_text():
+    texts = [bytes([i % 256 for i in range(n)]) * 3 for n in (0, 1, 499, 500, 501, 20_000)]
+    for data in texts:
+        cut = language.spread_pieces(data)
+        assert len(cut) == min(language.TRAIN_PIECES, -(-len(data) // 500)) and all(p in data and len(p) <= 500 for p in cut)
+        assert cut == language.spread_pieces(data)
+    starts = [prose(seed, 4000).encode().find(p) for seed in range(40) for p in language.spread_pieces(prose(seed, 4000).encode())]
+    assert min(starts) < 3000 and max(starts) > 15_000 and np.mean(np.array(starts) > 2000) > 0.6
+
+
 def test_language_of_held_out_rows(spark, docs, no_docs):
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = QUERIES["op7_language_id"](spark, SF).join(truth, "doc_id").where("held_out").collect()
