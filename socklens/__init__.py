@@ -6,7 +6,7 @@ from socklens.operators.combine import multiplex, union_families
 from socklens.operators.conform import from_dynamic, to_dynamic, to_typed, to_variant
 from socklens.operators.conformance import conformance
 from socklens.operators.decode import decode_json, decode_records, encode_records, split_malformed
-from socklens.operators.documents import to_bulk_lines, to_documents
+from socklens.operators.documents import to_bulk_bodies, to_bulk_lines, to_documents
 from socklens.operators.enrich import GeoLookup, enrich_geo
 from socklens.operators.lines import to_array_lines, to_console_lines, to_csv_lines, to_event_json
 from socklens.operators.numbering import number_rows

@@ -232,7 +232,15 @@ def _connector_or_text(shaped: DataFrame, text, conf, sink: str):
 
 
 def _documents(df: DataFrame, conf):
+    """Documents through a connector, or as bulk lines.
+
+    ``bodies`` hands a connector request bodies instead, one a row, of
+    ``flush_rows`` rows and ``flush_bytes`` bytes at most.
+    """
     shaped = documents.to_documents(df, conf.get("serialization", "json"))
+    if conf.get("format") and conf.get("bodies"):
+        limits = conf.get("flush_rows") or documents.BODY_ROWS, conf.get("flush_bytes") or documents.BODY_BYTES
+        shaped = documents.to_bulk_bodies(documents.to_bulk_lines(shaped), *limits)
     return _connector_or_text(shaped, documents.to_bulk_lines, conf, "documents")
 
 

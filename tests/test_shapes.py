@@ -7,6 +7,7 @@ from socklens import (
     Spec,
     split_strict,
     to_array_lines,
+    to_bulk_bodies,
     to_bulk_lines,
     to_console_lines,
     to_csv_lines,
@@ -114,3 +115,23 @@ def test_line_sinks_need_one_field_list(spark, df):
     with pytest.raises(ValueError):
         multiplex([(a, df), (b, df)], "csv")
     assert multiplex([(a, df.select("RTT")), (b, df.select("PID"))], "kafka").columns == ["RTT", "PID"]
+
+
+@pytest.mark.parametrize(("rows", "size"), [(1, 10), (3, 10_000), (1000, 60), (7, 45), (1000, 10_000)])
+def test_bodies_are_packed_in_order_to_their_limits(spark, rows, size):
+    texts = ["x" * (i * 7 % 23) + "é" * (i % 3) for i in range(200)] + ["y" * 500, "", "z"]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)
+        got = to_bulk_bodies(df, rows, size).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, held = [], []
+    for t in texts:
+        if held and (len(held) == rows or sum(len(h.encode()) + 1 for h in held) + len(t.encode()) + 1 > size):
+            want.append(held)
+            held = []
+        held.append(t)
+    want.append(held)
+    assert [(r.value, r.rows) for r in got] == [("".join(t + "\n" for t in w), len(w)) for w in want]

@@ -44,6 +44,7 @@ from socklens import (
     stamp_host,
     stamp_time,
     to_array_lines,
+    to_bulk_bodies,
     to_bulk_lines,
     to_console_lines,
     to_csv_lines,
@@ -1296,3 +1297,30 @@ def flow_spb_documents(spark, sf_dir):
 def topic_sink_spb(spark, sf_dir):
     """Dynamic rows as topic messages: the selected fields and the stamps, a JSON object per event."""
     return _written(spark, sf_dir, "kafka", "parquet", serialization="spb")
+
+
+def _unpacked(bodies: DataFrame, rows: int, size: int) -> DataFrame:
+    """The lines of request bodies, and whether their body keeps to the limits."""
+    fits = (F.col("rows") <= rows) & (F.octet_length("value") <= size) & (F.col("rows") * 2 == F.regexp_count("value", F.lit("\n")))
+    lines = F.explode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n"))
+    return bodies.select(lines.alias("value"), fits.alias("fits"))
+
+
+@query("bulk_bodies", f"SELECT '{{\"index\":{{}}}}' AS value, TRUE AS fits FROM tcp_events UNION ALL SELECT {_DOC_SQL}, TRUE FROM tcp_events")
+def bulk_bodies(spark, sf_dir):
+    """Request bodies of at most 100 rows and 8 KiB hold all documents, each with its action line."""
+    lines = to_bulk_lines(to_documents(tcp_events(spark, sf_dir).select(*_DOC_COLUMNS)))
+    return _unpacked(to_bulk_bodies(lines, 100, 8 << 10), 100, 8 << 10)
+
+
+@query(
+    "flow_flush_rows",
+    """SELECT '{"index":{}}' AS value, TRUE AS fits FROM tcp_events UNION ALL SELECT CONCAT('{"Extra":', CAST(event_id AS VARCHAR), ',"Task":"', Task,
+    '","Timestamp":', CAST(Timestamp AS VARCHAR), ',"Zone":"z"}'), TRUE FROM tcp_events""",
+)
+def flow_flush_rows(spark, sf_dir):
+    """A flow hands its connector bodies of 50 rows at most."""
+    out = scratch(spark, "bodies")
+    conf = {"path": None, "format": "parquet", "options": {"path": out}, "bodies": True, "flush_rows": 50}
+    _flow(spark, sf_dir, "documents", "json", conf, ingress=_repeated_topic(spark, sf_dir))
+    return _unpacked(spark.read.parquet(out), 50, 5 << 20)
