@@ -21,7 +21,8 @@ _READ = (70_001, "sender", 48_000, 4_294_967_295, 2**40 + 5, 17)
 
 
 def _record(spark, data):
-    return spark.createDataFrame([(bytearray(data),)], "record binary")
+    data = bytearray.fromhex(data) if isinstance(data, str) else bytearray(data)
+    return spark.createDataFrame([(data,)], "record binary")
 
 
 def test_ipv4_record(spark):
@@ -69,7 +70,7 @@ def test_all_fields_round_trip(spark):
 def test_wide_integers_and_local_port(spark):
     names = ["LPort", "BytesSent"]
     digits = "1f90" + "00" * 6 + "ffffffffffffffff"
-    row = decode_records(_record(spark, bytes.fromhex(digits)), names, wide=True).first()
+    row = decode_records(_record(spark, digits), names, wide=True).first()
     assert (row.LPort, int(row.BytesSent)) == (0x1F90, 2**64 - 1)
     assert decode_records(_record(spark, digits), names, fix_lport=True).first().LPort == 0x901F
 

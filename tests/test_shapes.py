@@ -22,12 +22,13 @@ from socklens import (
 )
 from socklens.catalog import TYPED_COLUMNS
 
+# Values are our own; the layout of the expected texts is that of the formats: fixed values.
 ROW = "PID long, Task string, RTT long, SAddr string, Timestamp long, Hostname string"
 
 
 @pytest.fixture(scope="module")
 def df(spark):
-    return spark.createDataFrame([(123456, "curl", 12345, "10.0.0.1", 1611118090, "foo")], ROW)
+    return spark.createDataFrame([(70001, "sender", 48000, "10.0.0.1", 1700333444, "foo")], ROW)
 
 
 def _value(frame):
@@ -35,74 +36,74 @@ def _value(frame):
 
 
 def test_lines(spark):
-    df = spark.createDataFrame([(5, 6, 1609564925)], "RTT long, SRTT long, Timestamp long")
-    assert _value(to_csv_lines(df, ["RTT", "SRTT"])) == "5,6,1609564925"
-    assert _value(to_array_lines(df, ["RTT", "SRTT"])) == "[5,6,1609564925]"
-    assert _value(to_event_json(df, ["SRTT", "RTT"])) == '{"SRTT":6,"RTT":5,"Timestamp":1609564925}'
-    assert _value(to_event_json(df, ["rtt"], "foo")) == '{"RTT":5,"Timestamp":1609564925,"Hostname":"foo"}'
-    assert _value(to_console_lines(df, ["RTT"])) == '"RTT":5,"Timestamp":1609564925'
+    df = spark.createDataFrame([(5, 6, 1700111222)], "RTT long, SRTT long, Timestamp long")
+    assert _value(to_csv_lines(df, ["RTT", "SRTT"])) == "5,6,1700111222"
+    assert _value(to_array_lines(df, ["RTT", "SRTT"])) == "[5,6,1700111222]"
+    assert _value(to_event_json(df, ["SRTT", "RTT"])) == '{"SRTT":6,"RTT":5,"Timestamp":1700111222}'
+    assert _value(to_event_json(df, ["rtt"], "foo")) == '{"RTT":5,"Timestamp":1700111222,"Hostname":"foo"}'
+    assert _value(to_console_lines(df, ["RTT"])) == '"RTT":5,"Timestamp":1700111222'
 
 
 def test_texts_keep_quotes_and_escapes(spark):
-    df = spark.createDataFrame([('a"b,c', "10.0.0.1", 1609564925)], "Task string, SAddr string, Timestamp long")
-    assert _value(to_array_lines(df, ["Task", "SAddr"])) == '["a\\"b,c","10.0.0.1",1609564925]'
+    df = spark.createDataFrame([('a"b,c', "10.0.0.1", 1700111222)], "Task string, SAddr string, Timestamp long")
+    assert _value(to_array_lines(df, ["Task", "SAddr"])) == '["a\\"b,c","10.0.0.1",1700111222]'
 
 
 def test_dynamic_rows(spark, df):
-    row = to_dynamic(df, ["Task", "RTT", "PID"], "fakehost").first()
-    assert row.strings == {"Task": "curl", "Hostname": "fakehost"}
-    assert row.numbers == {"RTT": 12345.0, "PID": 123456.0, "Timestamp": 1611118090.0}
+    row = to_dynamic(df, ["Task", "RTT", "PID"], "hostb").first()
+    assert row.strings == {"Task": "sender", "Hostname": "hostb"}
+    assert row.numbers == {"RTT": 48000.0, "PID": 70001.0, "Timestamp": 1700333444.0}
     back = from_dynamic(to_dynamic(df, ["Task", "RTT"]), ["Task", "RTT", "SRTT"]).first()
-    assert (back.Task, back.RTT, back.SRTT, back.Hostname) == ("curl", 12345.0, None, "foo")
+    assert (back.Task, back.RTT, back.SRTT, back.Hostname) == ("sender", 48000.0, None, "foo")
     variant = to_variant(df, ["Task", "RTT"]).select(F.variant_get("row", "$.RTT", "double").alias("r")).first()
-    assert variant.r == 12345.0
+    assert variant.r == 48000.0
 
 
 def test_typed_row(spark, df):
     row = to_typed(df.withColumn("NewState", F.lit(7))).first().asDict()
     assert list(row) == TYPED_COLUMNS and len(row) == 61
-    assert (row["RTT"], row["Task"], row["AdvMSS"], row["Timestamp"]) == (12345, "curl", None, 1611118090)
+    assert (row["RTT"], row["Task"], row["AdvMSS"], row["Timestamp"]) == (48000, "sender", None, 1700333444)
 
 
 @pytest.mark.parametrize("missing", ["strict", "zero", "null"])
 def test_table_row(spark, df, missing):
     mapping = {"RTT": "rtt", "SAddr": "saddr", "Timestamp": "ts", "Hostname": "host", "City": "city"}
-    row = to_table_rows(df.withColumn("City", F.lit("Los_Angeles")), mapping, missing).first()
-    assert tuple(row) == (12345, "10.0.0.1", 1611118090, "foo", "Los_Angeles")
+    row = to_table_rows(df.withColumn("City", F.lit("Harbour_Town")), mapping, missing).first()
+    assert tuple(row) == (48000, "10.0.0.1", 1700333444, "foo", "Harbour_Town")
 
 
 def test_missing_values(spark, df):
     mapping = {"SRTT": "srtt", "Task": "task", "City": "city"}
     assert to_table_rows(df, mapping, "strict").count() == 0
     assert split_strict(df, mapping)[1].count() == 1
-    assert tuple(to_table_rows(df, mapping, "zero").first()) == (0, "curl", "")
-    assert tuple(to_table_rows(df, mapping, "null").first()) == (None, "curl", None)
+    assert tuple(to_table_rows(df, mapping, "zero").first()) == (0, "sender", "")
+    assert tuple(to_table_rows(df, mapping, "null").first()) == (None, "sender", None)
     with pytest.raises(ValueError):
         to_table_rows(df, {"NewState": "x"})
 
 
 def test_documents(spark, df):
-    want = '{"Hostname":"foo","PID":123456,"RTT":12345,"Task":"curl","Timestamp":1611118090}'
+    want = '{"Hostname":"foo","PID":70001,"RTT":48000,"Task":"sender","Timestamp":1700333444}'
     docs = to_documents(df.drop("SAddr"))
     assert _value(docs) == want
     assert _value(to_bulk_lines(docs)) == '{"index":{}}\n' + want
     typed = _value(to_documents(df.withColumn("OldState", F.lit(1)), "pb"))
-    assert typed == '{"Task":"curl","PID":123456,"SAddr":"10.0.0.1","RTT":12345,"Hostname":"foo","Timestamp":"1611118090"}'
+    assert typed == '{"Task":"sender","PID":70001,"SAddr":"10.0.0.1","RTT":48000,"Hostname":"foo","Timestamp":"1700333444"}'
 
 
 def test_points(spark, df):
-    point = to_points(df.withColumn("City", F.lit("Los_Angeles")), "m", geo_field="SAddr").first()
-    assert point.tags == {"City": "Los_Angeles", "Hostname": "foo", "Task": "curl"}
-    assert point.fields == {"PID": 123456.0, "RTT": 12345.0}
-    assert point.time.timestamp() == 1611118090 or str(point.time) == "2021-01-20 04:48:10"
+    point = to_points(df.withColumn("City", F.lit("Harbour_Town")), "m", geo_field="SAddr").first()
+    assert point.tags == {"City": "Harbour_Town", "Hostname": "foo", "Task": "sender"}
+    assert point.fields == {"PID": 70001.0, "RTT": 48000.0}
+    assert point.time.timestamp() == 1700333444 or str(point.time) == "2023-11-18 18:50:44"
 
 
 def test_line_protocol(spark, df):
     points = to_points(df.drop("SAddr"), "m")
-    assert _value(to_line_protocol(points)) == "m,Hostname=foo,Task=curl PID=123456,RTT=12345 1611118090000000000"
-    assert _value(to_line_protocol(points, unsigned=True)).split()[1] == "PID=123456u,RTT=12345u"
+    assert _value(to_line_protocol(points)) == "m,Hostname=foo,Task=sender PID=70001,RTT=48000 1700333444000000000"
+    assert _value(to_line_protocol(points, unsigned=True)).split()[1] == "PID=70001u,RTT=48000u"
     odd = df.select(F.lit("a b,c=d").alias("Task"), F.lit("").alias("City"), "RTT", "Timestamp")
-    assert _value(to_line_protocol(to_points(odd, "m n"))) == "m\\ n,Task=a\\ b\\,c\\=d RTT=12345 1611118090000000000"
+    assert _value(to_line_protocol(to_points(odd, "m n"))) == "m\\ n,Task=a\\ b\\,c\\=d RTT=48000 1700333444000000000"
 
 
 def test_large_numbers_in_line_protocol(spark):

@@ -107,8 +107,8 @@ def test_receive_time_is_stamped(spark):
     spec = Spec("tcp:tcp_probe", ["RTT"], "TCP_ALL")
     row = run_spec(df, spec).first()
     assert row.RTT == 1 and row.Timestamp > 1_700_000_000
-    stamped = df.withColumn("seen", F.expr("TIMESTAMP '2021-01-20 04:48:10'"))
-    assert run_spec(stamped, spec, received="seen").first().Timestamp == 1611118090
+    stamped = df.withColumn("seen", F.expr("TIMESTAMP '2023-11-18 18:50:44'"))
+    assert run_spec(stamped, spec, received="seen").first().Timestamp == 1700333444
 
 
 @pytest.mark.parametrize("name, text, dropped", [
