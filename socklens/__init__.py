@@ -21,6 +21,7 @@ from socklens.sources.packed import read_packed, write_packed
 from socklens.sources.records import read_records
 from socklens.sources.topic import read_topic
 from socklens.streaming.agent import run_agent
+from socklens.streaming.compaction import compact, read_compacted
 from socklens.streaming.flows import Flow, check_flows, read_committed, read_ledger, run_flows, start_flow
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -3,15 +3,16 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from socklens import check_flows, read_committed, read_ledger, run_agent, run_flows, write
+from socklens import check_flows, compact, read_committed, read_compacted, read_ledger, run_agent, run_flows, write
 from socklens.sources.topic import kafka_options, read_topic
 
+# Values are our own; the layout of the expected texts is that of the formats: fixed values.
 EVENTS = "RTT long, SAddr string, Timestamp long, Hostname string"
 
 
 @pytest.fixture()
 def df(spark):
-    return spark.createDataFrame([(5, "10.0.0.1", 1609564925, "foo")], EVENTS)
+    return spark.createDataFrame([(5, "10.0.0.1", 1700111222, "foo")], EVENTS)
 
 
 def _files(path):
@@ -19,8 +20,8 @@ def _files(path):
 
 
 @pytest.mark.parametrize("sink, header, line", [
-    ("csv", "RTT,SAddr,timestamp\n", '5,"10.0.0.1",1609564925'),
-    ("jsonl", "[RTT,SAddr,timestamp]\n", '[5,"10.0.0.1",1609564925]'),
+    ("csv", "RTT,SAddr,timestamp\n", '5,"10.0.0.1",1700111222'),
+    ("jsonl", "[RTT,SAddr,timestamp]\n", '[5,"10.0.0.1",1700111222]'),
 ])
 def test_line_files_append_under_one_header(spark, df, tmp_path, sink, header, line):
     path = str(tmp_path / "out")
@@ -59,9 +60,9 @@ def console(tmp_path, monkeypatch):
 def test_console_and_unknown_type(df, console, capfd):
     write(df, "console")
     write(df, "something else", fields=["RTT"])
-    assert sorted(console()) == ['"RTT":5,"SAddr":"10.0.0.1","Timestamp":1609564925', '"RTT":5,"Timestamp":1609564925']
+    assert sorted(console()) == ['"RTT":5,"SAddr":"10.0.0.1","Timestamp":1700111222', '"RTT":5,"Timestamp":1700111222']
     write(df, "console", rows=1)
-    assert '"RTT":5,"SAddr":"10.0.0.1","Timestamp":1609564925' in capfd.readouterr().out
+    assert '"RTT":5,"SAddr":"10.0.0.1","Timestamp":1700111222' in capfd.readouterr().out
 
 
 def test_console_prints_every_line(spark, console):
@@ -97,7 +98,7 @@ def test_strict_rows_are_rejected_or_stop_the_job(spark, tmp_path):
 def test_typed_payload(spark, df, tmp_path):
     path = str(tmp_path / "t")
     write(df, "kafka", path=path, serialization="pb", hostname="bar")
-    assert spark.read.parquet(path).first().value == '{"SAddr":"10.0.0.1","RTT":5,"Hostname":"bar","Timestamp":1609564925}'
+    assert spark.read.parquet(path).first().value == '{"SAddr":"10.0.0.1","RTT":5,"Hostname":"bar","Timestamp":1700111222}'
 
 
 def test_kafka_settings(spark):
@@ -237,3 +238,25 @@ def test_ledger_counts_every_payload_of_finished_batches(spark, tmp_path):
     spark.createDataFrame([('{"RTT":4}',)], "value string").write.mode("append").text(str(tmp_path / "topic"))
     _run(spark, config, tmp_path)
     assert committed() == ['{"RTT":1}', '{"RTT":2}', '{"RTT":3}', '{"RTT":4}']
+
+
+def test_compaction_keeps_every_row_once(spark, tmp_path):
+    config = {
+        "ingress": {"in": {"config": {"path": str(tmp_path / "topic"), "format": "text"}}},
+        "ingestion": {"out": {"type": "table", "config": {"path": str(tmp_path / "out"), "fields": ["RTT"], "columns": ["rtt"], "trigger": {"availableNow": True}}}},
+        "flow": [{"ingress": "in", "ingestion": "out", "serialization": "spb"}],
+    }
+    out = str(tmp_path / "out")
+    rows = lambda: sorted(r.rtt for r in read_compacted(spark, out).collect())
+    for i in range(6):
+        spark.createDataFrame([(f'{{"RTT":{3 * i + k}}}',) for k in range(3)], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "topic"))
+        _run(spark, config, tmp_path)
+        if i == 3:
+            before = rows()
+            spark.read.parquet(out).where("batch_id = 0").drop("batch_id").write.parquet(f"{out}/batch_id=-1")  # of a run that stopped
+            assert rows() == before
+            assert compact(spark, out, ["rtt"], keep=1) == 3 and rows() == before
+    assert compact(spark, out, ["rtt"], keep=1) == 2 and compact(spark, out, ["rtt"], keep=1) == 0
+    assert rows() == list(range(18))
+    assert sorted(d for d in os.listdir(out) if "=" in d) == ["batch_id=-1", "batch_id=-2", "batch_id=5"]
+    assert len(list((tmp_path / "out" / "batch_id=-1").glob("*.parquet"))) == 1

@@ -14,6 +14,7 @@ from socklens import (
     GeoLookup,
     Spec,
     apply_math,
+    compact,
     catalog,
     conformance,
     decode_json,
@@ -30,6 +31,7 @@ from socklens import (
     multiplex,
     project,
     read_committed,
+    read_compacted,
     read_ledger,
     read_packed,
     read_records,
@@ -1324,3 +1326,22 @@ def flow_flush_rows(spark, sf_dir):
     conf = {"path": None, "format": "parquet", "options": {"path": out}, "bodies": True, "flush_rows": 50}
     _flow(spark, sf_dir, "documents", "json", conf, ingress=_repeated_topic(spark, sf_dir))
     return _unpacked(spark.read.parquet(out), 50, 5 << 20)
+
+
+@query("flow_compaction", f"SELECT RTT AS id, SRTT AS srtt FROM ({_FLOW_SELECT}) AS e")
+def flow_compaction(spark, sf_dir):
+    """Micro-batches of a flow packed into clustered files while it goes on: rows are there once."""
+    topic_path, out, progress = (scratch(spark, n) for n in ("topic", "out", "progress"))
+    parts = views.topic(spark, sf_dir).select("value", (F.col("event_id") % 4).alias("part"))
+    conf = {"path": out, "fields": ["RTT", "SRTT"], "columns": ["id", "srtt"], "trigger": {"availableNow": True}}
+    config = {
+        "ingress": {"in": {"config": {"path": topic_path, "fields": _TOPIC_FIELDS}}},
+        "ingestion": {"out": {"type": "table", "config": conf}},
+        "flow": [{"ingress": "in", "ingestion": "out", "serialization": "spb"}],
+    }
+    for part in range(4):
+        parts.where(F.col("part") == part).select("value").write.mode("append").parquet(topic_path)
+        for started in run_flows(spark, config, progress):
+            started.awaitTermination()
+        compact(spark, out, ["id"], keep=1)
+    return read_compacted(spark, out)
