@@ -8,6 +8,8 @@ without such trigrams search every text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from socklens.llm.shared import apart, stash, text_key, whole_text
@@ -87,8 +89,10 @@ def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def oracle() -> str:
     """The query in SQL: every rule searched in every text, the base ones without minimum lengths."""
+    # letters of either case, ASCII alone: case folding would add others that look like them
+    either = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", _KEYWORD)
     plain = RULES | {
-        "assign": rf"""(?i:{_KEYWORD})["'']?\x20*[:=]\x20*["'']?{_VALUE}+""",
+        "assign": rf"""(?:{either})["'']?\x20*[:=]\x20*["'']?{_VALUE}+""",
         "access": "AKIA[A-Z0-9]+",
         "hex": "[0-9a-f]+",
     }
