@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from socklens.catalog import FIELDS, TYPED_COLUMNS
 from socklens.operators.conform import EXTRA, present_map, without
+from socklens.settings import reachable
 
 # -- fixed values: bulk action of an append-only index ---------------------
 ACTION = '{"index":{}}'
@@ -69,6 +70,7 @@ def to_bulk_bodies(lines: DataFrame, rows: int = BODY_ROWS, most_bytes: int = BO
     """
     if rows < 1 or most_bytes < 1:
         raise ValueError(f"a body holds at least a row and a byte: {rows}, {most_bytes}")
+    reachable(lines.sparkSession)
 
     def body(parts: list[pa.Array]) -> pa.RecordBatch:
         texts = [t for part in parts for t in part.to_pylist()]

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from socklens.settings import free_names, stash
+from socklens.settings import free_names, reachable, stash
 
 
 @dataclass
@@ -70,6 +70,7 @@ def deal(
     Group columns are of plain types. The input is read twice if it does not
     come from a shuffle or a narrow table: once for the ranges.
     """
+    reachable(df.sparkSession)
     tie, piece, nth, head, edge = free_names(df.columns, "_tie", "_piece", "_nth", "_head", "_edge")
     schema = T.StructType([*df.schema.fields, T.StructField(piece, T.IntegerType()), T.StructField(nth, T.LongType()), T.StructField(head, T.BooleanType()), T.StructField(edge, T.BooleanType())])
     at = [df.columns.index(c) for c in group]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from socklens.functions.bits import uint_bytes
-from socklens.settings import stash
+from socklens.settings import reachable, stash
 
 MOST_NESTED = 4096  # ranges open at once; networks nest 128 deep at most
 
@@ -44,6 +44,7 @@ def sweep_join(addresses: DataFrame, tables: Mapping[str, DataFrame]) -> DataFra
     ``tables`` hold disjoint ranges (lo, hi, record) with keys as bounds. The
     sweep runs when this is called; its result lies in the shared folder.
     """
+    reachable(addresses.sparkSession)
     names = list(tables)
     kinds = {n: tables[n].schema["record"].dataType for n in names}
     empty = {n: F.lit(None).cast(kinds[n]) for n in names}
@@ -130,6 +131,7 @@ def flatten(ranges: DataFrame) -> DataFrame:
     ``bad`` instead: nothing tells which of two such ranges counts. Neighbouring pieces of a
     range that was cut stay apart. Written to the shared folder when called.
     """
+    reachable(ranges.sparkSession)
     order = [F.col("lo").asc(), F.col("hi").desc()]
     dealt = ranges.select("lo", "hi", "record").where("lo IS NOT NULL AND hi IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = stash(dealt.withColumn("piece", F.spark_partition_id()), "ranges")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable
 
@@ -41,6 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def reachable(spark: SparkSession) -> None:
+    """Python workers started from now on also look for this package where the driver found it.
+
+    That counts where they share its disk and the package is not installed; elsewhere it does nothing.
+    """
+    root, environment = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from socklens.operators.decode import record_layout
+from socklens.settings import reachable
 
 FORMAT = "packed-records"
 SPLIT_BYTES = 64 << 20
@@ -138,6 +139,7 @@ def read_packed(
     ``position`` is the number of the record in its file. A batch gives a last
     record that is cut short as it is, which decodes to NULLs; a stream waits for its rest.
     """
+    reachable(spark)
     spark.dataSource.register(PackedRecords)
     _, size = record_layout(list(fields), inet)
     reader = spark.readStream if stream else spark.read
@@ -149,7 +151,9 @@ def write_packed(df: DataFrame, path: str, record: str = "record") -> int:
 
     A task that is repeated writes its file again.
     """
-    fs.FileSystem.from_uri(_uri(path))[0].create_dir(fs.FileSystem.from_uri(_uri(path))[1], recursive=True)
+    reachable(df.sparkSession)
+    system, root = fs.FileSystem.from_uri(_uri(path))
+    system.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(_uri(path))
