@@ -2,7 +2,8 @@
 
 A lookup table holds address ranges ``(lo, hi, ...)``: BIGINT bounds for IPv4,
 BINARY(16) bounds for IPv6. Networks may nest; the innermost one holds an address.
-A table with nested ranges is cut into disjoint ones when it is opened.
+Ranges that cross are refused, unless the narrowest is asked to hold an address.
+A table with nested or crossing ranges is cut into disjoint ones when it is opened.
 
 While the tables fit the broadcast limit, events are never shuffled: a range is
 filed under the leading bytes that ``lo`` and ``hi`` share, so a lookup is an
@@ -29,6 +30,7 @@ from socklens.operators.sweep import bound_key, flatten, sweep_join, wide_key
 from socklens.settings import stash
 
 LEVELS = ("asn", "city", "city-asn", "city-loc", "city-loc-asn")
+CROSSINGS = ("refuse", "narrowest")
 MAX_BROADCAST_BYTES = 512 << 20
 _ROW_OVERHEAD = 64
 
@@ -118,16 +120,16 @@ def _overlaps(ranges: DataFrame, family: int) -> DataFrame:
     return far.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("bad", "overlap")])
 
 
-def _disjoint(filed: DataFrame, family: int) -> tuple[DataFrame, bool]:
-    """(disjoint ranges that give each address its innermost one, whether there are ranges that cross)."""
+def _disjoint(filed: DataFrame, family: int, crossing: str) -> tuple[DataFrame, bool]:
+    """(disjoint ranges that give each address its innermost one, whether there are ranges to refuse)."""
     keyed = filed.select(bound_key(F.col("lo"), family).alias("lo"), bound_key(F.col("hi"), family).alias("hi"), "record")
-    flat = flatten(keyed)
-    crossed = not flat.where("bad").isEmpty()
+    flat = flatten(keyed, crossing == "narrowest")
+    refused = not flat.where("bad").isEmpty()
     bounds = []
     for c in ("lo", "hi"):
         address = F.substring(c, 2, 16)
         bounds.append((F.conv(F.hex(address), 16, 10).cast("bigint") if family == 4 else address).alias(c))
-    return flat.select(*bounds, "record"), crossed
+    return flat.select(*bounds, "record"), refused
 
 
 @dataclass
@@ -143,7 +145,7 @@ class RangeTable:
     sizes: dict[tuple[int, int], int] = field(default_factory=dict)
 
     @classmethod
-    def open(cls, name: str, tables, record) -> RangeTable:
+    def open(cls, name: str, tables, record, crossing: str = "refuse") -> RangeTable:
         frames, measured, read = {}, [], {}
         for family, df in _by_family(tables).items():
             lo, hi = F.col("lo"), F.col("hi")
@@ -156,7 +158,7 @@ class RangeTable:
         rows = reduce(DataFrame.union, measured).collect()  # at most 24 rows
         refused = any(r.bad for r in rows)
         for family in [r.family for r in rows if r.overlap and not refused]:
-            flat, refused = _disjoint(read[family], family)
+            flat, refused = _disjoint(read[family], family, crossing)
             frames[family].unpersist()
             frames[family] = flat.withColumn("length", _shared_bytes(family).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
             rows = [r for r in rows if r.family != family] + _sizes(frames[family], family).collect()
@@ -209,10 +211,17 @@ def _sizes(frame: DataFrame, family: int) -> DataFrame:
 
 
 class GeoLookup:
-    """City and AS-number tables opened for one level of detail."""
+    """City and AS-number tables opened for one level of detail.
 
-    def __init__(self, level: str, city=None, asn=None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES):
+    ``crossing`` says what ranges do that overlap without nesting: ``refuse`` raises,
+    with ``narrowest`` the one of the fewest addresses holds what they share (of
+    equally narrow ones that which begins last). A range listed twice is refused in either case.
+    """
+
+    def __init__(self, level: str, city=None, asn=None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, crossing: str = "refuse"):
         self.level = check_level(level)
+        if crossing not in CROSSINGS:
+            raise ValueError(f"unknown crossing: {crossing}")
         parts = self.level.split("-")
         for part, table in (("city", city), ("asn", asn)):
             if part in parts and table is None:
@@ -221,10 +230,10 @@ class GeoLookup:
         self.tables: list[RangeTable] = []
         self.columns: list[str] = []
         if "city" in parts:
-            self.tables.append(RangeTable.open("city", city, lambda d: _city_record(d, self.with_location)))
+            self.tables.append(RangeTable.open("city", city, lambda d: _city_record(d, self.with_location), crossing))
             self.columns += [*_CITY, *(["GeoLocation"] if self.with_location else [])]
         if "asn" in parts:
-            self.tables.append(RangeTable.open("asn", asn, _asn_record))
+            self.tables.append(RangeTable.open("asn", asn, _asn_record, crossing))
             self.columns += _ASN
         self.all_small = sum(size for t in self.tables for size in t.sizes.values()) <= max_broadcast_bytes
 
@@ -295,6 +304,7 @@ def enrich_geo(
     geo_field: str = "SAddr",
     merge: str = "overwrite",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    crossing: str = "refuse",
 ) -> DataFrame:
     """Open the tables and enrich ``df``; see :class:`GeoLookup`."""
-    return GeoLookup(level, city, asn, max_broadcast_bytes).enrich(df, geo_field, merge)
+    return GeoLookup(level, city, asn, max_broadcast_bytes, crossing).enrich(df, geo_field, merge)

@@ -8,12 +8,13 @@ is settled from that. One shuffle and one pass serve tables of any size, both
 families and any number of tables, and a hot stretch of addresses is spread.
 
 Nested ranges are cut into disjoint ones first, so that the innermost range
-holds an address: a sweep with the chain of ranges that are open. Which ranges are open
+holds an address, or of ranges that cross the narrowest: a sweep with the ranges that are open. Which ranges are open
 where a task begins is known from the ranges that cross the border of two tasks.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -123,12 +124,14 @@ def sweep_join(addresses: DataFrame, tables: Mapping[str, DataFrame]) -> DataFra
     return answers.select("address", *columns)
 
 
-def flatten(ranges: DataFrame) -> DataFrame:
+def flatten(ranges: DataFrame, crossing: bool = False) -> DataFrame:
     """Disjoint ranges (lo, hi, record, bad) that give each address its innermost range.
 
     ``ranges`` has lo, hi and record, bounds as :func:`bound_key` makes them. A
     range that crosses another, equals it, or ends before it begins is marked
-    ``bad`` instead: nothing tells which of two such ranges counts. Neighbouring pieces of a
+    ``bad`` instead: nothing tells which of two such ranges counts. With ``crossing``,
+    ranges may cross: the narrowest holds an address, of equally narrow ones
+    that which begins last. Neighbouring pieces of a
     range that was cut stay apart. Written to the shared folder when called.
     """
     reachable(ranges.sparkSession)
@@ -142,10 +145,11 @@ def flatten(ranges: DataFrame) -> DataFrame:
     if until:
         borders = dealt.sparkSession.createDataFrame([(p, bytearray(v)) for p, v in until.items()], "at int, border binary")
         # ranges that are open at the border behind their task: nested in one another, so few
-        crossing = dealt.join(F.broadcast(borders), F.col("piece") == F.col("at")).where("hi >= border").select("piece", "lo", "hi", "record")
+        reaching = dealt.join(F.broadcast(borders), F.col("piece") == F.col("at")).where("hi >= border").select("piece", "lo", "hi", "record")
         chain: list = []
         by_piece: dict[int, list] = {}
-        for row in crossing.limit(MOST_NESTED * len(pieces)).collect():
+        # one more than so many a task means that one task has too many, which is refused below
+        for row in reaching.limit(MOST_NESTED * len(pieces) + 1).collect():
             by_piece.setdefault(row.piece, []).append(row)
         for p, q in zip(pieces, pieces[1:]):
             chain = [r for r in [*chain, *sorted(by_piece.get(p, []), key=lambda r: (bytes(r.lo), [-b for b in bytes(r.hi)]))] if bytes(r.hi) >= starts[q]]
@@ -162,7 +166,7 @@ def flatten(ranges: DataFrame) -> DataFrame:
     out = T.StructType([*[dealt.schema[c] for c in ("lo", "hi")], dealt.schema["record"], T.StructField("bad", T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = _Flat(out.names)
+        flat = _Flat(out.names, crossing)
         for batch in batches:
             pieces, turns = batch["piece"].to_pylist(), batch["turn"].to_pylist()
             for i, (piece, turn, lo, hi) in enumerate(zip(pieces, turns, batch["lo"].to_pylist(), batch["hi"].to_pylist())):
@@ -175,39 +179,42 @@ def flatten(ranges: DataFrame) -> DataFrame:
 
 
 class _Flat:
-    """The sweep of :func:`flatten` over one piece after another."""
+    """The sweep of :func:`flatten` over one piece after another; the narrowest open range is on top of a heap."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.piece, self.chain, self.out = names, None, [], []
+    def __init__(self, names: list[str], crossing: bool):
+        self.names, self.crossing, self.piece, self.open, self.out = names, crossing, None, [], []
 
     def add(self, piece: int, own: bool, lo: bytes, hi: bytes, record: pa.Array, start: bytes, until: bytes | None) -> None:
         if piece != self.piece:
             self.close()
-            self.piece, self.chain, self.next, self.until = piece, [], start, until
+            self.piece, self.open, self.next, self.until, self.last, self.count = piece, [], start, until, None, 0
         if own:
             self._up_to(_before(lo))
-            if hi < lo or self.chain and (hi > self.chain[-1][0] or self.chain[-1][2] == (lo, hi)):
+            crosses = not self.crossing and self.open and hi > self.open[0][3]
+            if hi < lo or crosses or self.last == (lo, hi):
                 self.out.append((lo, hi, record, True))
                 return
-            self.next = lo
-        self.chain.append((hi, record, (lo, hi)))
+            self.next, self.last = lo, (lo, hi)
+        begin, self.count = int.from_bytes(lo, "big"), self.count + 1
+        heapq.heappush(self.open, (int.from_bytes(hi, "big") - begin, -begin, self.count, hi, record))
 
     def _up_to(self, end: bytes) -> None:
-        """Give what the open ranges hold up to ``end``; those that end there are closed."""
-        while self.chain:
-            hi, record, _ = self.chain[-1]
-            stop = min(hi, end)
-            if self.next <= stop:
+        """Give what the open ranges hold up to ``end``; those that end there are closed when they come to the top."""
+        while self.open:
+            *_, hi, record = self.open[0]
+            if hi < self.next:
+                heapq.heappop(self.open)
+            elif self.next > end:
+                return
+            else:
+                stop = min(hi, end)
                 self.out.append((self.next, stop, record, False))
                 self.next = _after(stop)
-            if hi > end:
-                return
-            self.chain.pop()
 
     def close(self) -> None:
-        if self.chain:
+        if self.open:
             self._up_to(_before(self.until) if self.until is not None else b"\xff" * 17)
-            self.chain = []
+            self.open = []
 
     def take(self) -> Iterator[pa.RecordBatch]:
         if self.out:

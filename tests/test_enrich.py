@@ -1,10 +1,14 @@
 import ipaddress
 import random
+from datetime import datetime
 
+import duckdb
 import pytest
 
 from socklens import GeoLookup, enrich_geo
 from tests.conftest import plan_of
+from workload import views
+from workload.check import compare
 
 CITY = "lo long, hi long, CCode string, Country string, City string, CSCode string, Region string, lat double, lon double"
 
@@ -199,3 +203,67 @@ def test_a_table_is_read_once(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("InMemoryTableScan") >= len(lookup.tables[0].sizes)
     lookup.close()
+
+
+@pytest.mark.parametrize("limit", [512 << 20, 0])
+@pytest.mark.parametrize("family", [4, 6])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_the_narrowest_of_crossing_ranges_holds_an_address(spark, family, limit, partitions):
+    rng = random.Random(family * 10 + partitions)
+    bits = 32 if family == 4 else 128
+    top = (1 << bits) - 1
+    points = [(1 << bits - 2) + rng.randrange(4000) for _ in range(400)]
+    ranges = {(min(a, b), max(a, b)) for a, b in zip(points[::2], points[1::2])}
+    ranges |= {((1 << bits - 3) + 5 * i, (1 << bits - 3) + 5 * i + 40) for i in range(60)}  # equally narrow
+    ranges = sorted(ranges | {(0, (1 << bits - 2) + 1500), (3, top), (top, top)})
+    bound = (lambda v: v) if family == 4 else (lambda v: bytearray(v.to_bytes(16, "big")))
+    kind = "long" if family == 4 else "binary"
+    rng.shuffle(ranges)
+    rows = [(bound(a), bound(b), str(i), f"org {i}") for i, (a, b) in enumerate(ranges)]
+    table = spark.createDataFrame(rows, f"lo {kind}, hi {kind}, ASN string, ASNOrg string")
+    values = {v for a, b in ranges for v in (a, b, a - 1, b + 1, (a + b) // 2) if 0 <= v <= top}
+    values = [v for v in values if family == 4 or v >> 32 not in (0, 0xFFFF)]
+    make = ipaddress.IPv4Address if family == 4 else ipaddress.IPv6Address
+    want = {}
+    for v in values:
+        holds = [(b - a, -a, i) for i, (a, b) in enumerate(ranges) if a <= v <= b]
+        want[str(make(v))] = str(min(holds)[2]) if holds else "0"
+    df = spark.createDataFrame([(t,) for t in want], "SAddr string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = enrich_geo(df, "asn", asn={family: table}, max_broadcast_bytes=limit, crossing="narrowest")
+        assert {r.SAddr: r.ASN for r in got.collect()} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("ranges", [[(30, 20)], [(1, 2), (1, 2)], [(1, 9), (4, 12), (4, 12)]])
+def test_ranges_listed_twice_are_refused_beside_crossing_ones(spark, ranges):
+    table = spark.createDataFrame([(lo, hi, "1", "o") for lo, hi in ranges], "lo long, hi long, ASN string, ASNOrg string")
+    with pytest.raises(ValueError, match="overlap"):
+        GeoLookup("asn", asn=table, crossing="narrowest")
+    with pytest.raises(ValueError, match="crossing"):
+        GeoLookup("asn", asn=table, crossing="widest")
+
+
+@pytest.mark.parametrize("name", ["geo_nested_ranges"])
+def test_networks_across_the_end_of_the_outermost(spark, tmp_path, name):
+    """So many customers that their networks reach past the one that holds all."""
+    keys = [*range(12), *range(349_518, 349_532)]
+    customers = [(k, f"c{k}", 1, "1", 1.0, "seg") for k in keys]
+    events = [(i, datetime(2026, 1, 1), i % 40, "error" if i % 9 == 0 else "view", 0.5) for i in range(400)]
+    con = duckdb.connect()
+    for table, rows, schema in (
+        ("customer", customers, "c_custkey long, c_name string, c_nationkey long, c_phone string, c_acctbal double, c_mktsegment string"),
+        ("events", events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"),
+        ("region", [(0, "r0"), (1, "r1")], "r_regionkey long, r_name string"),
+        ("nation", [(1, "n1", 1)], "n_nationkey long, n_name string, n_regionkey long"),
+        ("supplier", [(1, "s1")], "s_suppkey long, s_name string"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    assert views.geo_nested(spark, str(tmp_path)).where("lo <= 184549375 AND hi > 184549375").count() == 1
+    assert compare(spark, con, str(tmp_path), name) is None

@@ -673,8 +673,8 @@ _NESTED = f"""SELECT event_id, SAddr, COALESCE(ASN, '0') AS ASN, COALESCE(ASNOrg
 
 @query("geo_nested_ranges", _NESTED)
 def geo_nested_ranges(spark, sf_dir):
-    """Networks in networks: the innermost one holds an address."""
-    return _enriched(spark, sf_dir, "asn", asn=views.geo_nested(spark, sf_dir), geo_field="SAddr")
+    """Networks in networks, and across their ends: the narrowest one holds an address."""
+    return _enriched(spark, sf_dir, "asn", asn=views.geo_nested(spark, sf_dir), geo_field="SAddr", crossing="narrowest")
 
 
 @query("geo_nested_ranges_swept", _NESTED)
