@@ -249,7 +249,7 @@ def test_ranges_listed_twice_are_refused_beside_crossing_ones(spark, ranges):
         GeoLookup("asn", asn=table, crossing="widest")
 
 
-@pytest.mark.parametrize("name", ["geo_nested_ranges"])
+@pytest.mark.parametrize("name", ["geo_nested_ranges", "geo_nested_ranges_swept"])
 def test_networks_across_the_end_of_the_outermost(spark, tmp_path, name):
     """So many customers that their networks reach past the one that holds all."""
     keys = [*range(12), *range(349_518, 349_532)]

@@ -680,7 +680,7 @@ def geo_nested_ranges(spark, sf_dir):
 @query("geo_nested_ranges_swept", _NESTED)
 def geo_nested_ranges_swept(spark, sf_dir):
     """The same as a sweep of addresses and ranges, without broadcasting the table."""
-    return _enriched(spark, sf_dir, "asn", asn=views.geo_nested(spark, sf_dir), geo_field="SAddr", max_broadcast_bytes=0)
+    return _enriched(spark, sf_dir, "asn", asn=views.geo_nested(spark, sf_dir), geo_field="SAddr", max_broadcast_bytes=0, crossing="narrowest")
 
 
 _BROKEN = "CASE WHEN event_id % 3 = 0 THEN 'not an address' WHEN event_id % 3 = 1 THEN NULL ELSE DAddr END"
