@@ -230,10 +230,15 @@ def _extra_keys(text: Column, known: list[str]) -> Column:
     """Map of the keys that are no column to VARIANT, the last value of each."""
     every = F.from_json(text, "map<string,variant>", _STRICT)
     entries = F.filter(F.map_entries(every), lambda e: ~e["key"].isin(known))
-    keys = F.transform(entries, lambda e: e["key"])
-    # rare, so the places of all keys are compared only where one is repeated
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(entries))
+
+    def once(entries: Column) -> Column:
+        keys = F.transform(entries, lambda e: e["key"])
+        # rare, so the places of all keys are compared only where one is repeated
+        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(entries))
+
+    # a variable of a lambda, so that the payload is not parsed again for each use of its entries
+    return F.get(F.transform(F.array(entries), once), F.lit(0))
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,10 @@ from socklens import (
     to_typed,
     to_variant,
 )
-from socklens.catalog import TYPED_COLUMNS
+from socklens.catalog import TYPED_COLUMNS, event_schema
+from socklens.operators.decode import decode_json
+from tests.conftest import plan_of
+from workload.registry import _unpacked
 
 # Values are our own; the layout of the expected texts is that of the formats: fixed values.
 ROW = "PID long, Task string, RTT long, SAddr string, Timestamp long, Hostname string"
@@ -136,3 +139,21 @@ def test_bodies_are_packed_in_order_to_their_limits(spark, rows, size):
         held.append(t)
     want.append(held)
     assert [(r.value, r.rows) for r in got] == [("".join(t + "\n" for t in w), len(w)) for w in want]
+
+
+def test_bodies_work_out_a_document_once(spark):
+    """Nothing on the way to the bodies repeats a document's work, for a filter or for each line of a body."""
+    lines = to_bulk_lines(to_documents(spark.range(300).selectExpr("id AS PID", "concat('a', id) AS Task")))
+    bodies = to_bulk_bodies(lines, 7)
+    assert plan_of(bodies).count("StructsToJsonEvaluator") == 1
+    plan = plan_of(_unpacked(bodies, 7, 1 << 20))
+    assert plan.index("regexp_extract_all") < plan.index("explode(")
+    values = bodies.sparkSession.createDataFrame([("a",), (None,), ("b",), (None,)], "value string").coalesce(1)
+    assert [tuple(r) for r in to_bulk_bodies(values, 5).collect()] == [("a\nb\n", 2)]
+
+
+def test_extra_keys_take_one_parse(spark):
+    payloads = spark.createDataFrame([('{"A":1,"A":2,"Task":"x","B":{"c":1}}',), ('{"A":{"c":1,"c":2}}',)], "value string")
+    rows = decode_json(payloads, event_schema(["Task"]), extra=True)
+    assert plan_of(rows).count("from_json(") == 3  # plain, with numbers of any size, and the extra keys
+    assert [r._extra and {k: str(v) for k, v in r._extra.items()} for r in rows.collect()] == [{"A": "2", "B": '{"c":1}'}, None]

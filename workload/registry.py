@@ -1234,7 +1234,9 @@ _REPEATED = """CONCAT('{"Task":"', Task, '","Extra":1,"Extra":', CAST(event_id A
 
 def _repeated_topic(spark, sf_dir) -> dict:
     path = scratch(spark, "topic")
-    _payloads(spark, sf_dir, _REPEATED).select("value").write.parquet(path)
+    # a file for every core, however few the events' files are
+    rows = _payloads(spark, sf_dir, _REPEATED).select("value").repartition(spark.sparkContext.defaultParallelism)
+    rows.write.parquet(path)
     return {"path": path, "fields": None}
 
 
@@ -1305,7 +1307,7 @@ def _unpacked(bodies: DataFrame, rows: int, size: int) -> DataFrame:
     """The lines of request bodies, and whether their body keeps to the limits."""
     fits = (F.col("rows") <= rows) & (F.octet_length("value") <= size) & (F.col("rows") * 2 == F.regexp_count("value", F.lit("\n")))
     lines = F.explode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n"))
-    return bodies.select(lines.alias("value"), fits.alias("fits"))
+    return bodies.select("value", fits.alias("fits")).select(lines.alias("value"), "fits")  # a body is looked at once, not once a line
 
 
 @query("bulk_bodies", f"SELECT '{{\"index\":{{}}}}' AS value, TRUE AS fits FROM tcp_events UNION ALL SELECT {_DOC_SQL}, TRUE FROM tcp_events")
