@@ -189,6 +189,31 @@ def test_decontamination_of_the_table_misses_no_passage(spark, items):
     assert all(r.contaminated == bool(r.item_ids) for r in rows)
 
 
+def test_decontamination_finds_paraphrases_in_other_words_by_the_latent_space(spark):
+    rng = np.random.default_rng(1)
+
+    def speak(topic, n, ways="ab"):  # two words for everything, and writers take either
+        return [f"t{topic}c{rng.integers(40)}{ways[rng.integers(len(ways))]}" for _ in range(n)]
+
+    texts = {k: speak(k, 20 + 3 * k, "a") for k in range(12)}
+    rows = [(10000 + k, " ".join(speak(k % 12, 150))) for k in range(600)]
+    for k, own in texts.items():
+        cut, away = len(own) - max(3, round(decontaminate.ANSWER * len(own))), (k + 5) % 12
+        said = [[w[:-1] + "b" for w in own[:cut]] + own[cut:], speak(away, cut) + own[cut:], [w[:-1] + "b" for w in own]]
+        # a paraphrase with the answer, the answer among foreign words, a paraphrase without the answer
+        rows += [(k * 10 + n, " ".join([*speak(away, 30), *t, *speak(away, 60)])) for n, t in enumerate(said)]
+    # an answer of words so common that they stand side by side by chance
+    common = "this is the".split()
+    texts[12] = speak(0, 14, "a") + common
+    rows += [(20000 + n, " ".join([*speak(0, 40, "b"), *common, *(w for own in speak(0, 60, "b") for w in (own, rng.choice(common)))])) for n in range(40)]
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "item_id long, text string")
+    found = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), items).collect()
+    hits = {(r.doc_id, h.item_id): h for r in found for h in r.hits}
+    want = {(k * 10, k) for k in range(12)}
+    assert set(hits) <= want and len(hits) >= 11
+    assert all(h.lcs < decontaminate.PARAPHRASE and h.answer and h.cosine >= decontaminate.COSINE for h in hits.values())
+
+
 def test_svd_spans_the_items(spark):
     rng = np.random.default_rng(2)
     rows = [(sorted(rng.choice(60, 8, replace=False).tolist()), rng.random(8).tolist()) for _ in range(10)]
