@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from socklens.llm import bagminhash, decontaminate, language, near_dedup, quality
+from socklens.llm import bagminhash, decontaminate, language, near_dedup, quality, shared
 from socklens.llm.queries import QUERIES
 from socklens.llm.words import Words, mix
 from tests.llm.conftest import SCHEMA, awkward, prose
@@ -261,6 +261,63 @@ def test_decontamination_finds_paraphrases_in_other_words_by_the_latent_space(sp
     assert all(h.lcs < decontaminate.PARAPHRASE and h.answer and h.cosine >= decontaminate.COSINE for h in hits.values())
 
 
+def test_decontamination_fits_the_space_to_all_of_every_text(spark):
+    rng = np.random.default_rng(6)
+    every, each = decontaminate.PASSAGE, 32
+
+    def speak(topic, n, ways="ab"):
+        return [f"t{topic}c{rng.integers(40)}{ways[rng.integers(len(ways))]}" for _ in range(n)]
+
+    # every fourth passage from the first on, eight of a text, says nothing of what the others do
+    rows = [(1000 + k, " ".join(w for n in range(each) for w in (speak(k % 12, every) if n % 4 else speak(90 + k % 3, every)))) for k in range(36)]
+    texts = {k: speak(k, 30, "a") for k in range(12)}
+    for k, own in texts.items():
+        said = [w[:-1] + "b" for w in own[:24]] + own[24:]
+        rows.append((k, " ".join([*speak(90, every + 10), *said, *speak(91, every * each)])))
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "item_id long, text string")
+    found = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), items).collect()
+    hits = {(r.doc_id, h.item_id) for r in found for h in r.hits if r.doc_id < 1000}
+    assert hits <= {(k, k) for k in texts} and len(hits) >= 11
+
+
+def test_passages_are_all_of_every_text_and_copies_count_once(spark):
+    rng = np.random.default_rng(7)
+    long = " ".join(f"w{n}" for n in rng.integers(0, 3000, 5000))
+    texts = [long, "a b a", "", *(prose(n, 20 + 9 * n).replace(".", "") for n in range(1500))]
+    rows = [(n % 2 == 0, t) for n, t in enumerate(texts)] + [(True, t) for t in texts[:9:2] + [long] * 5] + [(False, long)]
+    table = shared.stash(decontaminate.passages(spark.createDataFrame(rows, "item boolean, text string").repartition(5)), "test")
+    idf = 0.5 + rng.random(1 << decontaminate.FEATURE_BITS)
+    want, every = collections.Counter(), decontaminate.PASSAGE
+    for text in [long, *texts]:
+        feature = decontaminate.features(Words(pa.array([text])).hash)
+        for begin in range(0, len(feature), every):
+            kinds, times = np.unique(feature[begin : begin + every], return_counts=True)
+            weight = times * idf[kinds]
+            want[tuple(zip(kinds.tolist(), (weight / np.linalg.norm(weight)).round(4).tolist()))] += 1
+    got = collections.Counter()
+    first = decontaminate.first_copies(table)
+    for batch in table.select("id", *decontaminate.PACKED).toArrow().to_batches():
+        feature, weight, size = decontaminate.packed(batch, idf, first)
+        ends = np.cumsum(size)
+        for begin, end in zip(ends - size, ends):
+            got[tuple(zip(feature[begin:end].tolist(), weight[begin:end].round(4).tolist()))] += 1
+    assert sum(want.values()) > 100000 // every
+    # weights may be rounded apart, features are not
+    assert collections.Counter([tuple(f for f, _ in p) for p in got.elements()]) == collections.Counter([tuple(f for f, _ in p) for p in want.elements()])
+    assert sum((got - want).values()) <= 0.05 * sum(want.values())
+
+
+def test_rows_are_added_up_whatever_the_length_of_a_sum(monkeypatch):
+    rng = np.random.default_rng(8)
+    size = np.array([1, 2, 63, 64, 65, 1, 64 * 64, 64 * 64 + 1, 9, 20000])
+    table, row, weight = rng.standard_normal((50, 3)), rng.integers(0, 50, size.sum()), rng.random(size.sum())
+    for at_once in (decontaminate.SUMMED_AT_ONCE, 7):
+        monkeypatch.setattr(decontaminate, "SUMMED_AT_ONCE", at_once)
+        want = np.add.reduceat(table[row] * weight[:, None], np.cumsum(size) - size)
+        assert np.allclose(decontaminate.row_sums(table, row, weight, size), want)
+    assert not decontaminate.orthonormal(np.zeros((4, 2))).any()
+
+
 def test_svd_spans_the_items(spark):
     rng = np.random.default_rng(2)
     rows = [(sorted(rng.choice(60, 8, replace=False).tolist()), rng.random(8).tolist()) for _ in range(10)]
